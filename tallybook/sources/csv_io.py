@@ -13,7 +13,7 @@ from tallybook.functions.coerce import is_blank
 from tallybook.plans.close import ARCHIVE_TABLES, DAY_OF, in_range
 
 # written with a mark for NULL, so that an empty text survives the round trip
-CSV_OPTIONS = {"header": "true", "escape": '"', "nullValue": "\\N", "emptyValue": "", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+CSV_OPTIONS = {"header": "true", "escape": '"', "nullValue": "\\N"}
 MILLIS_2000 = 946_684_800_000
 _NESTED = (T.ArrayType, T.StructType, T.MapType)
 

@@ -96,7 +96,7 @@ SELECT CAST(1 AS BIGINT) AS id, DATE '1996-01-01' AS date_from, DATE '1996-12-31
 UNION ALL SELECT CAST(2 AS BIGINT), DATE '1995-01-01', DATE '1995-12-31', CAST(40000 AS DECIMAL(18,2)), CAST(60000 AS DECIMAL(18,2)), CAST(NULL AS DECIMAL(18,2)), CAST(NULL AS DECIMAL(18,2)), CAST(5000 AS DECIMAL(18,2))""",
     "balances": f"""
 SELECT CAST(1 + s_suppkey % 2 AS BIGINT) AS snapshot_id, 'SUPPLIER' AS balance_type, {code_sql("SUP-", "s_suppkey")} AS code, s_name AS name, CAST(s_acctbal AS DECIMAL(18,2)) AS balance, CASE WHEN s_acctbal < 0 THEN 'ADVANCE' ELSE 'PAYABLE' END AS status FROM {{supplier}} WHERE s_suppkey % 4 <> 3
-UNION ALL SELECT CAST(1 + o_custkey % 2 AS BIGINT), 'CUSTOMER', {ref_sql("o_orderkey")}, 'Order ' || CAST(o_orderkey AS STRING), CAST(o_totalprice / 100 AS DECIMAL(18,2)), 'PENDING' FROM {{orders}} WHERE o_orderpriority = '1-URGENT'""",
+UNION ALL SELECT CAST(1 + o_custkey % 2 AS BIGINT), 'CUSTOMER', {ref_sql("o_orderkey")}, 'Order ' || CAST(o_orderkey AS STRING), CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2)), 'PENDING' FROM {{orders}} WHERE o_orderpriority = '1-URGENT'""",
     # odd months of both years under their own snapshot, January 1996 again under snapshot 2
     "profit_months": """
 SELECT snapshot_id, report_year, report_month, CAST(t AS DECIMAL(18,2)) AS total_sales, CAST(t * 0.7 AS DECIMAL(18,2)) AS total_purchase, CAST(t * 0.3 AS DECIMAL(18,2)) AS base_profit,

@@ -12,6 +12,7 @@ from tallybook.functions.coerce import MONEY, lowered, total
 from tallybook.operators.keyed import first_per_key
 from tallybook.plans.intake import accepted, checked
 from tallybook.plans.outstanding import status_of_refs
+from tallybook.plans.sales import of_module
 
 
 def accepted_feed(requests: DataFrame, suppliers: DataFrame | None = None, delay: str = "1 day") -> DataFrame:
@@ -43,7 +44,7 @@ def status_writer(books: Books, path: str) -> Callable[[DataFrame, int], None]:
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = status_of_refs(books, batch.where(F.col("ref_no").isNotNull()))
+        fresh = status_of_refs(books, batch.where(of_module(F.col("ref_no"))))
         fresh.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
             f"{path}/batch={batch_id}"
         )
