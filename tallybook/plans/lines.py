@@ -17,6 +17,8 @@ LABELLED = "array<struct<description:string,text:string,route:string,amount:stri
 STAY = "array<struct<hotel:string,type:string,rooms:string,nights:string,total:string>>"
 FLIGHT = "array<struct<airline:string,airline_name:string,`from`:string,flight_from:string,`to`:string,flight_to:string>>"
 TEXTS = "array<string>"
+# one shape for the elements of every kind in a package
+ELEMENTS = "array<struct<kind:string,no:int,label:string,type:string,a:string,b:string,total:string>>"
 
 STAY_COLUMNS = {
     "hotel": "hotel_name",
@@ -54,12 +56,11 @@ def _exploded(rows: DataFrame, column: str, schema: str, *keep: str) -> DataFram
     )
 
 
-def _stay_item(hotel: Column) -> Column:
-    rooms, nights = number("e.rooms"), number("e.nights")
-    kind = F.upper(F.coalesce(F.col("e.type"), F.lit("")))
+def _stay_item(n: Column, hotel: Column, kind: Column, rooms: Column, nights: Column) -> Column:
+    kind = F.upper(F.coalesce(kind, F.lit("")))
     return F.concat(
         F.lit("Hotel "),
-        F.col("n"),
+        n,
         F.lit(" - "),
         hotel,
         F.lit(" ("),
@@ -85,15 +86,19 @@ def _ticket_lines(rows: DataFrame, suffix: str, info: Column, rate: str) -> Data
     lines = rows.select("ref_no", info.alias("info"), F.col(rate).alias("rate"), F.inline(F.array(*classes))).where(
         "count > 0"
     )
-    item = F.concat(
+    item = _ticket_item(F.col("label"), F.col("count"), F.col("info"))
+    return lines.select(*_line("ref_no", item, F.col("count") * F.col("price"), F.col("rate")))
+
+
+def _ticket_item(traveller: Column, count: Column, info: Column) -> Column:
+    return F.concat(
         F.lit("Ticket – "),
-        F.col("label"),
+        traveller,
         F.lit(" ("),
-        _count_of(F.col("count"), "Person"),
+        _count_of(count, "Person"),
         F.lit(")"),
-        F.when(F.col("info") != "", F.concat(F.lit(" - "), F.col("info"))).otherwise(""),
+        F.when(info != "", F.concat(F.lit(" - "), info)).otherwise(""),
     )
-    return lines.select(*_line("ref_no", item, F.col("count") * F.col("price"), F.col("rate")))
 
 
 def _flight_info(airline: Column, start: Column, end: Column) -> Column:
@@ -123,37 +128,90 @@ def _priced_lines(rows: DataFrame, name: str) -> DataFrame:
 
 
 def lines_pkg(books: Books) -> DataFrame:
-    rows = active(books.bookings)
-    first = F.get(F.from_json("flights", FLIGHT), F.lit(0))
+    """All five kinds of package lines from one read and one explode.
+
+    The elements of every kind are first brought to one shape; the item text
+    is built after the explode, by kind.
+    """
+    rows = active(books.bookings).withColumn("first", F.get(F.from_json("flights", FLIGHT), F.lit(0)))
 
     def either(a: str, b: str) -> Column:
-        return F.coalesce(F.nullif(first[a], F.lit("")), first[b], F.lit(""))
+        return F.coalesce(F.nullif(F.col(f"first.{a}"), F.lit("")), F.col(f"first.{b}"), F.lit(""))
 
+    # the flight text belongs to the sale, so it is made before the lines multiply it
     info = _flight_info(
         either("airline", "airline_name"), either("from", "flight_from"), either("to", "flight_to")
     )
-    tickets = _ticket_lines(rows, "count", info, "flight_sar_rate")
-    stays = _exploded(rows, "hotels", STAY, "hotel_sar_rate").select(
-        *_line("ref_no", _stay_item(F.coalesce("e.hotel", F.lit(""))), number("e.total"), F.col("hotel_sar_rate"))
+    rows = rows.withColumn("info", info)
+
+    def element(kind: str, i: Column | None, label=None, type_=None, a=None, b=None, total=None) -> Column:
+        texts = {"label": label, "type": type_, "a": a, "b": b, "total": total}
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            (F.lit(0) if i is None else i + 1).alias("no"),
+            *[(F.lit(None) if v is None else v).cast("string").alias(k) for k, v in texts.items()],
+        )
+
+    def elements(column: str, schema: str, shape) -> Column:
+        shaped = F.transform(F.from_json(column, schema), shape)
+        return F.coalesce(shaped, F.array().cast(ELEMENTS))
+
+    def label(x: Column) -> Column:
+        return F.coalesce(*[F.nullif(x[o], F.lit("")) for o in ("text", "route", "description")])
+
+    travellers = F.array(
+        *[
+            element("ticket", None, label=F.lit(name), a=F.col(f"{c}_count"), b=F.col(f"{c}_rate"))
+            for c, name in (("adult", "Adult"), ("child", "Child"), ("infant", "Infant"))
+        ]
     )
-    visas = _exploded(rows, "visa", PRICED, "visa_sar_rate")
-    persons = number("e.persons")
-    kind = F.nullif(F.col("e.type"), F.lit(""))
-    visa_item = F.concat(
+    together = F.concat(
+        travellers,
+        elements("hotels", STAY, lambda x, i: element("hotel", i, x["hotel"], x["type"], x["rooms"], x["nights"], x["total"])),
+        elements("visa", PRICED, lambda x, i: element("visa", i, None, x["type"], x["persons"], x["rate"], x["total"])),
+        elements("transport", LABELLED, lambda x, i: element("transport", i, label(x), total=x["amount"])),
+        elements("ziyarat", LABELLED, lambda x, i: element("ziyarat", i, label(x), total=x["amount"])),
+    )
+    exploded = rows.select(
+        "ref_no",
+        "info",
+        *[f"{k}_sar_rate" for k in ("flight", "hotel", "visa", "transport", "ziyarat")],
+        F.inline(together),
+    )
+    # numbers are read once, ahead of the texts that repeat them
+    exploded = exploded.withColumns(
+        {"a": number("a"), "b": number("b"), "priced": F.col("total").isNull(), "total": number("total")}
+    ).where("kind <> 'ticket' or a > 0")
+
+    kind, n = F.col("kind"), F.col("no").cast("string")
+    a, b, total = F.col("a"), F.col("b"), F.col("total")
+    of_type = F.nullif(F.col("type"), F.lit(""))
+    visa = F.concat(
         F.lit("Visa "),
-        F.col("n"),
-        F.when(kind.isNotNull(), F.concat(F.lit(" - "), kind)).otherwise(""),
+        n,
+        F.when(of_type.isNotNull(), F.concat(F.lit(" - "), of_type)).otherwise(""),
         F.lit(" ("),
-        _count_of(persons, "Person"),
+        _count_of(a, "Person"),
         F.lit(")"),
     )
-    # a total of 0 stands here; only a missing one is priced
-    visa_sar = F.when(F.col("e.total").isNull(), persons * number("e.rate")).otherwise(number("e.total"))
-    visas = visas.select(*_line("ref_no", visa_item, visa_sar, F.col("visa_sar_rate")))
-    order = ("text", "route", "description")
-    moves = _labelled_lines(rows, "transport", "Transport", order, "amount", "transport_sar_rate")
-    tours = _labelled_lines(rows, "ziyarat", "Ziyarat", order, "amount", "ziyarat_sar_rate")
-    return reduce(DataFrame.unionByName, (tickets, stays, visas, moves, tours))
+    named = F.concat(
+        F.initcap(kind),
+        F.lit(" "),
+        n,
+        F.when(F.col("label").isNotNull(), F.concat(F.lit(" - "), F.col("label"))).otherwise(""),
+    )
+    item = (
+        F.when(kind == "ticket", _ticket_item(F.col("label"), a, F.col("info")))
+        .when(kind == "hotel", _stay_item(n, F.coalesce("label", F.lit("")), F.col("type"), a, b))
+        .when(kind == "visa", visa)
+        .otherwise(named)
+    )
+    # a visa total of 0 stands here; only a missing one is priced
+    priced_here = (kind == "ticket") | ((kind == "visa") & F.col("priced"))
+    rate = F.when(kind == "ticket", F.col("flight_sar_rate"))
+    for k in ("hotel", "visa", "transport", "ziyarat"):
+        rate = rate.when(kind == k, F.col(f"{k}_sar_rate"))
+    return exploded.select(*_line("ref_no", item, F.when(priced_here, a * b).otherwise(total), rate))
 
 
 def lines_hot(books: Books) -> DataFrame:
@@ -173,7 +231,9 @@ def lines_hot(books: Books) -> DataFrame:
     exploded = rows.select("ref_no", "sar_rate", F.posexplode(zipped).alias("_pos", "e")).withColumn(
         "n", (F.col("_pos") + 1).cast("string")
     )
-    item = _stay_item(F.coalesce("e.hotel", F.lit("null")))
+    item = _stay_item(
+        F.col("n"), F.coalesce("e.hotel", F.lit("null")), F.col("e.type"), number("e.rooms"), number("e.nights")
+    )
     return exploded.select(*_line("ref_no", item, number("e.total"), F.col("sar_rate")))
 
 
@@ -248,14 +308,14 @@ def purchase_worksheet(books: Books, lines: DataFrame | None = None) -> DataFram
         F.struct("purchase_sar", "purchase_rate", "supplier_code", "supplier_name").alias("x"),
     )
     base = F.split_part("item", F.lit(" - "), F.lit(1))
-    by_item = cost.withColumnRenamed("x", "_full")
-    by_base = cost.select("ref_no", F.col("item").alias("_base"), F.col("x").alias("_part"))
-    # where the base is the whole item the first join has decided already
+    # where the base is the whole item the first join decides; the second then gets a key without a match
+    keyed = lines.withColumn("base", F.when(base != F.col("item"), base).otherwise(F.concat(F.lit("\u0000"), "item")))
+    # the same frame on both right sides, so its shuffle is done once
     looked_up = (
-        lines.withColumn("_base", F.when(base != F.col("item"), base).otherwise(F.concat(F.lit("\u0000"), "item")))
-        .join(by_item, ["ref_no", "item"], "left")
-        .join(by_base, ["ref_no", "_base"], "left")
-        .withColumn("x", F.coalesce("_full", "_part"))
+        keyed.alias("l")
+        .join(cost.alias("f"), (F.col("l.ref_no") == F.col("f.ref_no")) & (F.col("l.item") == F.col("f.item")), "left")
+        .join(cost.alias("p"), (F.col("l.ref_no") == F.col("p.ref_no")) & (F.col("l.base") == F.col("p.item")), "left")
+        .select("l.*", F.coalesce("f.x", "p.x").alias("x"))
     )
     sar, rate = F.col("x.purchase_sar"), F.col("x.purchase_rate")
     cleared = (or_zero(sar) == 0) | (or_zero(rate) == 0)

@@ -142,7 +142,7 @@ def _import_normalize(b: Books) -> DataFrame:
         F.when(e % 3 == 0, "TRUE").when(e % 3 == 1, "FALSE").otherwise("").alias("is_deleted"),
         F.when(e % 4 == 0, "").otherwise(F.col("props")).alias("payload"),
         F.when(e % 6 == 0, "").otherwise(F.concat(F.lit('a "'), "event_type", F.lit('", b'))).alias("note"),
-    ).write.options(**csv_io.CSV_OPTIONS).csv(folder)
+    ).write.options(**csv_io.WRITE_OPTIONS).csv(folder)
     schema = spark.createDataFrame([], IMPORT_SCHEMA).schema
     text = csv_io.read_text(spark, folder, schema.names)
     return csv_io.import_typed(text, schema).select("id", "sent_at", "amount", "is_deleted", "payload.k", "note")

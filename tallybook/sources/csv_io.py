@@ -12,8 +12,18 @@ from tallybook.books import Books
 from tallybook.functions.coerce import is_blank
 from tallybook.plans.close import ARCHIVE_TABLES, DAY_OF, in_range
 
-# written with a mark for NULL, so that an empty text survives the round trip
-CSV_OPTIONS = {"header": "true", "escape": '"', "nullValue": "\\N"}
+# written with a mark for NULL, so that an empty text survives the round trip;
+# blanks at the ends of a text and line breaks inside it are kept
+CSV_OPTIONS = {
+    "header": "true",
+    "escape": '"',
+    "nullValue": "\\N",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+# a file with line breaks in texts is read by one task, so its size is bounded when written
+WRITE_OPTIONS = {**CSV_OPTIONS, "maxRecordsPerFile": "1000000"}
+READ_OPTIONS = {**CSV_OPTIONS, "multiLine": "true"}
 MILLIS_2000 = 946_684_800_000
 _NESTED = (T.ArrayType, T.StructType, T.MapType)
 
@@ -42,20 +52,20 @@ def range_tables(books: Books, start: dt.date, end: dt.date) -> dict[str, DataFr
 
 def export_range(books: Books, start: dt.date, end: dt.date, path: str) -> list[str]:
     for table, frame in range_tables(books, start, end).items():
-        as_text(frame, fill_delete_flag=True).write.options(**CSV_OPTIONS).csv(f"{path}/{table}")
+        as_text(frame, fill_delete_flag=True).write.options(**WRITE_OPTIONS).csv(f"{path}/{table}")
     return [*DAY_OF, *ARCHIVE_TABLES]
 
 
 def export_full(books: Books, tables: list[str], path: str) -> list[str]:
     for table in tables:
-        as_text(getattr(books, table), upper_flag=True).write.options(**CSV_OPTIONS).csv(f"{path}/{table}")
+        as_text(getattr(books, table), upper_flag=True).write.options(**WRITE_OPTIONS).csv(f"{path}/{table}")
     return tables
 
 
 def read_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV folder with every column as text, under a given schema."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    return spark.read.schema(schema).options(**READ_OPTIONS).csv(path)
 
 
 def _from_millis(millis: Column, kind: T.DataType) -> Column:

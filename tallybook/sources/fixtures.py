@@ -47,6 +47,15 @@ def _amount(factor: int) -> str:
     return f"CAST(CAST(value AS DECIMAL(18,2)) * {factor} AS DECIMAL(18,2))"
 
 
+_FEED = f"""l_orderkey * 10 + l_linenumber AS id, {ref_sql("l_orderkey")} AS ref_no, 'Item ' || CAST(l_linenumber AS STRING) AS item, l_partkey, l_suppkey,
+ CAST(l_quantity AS DECIMAL(18,2)) AS sale_sar, CAST(75.50 AS DECIMAL(18,2)) AS sale_rate,
+ CASE WHEN l_returnflag = 'R' THEN CAST(0 AS DECIMAL(18,2)) ELSE CAST(l_quantity AS DECIMAL(18,2)) END AS purchase_sar,
+ CAST(CAST(70 AS DECIMAL(18,2)) + CAST(l_tax AS DECIMAL(18,2)) * 100 AS DECIMAL(18,2)) AS purchase_rate,
+ CASE WHEN l_partkey % 20 = 0 THEN '' WHEN l_partkey % 20 = 1 THEN NULL ELSE {code_sql("SUP-", "l_suppkey")} END AS supplier_code,
+ CASE WHEN l_partkey % 20 IN (0, 2) THEN '' WHEN l_partkey % 20 = 1 THEN NULL ELSE 'Supplier#' || lpad(CAST(l_suppkey AS STRING), 9, '0') END AS supplier_name,
+ CASE WHEN l_linestatus = 'F' THEN 'Live Purchase' ELSE 'Purchase' END AS status,
+ l_shipdate AS created_at, l_partkey % 23 = 0 AS is_deleted"""
+
 VIEWS = {
     "sales": f"""
 SELECT o_orderkey AS id, {prefix_sql("o_orderkey")} AS prefix, {ref_sql("o_orderkey")} AS ref_no,
@@ -59,19 +68,15 @@ SELECT o_orderkey AS id, {prefix_sql("o_orderkey")} AS prefix, {ref_sql("o_order
  o_orderkey % 17 = 0 AS is_deleted
  FROM {{orders}} JOIN {{customer}} ON c_custkey = o_custkey""",
     "purchase_feed": f"""
-SELECT l_orderkey * 10 + l_linenumber AS id, {ref_sql("l_orderkey")} AS ref_no, 'Item ' || CAST(l_linenumber AS STRING) AS item, l_partkey, l_suppkey,
- CAST(l_quantity AS DECIMAL(18,2)) AS sale_sar, CAST(75.50 AS DECIMAL(18,2)) AS sale_rate,
- CASE WHEN l_returnflag = 'R' THEN CAST(0 AS DECIMAL(18,2)) ELSE CAST(l_quantity AS DECIMAL(18,2)) END AS purchase_sar,
- CAST(CAST(70 AS DECIMAL(18,2)) + CAST(l_tax AS DECIMAL(18,2)) * 100 AS DECIMAL(18,2)) AS purchase_rate,
- CASE WHEN l_partkey % 20 = 0 THEN '' WHEN l_partkey % 20 = 1 THEN NULL ELSE {code_sql("SUP-", "l_suppkey")} END AS supplier_code,
- CASE WHEN l_partkey % 20 IN (0, 2) THEN '' WHEN l_partkey % 20 = 1 THEN NULL ELSE 'Supplier#' || lpad(CAST(l_suppkey AS STRING), 9, '0') END AS supplier_name,
- CASE WHEN l_linestatus = 'F' THEN 'Live Purchase' ELSE 'Purchase' END AS status,
- l_shipdate AS created_at, l_partkey % 23 = 0 AS is_deleted FROM {{lineitem}}""",
-    "purchases": """
+SELECT {_FEED} FROM {{lineitem}}""",
+    # one row per (order, line), found on the raw columns before any text is built
+    "purchases": f"""
 SELECT id, ref_no, item, sale_sar, sale_rate, CAST(sale_sar * sale_rate AS DECIMAL(18,2)) AS sale_pkr, purchase_sar, purchase_rate,
  CASE WHEN purchase_sar > 0 AND purchase_rate > 0 THEN CAST(purchase_sar * purchase_rate AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END AS purchase_pkr,
  CASE WHEN purchase_sar > 0 AND purchase_rate > 0 THEN CAST(sale_sar * sale_rate - purchase_sar * purchase_rate AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END AS profit,
- supplier_code, supplier_name, status, created_at, is_deleted FROM (SELECT *, row_number() OVER (PARTITION BY ref_no, item ORDER BY created_at DESC, l_partkey DESC, l_suppkey DESC, sale_sar DESC, purchase_sar DESC, purchase_rate DESC, status) AS rn FROM {purchase_feed}) t WHERE rn = 1""",
+ supplier_code, supplier_name, status, created_at, is_deleted FROM (SELECT {_FEED} FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END, l_tax DESC, CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END) AS rn
+  FROM {{lineitem}}) k WHERE rn = 1) t""",
     "customer_payments": f"""
 SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN {ref_sql(_WALKIN_KEY)} ELSE {code_sql("CUST-", "user_id")} END AS ref_no, {_DAY} AS payment_date, {_amount(5000)} AS amount, {_TYPE} AS type, {_METHOD} AS payment_method, {_BANK} AS bank_profile_id, event_id % 19 = 0 AS is_deleted FROM {{events}} WHERE event_type IN ('purchase','signup')""",
     "supplier_payments": f"""
