@@ -16,7 +16,7 @@ from tallybook.plans.sales import active, open_walkins
 
 
 def _largest_first(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(F.abs("balance").desc())
+    return rows.orderBy(F.abs("balance").desc(), rows.columns[0])
 
 
 def _walkin(books: Books) -> DataFrame:

@@ -15,7 +15,7 @@ from tallybook.functions.modules import SUPPLIER_PREFIX, module_prefix
 from tallybook.functions.status import costing_status
 from tallybook.operators.keyed import first_per_key, remove, set_flag, upsert
 from tallybook.operators.running import numbered
-from tallybook.plans.outstanding import status_of_refs
+from tallybook.plans.outstanding import status_of_paid_refs, status_of_refs
 from tallybook.plans.sales import active, of_module
 
 # purchases
@@ -97,9 +97,8 @@ def purchase_status_rollup(books: Books, items: DataFrame, deleted_refs: DataFra
 
 def payment_status_rollup(books: Books, touched: DataFrame | None = None) -> DataFrame:
     """Sales with the payment status of every ref whose payments changed (default: all paid refs)."""
-    refs = books.customer_payments if touched is None else touched
-    refs = refs.where(of_module(F.col("ref_no")))
-    return _rolled_up(books.sales, status_of_refs(books, refs), "payment_status")
+    statuses = status_of_paid_refs(books) if touched is None else status_of_refs(books, touched)
+    return _rolled_up(books.sales, statuses.where(of_module(F.col("ref_no"))), "payment_status")
 
 
 # deletes

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.books import Books
 from tallybook.functions.coerce import EPOCH, MONEY, as_total, lowered, on_days, or_zero, total
 from tallybook.functions.modules import MODULES, module_value
-from tallybook.operators.keyed import remove
+from tallybook.operators.keyed import first_per_key, remove
 from tallybook.operators.snapshots import before_day, field, latest_by_id
 from tallybook.plans.outstanding import customer_outstanding, supplier_outstanding
 from tallybook.plans.profit import MEASURES, live_months, month_spine, net_profit
@@ -170,22 +171,32 @@ def snapshot_profit(
 
 
 def publish_snapshot(books: Books, start: dt.date, end: dt.date, root: str) -> str:
-    """Write the three snapshot tables under ``root``; the header goes last.
+    """Write the three snapshot tables under ``root`` and return the run's folder.
 
-    Spark has no transaction over tables, so the header is the commit point:
-    readers take only closes whose header exists. Running the same range again
-    replaces the same folders. The header's totals are read back from the
-    written balances, so they agree with them.
+    Spark has no transaction over tables. Each run writes to a folder of its
+    own and appends its header to the manifest last; that row is the commit
+    point. A run that dies leaves no row, a repeated run adds a newer one, and
+    nothing that was published is ever overwritten. The header's totals are
+    read back from the written balances, so they agree with them.
     """
-    folder = f"{root.rstrip('/')}/close_{start:%Y%m%d}_{end:%Y%m%d}"
     spark = books.sales.sparkSession
-    snapshot_balances(books, start, end).write.mode("overwrite").parquet(f"{folder}/balances")
-    snapshot_profit(books, start, end).write.mode("overwrite").parquet(f"{folder}/profit_months")
-    balances = spark.read.parquet(f"{folder}/balances")
-    snapshot_header(books, start, end, balances).coalesce(1).write.mode("overwrite").parquet(f"{folder}/header")
+    run = f"{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    folder = f"{root.rstrip('/')}/runs/{run}"
+    wanted = snapshot_balances(books, start, end)
+    wanted.write.parquet(f"{folder}/balances")
+    snapshot_profit(books, start, end).write.parquet(f"{folder}/profit_months")
+    balances = spark.read.schema(wanted.schema).parquet(f"{folder}/balances")
+    header = snapshot_header(books, start, end, balances).withColumn("run", F.lit(run))
+    header.write.mode("append").parquet(f"{root.rstrip('/')}/manifest")
     return folder
 
 
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """The header of the newest run of each published range."""
+    manifest = spark.read.parquet(f"{root.rstrip('/')}/manifest")
+    return first_per_key(manifest, ["date_from", "date_to"], F.desc("run"))
+
+
 # archive views
 
 
@@ -219,7 +230,7 @@ def archive_view_balances(books: Books, snapshot_id: int) -> DataFrame:
             as_total(or_zero("balance")).alias("balance"),
         )
         .where(F.col("side").isNotNull())
-        .orderBy("side", "name")
+        .orderBy("side", "name", "code")
     )
 
 

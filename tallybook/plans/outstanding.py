@@ -37,7 +37,7 @@ from tallybook.plans.sales import active, walk_in
 
 
 def two_sided(left: DataFrame, right: DataFrame, key: str, left_name: str, right_name: str) -> DataFrame:
-    """(key, left total, right total, has_left) over both inputs of (key, amount)."""
+    """(key, left total, right total, has_left, has_right) over both inputs of (key, amount)."""
     none = F.lit(None).cast(MONEY)
     stacked = left.select(
         key, F.col("amount").cast(MONEY).alias("_l"), none.alias("_r"), F.lit(True).alias("_left")
@@ -45,7 +45,10 @@ def two_sided(left: DataFrame, right: DataFrame, key: str, left_name: str, right
         right.select(key, none.alias("_l"), F.col("amount").cast(MONEY).alias("_r"), F.lit(False).alias("_left"))
     )
     return stacked.groupBy(key).agg(
-        total("_l").alias(left_name), total("_r").alias(right_name), F.max("_left").alias("has_left")
+        total("_l").alias(left_name),
+        total("_r").alias(right_name),
+        F.max("_left").alias("has_left"),
+        F.max(~F.col("_left")).alias("has_right"),
     )
 
 
@@ -74,6 +77,11 @@ def _status():
     return sale_payment_status(F.col("total_sale"), F.col("total_paid"))
 
 
+def status_of_paid_refs(books: Books) -> DataFrame:
+    """(ref_no, payment_status) of every ref with a payment."""
+    return _walkin_sides(books).where("has_right").select("ref_no", _status().alias("payment_status"))
+
+
 def status_of_refs(books: Books, refs: DataFrame) -> DataFrame:
     """(ref_no, payment_status) recomputed for the given refs only."""
     keys = refs.select("ref_no").distinct()
@@ -167,7 +175,7 @@ def supplier_pending(books: Books) -> DataFrame:
             F.col("balance").alias("pending_amount"),
             supplier_status(F.col("balance"), F.col("paid"), "0.5").alias("status"),
         )
-        .orderBy(F.desc("pending_amount"), "supplier_name")
+        .orderBy(F.desc("pending_amount"), "supplier_name", "supplier_code")
     )
 
 
@@ -213,7 +221,7 @@ def customer_outstanding(books: Books, start: dt.date, end: dt.date) -> DataFram
             as_total(or_zero("total_pkr") - or_zero("received")).alias("balance"),
         )
         .where("balance > 0")
-        .orderBy(F.desc("balance"))
+        .orderBy(F.desc("balance"), "ref_no")
     )
 
 
@@ -250,5 +258,5 @@ def supplier_outstanding(books: Books, start: dt.date, end: dt.date) -> DataFram
         )
         .where("balance <> 0")
         .withColumn("status", outstanding_side(F.col("balance")))
-        .orderBy(F.desc("balance"))
+        .orderBy(F.desc("balance"), "supplier_code")
     )

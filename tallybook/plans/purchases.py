@@ -46,7 +46,7 @@ def purchase_list(
         listed = listed.where(
             like_literal("ref_no", search) | F.coalesce(like_literal("customer_name", search), F.lit(False))
         )
-    return listed.select("ref_no", "customer_name", *SUMS, "created_at").orderBy(F.desc("created_at"))
+    return listed.select("ref_no", "customer_name", *SUMS, "created_at").orderBy(F.desc("created_at"), "ref_no")
 
 
 def purchase_detail(books: Books) -> DataFrame:
@@ -92,7 +92,7 @@ def missing_supplier(books: Books) -> DataFrame:
             F.lit("COMPLETE").alias("status"),
             F.lit("Supplier missing in this row").alias("note"),
         )
-        .orderBy("ref_no")
+        .orderBy("ref_no", "id")
     )
 
 
@@ -120,7 +120,7 @@ def supplier_purchase_detail(books: Books, supplier_name: str | None = None) ->
     )
     if supplier_name and supplier_name != "ALL":
         rows = rows.where(F.col("supplier_name") == supplier_name)
-    return rows.orderBy(F.desc_nulls_first("booking_date"))
+    return rows.orderBy(F.desc_nulls_first("booking_date"), "id")
 
 
 def supplier_names(books: Books) -> DataFrame:

@@ -38,7 +38,7 @@ def customers_list(books: Books, search: str | None = None) -> DataFrame:
     if search and search.strip():
         needle = search.strip()
         rows = rows.where(like_literal("name", needle) | like_literal("customer_code", needle))
-    return rows.select("id", "customer_code", "name", "contact_no", "email").orderBy("name")
+    return rows.select("id", "customer_code", "name", "contact_no", "email").orderBy("name", "customer_code")
 
 
 def expense_list(books: Books) -> DataFrame:
@@ -114,7 +114,7 @@ def supplier_adjustments(books: Books, start: dt.date | None = None, end: dt.dat
         rows.select("supplier_id", "payment_date", F.col("amount").alias("adjustment_amount"))
         .join(suppliers, "supplier_id")
         .select("supplier_id", "supplier_code", "supplier_name", "payment_date", "adjustment_amount")
-        .orderBy(F.desc_nulls_first("payment_date"))
+        .orderBy(F.desc_nulls_first("payment_date"), "supplier_code", "adjustment_amount")
     )
 
 
@@ -159,7 +159,7 @@ def deleted_report(books: Books) -> DataFrame:
         master(books.suppliers, "SUPPLIER", "supplier_code", "supplier_name"),
         master(books.customers, "CUSTOMER", "customer_code", "name"),
     )
-    return reduce(DataFrame.unionByName, parts).orderBy(F.desc_nulls_last("booking_date"))
+    return reduce(DataFrame.unionByName, parts).orderBy(F.desc_nulls_last("booking_date"), "type", "ref_no")
 
 
 # table sizes

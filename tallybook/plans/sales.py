@@ -1,4 +1,8 @@
-"""The unified sales relation and the lists read from it."""
+"""The unified sales relation and the lists read from it.
+
+Lists end their sort with a key, so that one very common date or amount does
+not put all of its rows into one range of the sort.
+"""
 
 from __future__ import annotations
 
@@ -79,14 +83,14 @@ def walkin_pending(books: Books) -> DataFrame:
 
 
 def sales_all(books: Books) -> DataFrame:
-    return _report(active(books.sales)).orderBy(F.desc_nulls_first("booking_date"))
+    return _report(active(books.sales)).orderBy(F.desc_nulls_first("booking_date"), "id", "type")
 
 
 def sales_recent(books: Books, as_of: dt.datetime, days: int = 7) -> DataFrame:
     """Sales created in the last ``days`` days before ``as_of``."""
     start = F.lit(as_of - dt.timedelta(days=days)).cast("timestamp_ntz")
     recent = active(books.sales).where(F.col("created_at") >= start)
-    return _report(recent, "created_at").orderBy(F.desc_nulls_first("created_at"))
+    return _report(recent, "created_at").orderBy(F.desc_nulls_first("created_at"), "id", "type")
 
 
 def _report(rows: DataFrame, *more: str) -> DataFrame:
@@ -99,7 +103,7 @@ def purchase_status_pending(books: Books) -> DataFrame:
         active(books.sales)
         .where(F.col("purchase_status").isin(*OPEN_STATUSES))
         .select("ref_no", "customer_name", "booking_date", "purchase_status")
-        .orderBy(F.desc_nulls_first("booking_date"))
+        .orderBy(F.desc_nulls_first("booking_date"), "ref_no")
     )
 
 

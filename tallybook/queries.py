@@ -293,8 +293,9 @@ def _snapshot_drop(b: Books) -> DataFrame:
 def _snapshot_publish(b: Books) -> DataFrame:
     """Write a close and read its header back."""
     spark = b.sales.sparkSession
-    folder = close.publish_snapshot(b, START, END, scratch_path(spark, "close"))
-    return spark.read.parquet(f"{folder}/header")
+    root = scratch_path(spark, "close")
+    close.publish_snapshot(b, START, END, root)
+    return close.published(spark, root).drop("run")
 
 
 # changes
@@ -444,7 +445,7 @@ _plain(
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a pattern, because a stream source takes a folder or a pattern but no single file
     path = os.path.join(sf_dir, "events.parquet")
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    return spark.readStream.schema(fixtures.SCHEMAS["events"]).parquet(f"{path}*")
 
 
 def payment_feed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,9 @@ SETTINGS = {
     # split a skewed join side even if that costs one more exchange above it
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    # do not record the Python call site of every column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -29,6 +32,9 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return builder.getOrCreate()
 
 
+_made_here: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
@@ -37,8 +43,10 @@ def shared_folder(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="tallybook-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        app = spark.sparkContext.applicationId
+        if app not in _made_here:
+            _made_here[app] = tempfile.mkdtemp(prefix="tallybook-")
+        named = _made_here[app]
     return named.rstrip("/")
 
 

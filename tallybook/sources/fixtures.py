@@ -15,7 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from tallybook.books import Books
 from tallybook.functions.modules import MODULES
 
-BASE = ("orders", "customer", "supplier", "nation", "lineitem", "events")
+# columns of the test tables, given so that no job has to infer them
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+BASE = tuple(SCHEMAS)
 
 
 def prefix_sql(key: str) -> str:
@@ -219,24 +228,22 @@ def depends(text: str) -> list[str]:
     return [n for n in names if "{" + n + "}" in text]
 
 
-def view_frame(spark: SparkSession, sf_dir: str, name: str, books: Books | None = None) -> DataFrame:
+def base_frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def view_frame(spark: SparkSession, name: str, books: Books) -> DataFrame:
     text = VIEWS.get(name) or NESTED[name]
-    inputs = {}
-    for needed in depends(text):
-        if needed in BASE:
-            inputs[needed] = spark.read.parquet(os.path.join(sf_dir, f"{needed}.parquet"))
-        else:
-            inputs[needed] = getattr(books, needed) if books else view_frame(spark, sf_dir, needed)
-    return spark.sql(text, **inputs)
+    return spark.sql(text, **{needed: getattr(books, needed) for needed in depends(text)})
 
 
 def load(spark: SparkSession, sf_dir: str) -> Books:
     """Books over one test-data folder; each table is planned on first use."""
     books = Books()
-    for name in (*VIEWS, *NESTED):
-        books._frames[name] = lambda n=name: view_frame(spark, sf_dir, n, books)
     for name in BASE:
-        books._frames[name] = lambda n=name: spark.read.parquet(os.path.join(sf_dir, f"{n}.parquet"))
+        books._frames[name] = lambda n=name: base_frame(spark, sf_dir, n)
+    for name in (*VIEWS, *NESTED):
+        books._frames[name] = lambda n=name: view_frame(spark, n, books)
     return books
 
 
