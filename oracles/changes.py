@@ -1,6 +1,7 @@
 """Upserts, deletes, reference numbers, intake and streams."""
 
 from oracles.ledgers import WALKIN_STATUS
+from oracles.nested import PERSONS, PRICE, RATE, REF, elements
 from tallybook.sources.fixtures import prefix_sql
 
 PREFIX = prefix_sql("event_id")
@@ -46,7 +47,57 @@ WITH {INTAKE} SELECT request_id, kind, party, CASE WHEN kind = 'purchase' THEN C
  CASE WHEN kind IN ('customer', 'registered', 'purchase') THEN COALESCE(NULLIF(type, ''), 'payment') ELSE type END AS type,
  CASE WHEN kind IN ('expense', 'cash', 'bank') THEN COALESCE(note, '') ELSE note END AS note FROM chk WHERE reason IS NULL"""
 
+def edited(table: str, kind: str, where: str, columns: dict[str, str], kept: str) -> str:
+    """Rows of ``table`` with the columns of the accepted edit of the same id."""
+    picks = ", ".join(f"CASE WHEN e.request_id IS NULL THEN p.{c} ELSE {v} END AS {c}" for c, v in columns.items())
+    return f"""
+WITH e AS (SELECT *, {A} AS a FROM fx_requests WHERE kind = '{kind}' AND {A} IS NOT NULL AND NOT ({where}))
+SELECT p.id, {kept}{picks} FROM {table} p LEFT JOIN e ON e.request_id = p.id"""
+
+
+EDIT_BANK = "CASE WHEN e.payment_method = 'Bank' THEN CAST(e.bank_profile_id AS BIGINT) END"
+EDIT_DAY = "CAST(e.entry_date AS DATE)"
+
 SQL = {
+    "expense_edits": edited(
+        "fx_expenses",
+        "expense",
+        f"{blank('entry_date', 'party', 'payment_method')} OR {NONE}",
+        {
+            "expense_date": EDIT_DAY,
+            "title": "e.party",
+            "amount": "e.a",
+            "payment_method": "e.payment_method",
+            "bank_profile_id": EDIT_BANK,
+            "remarks": "COALESCE(e.note, '')",
+        },
+        "",
+    ),
+    "supplier_payment_edits": edited(
+        "fx_supplier_payments",
+        "supplier",
+        LOW,
+        {
+            "amount": "e.a",
+            "payment_date": EDIT_DAY,
+            "payment_method": "COALESCE(NULLIF(e.payment_method, ''), 'Bank')",
+            "bank_profile_id": EDIT_BANK,
+            "type": "e.type",
+        },
+        "p.supplier_id, ",
+    ),
+    "cash_edits": edited(
+        "fx_cash_txns",
+        "cash",
+        f"{blank('entry_date', 'type')} OR {LOW}",
+        {"txn_date": EDIT_DAY, "type": "e.type", "amount": "e.a", "comment": "COALESCE(e.note, '')"},
+        "",
+    ),
+    "module_save": f"""
+WITH cur AS (SELECT o_orderkey AS k, {REF} AS ref_no, o_orderkey % 17 = 0 AS is_deleted, CAST(o_orderdate AS DATE) AS booking_date, any_value({RATE}) + 1 AS pkr_rate, CAST(sum({PERSONS}) AS BIGINT) AS persons,
+ sum(CASE WHEN (o_orderkey + i) % 5 < 2 THEN 0 ELSE {PERSONS} * {PRICE} END) AS sar FROM {elements(2, active="true")} GROUP BY o_orderkey, o_orderdate)
+SELECT ref_no, is_deleted, booking_date, CAST(pkr_rate AS DECIMAL(18,2)) AS pkr_rate, persons, CAST(sar AS DECIMAL(20,2)) AS total_sar, CAST(sar * pkr_rate AS DECIMAL(20,2)) AS total_pkr FROM cur
+UNION ALL SELECT 'VISA-' || lpad(CAST((SELECT max(k) FROM cur) + row_number() OVER (ORDER BY s_suppkey) AS VARCHAR), 5, '0'), false, DATE '2001-09-01', 70, 2, s_suppkey, s_suppkey * 70 FROM supplier""",
     "purchase_upsert": f"""
 WITH {CLEANED} SELECT COALESCE(p.ref_no, c.ref_no) AS ref_no, COALESCE(p.item, c.item) AS item, {", ".join(f"CASE WHEN c.ref_no IS NOT NULL THEN c.{x} ELSE p.{x} END AS {x}" for x in NEW)},
  CASE WHEN p.ref_no IS NOT NULL THEN p.created_at ELSE c.created_at END AS created_at, CASE WHEN p.ref_no IS NOT NULL THEN p.id ELSE c.id END AS id, CASE WHEN c.ref_no IS NOT NULL THEN false ELSE p.is_deleted END AS is_deleted

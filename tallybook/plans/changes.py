@@ -15,6 +15,7 @@ from tallybook.functions.modules import SUPPLIER_PREFIX, module_prefix
 from tallybook.functions.status import costing_status
 from tallybook.operators.keyed import first_per_key, remove, set_flag, upsert
 from tallybook.operators.running import numbered
+from tallybook.plans.lines import with_totals
 from tallybook.plans.outstanding import status_of_paid_refs, status_of_refs
 from tallybook.plans.sales import active, of_module
 
@@ -248,3 +249,21 @@ def sales_upsert(books: Books, requests: DataFrame) -> DataFrame:
     return merged.withColumn("payment_status", F.coalesce("_card_status", "payment_status")).select(
         *books.sales.columns
     )
+
+
+def module_save(current: DataFrame, requests: DataFrame, prefix: str, **sizes) -> DataFrame:
+    """A visa, card or group table with requests saved; totals come from the rows sent.
+
+    A request without a ref_no gets the next number of the module, in
+    request_id order. An empty customer code is stored as NULL.
+    """
+    asked = with_totals(requests).withColumn("prefix", F.lit(prefix))
+    if "customer_code" in asked.columns:
+        asked = asked.withColumn("customer_code", F.nullif(F.col("customer_code"), F.lit("")))
+    last = current.agg(F.coalesce(F.max(digits("ref_no")), F.lit(0)).alias("v")).scalar()
+    new = numbered(asked.where(is_blank("ref_no")), "_n", group=["prefix"], order_id="request_id", **sizes)
+    new = new.withColumn("ref_no", F.concat("prefix", padded(last + F.col("_n"), 5))).select(*asked.columns)
+    named = asked.where(is_named("ref_no"))
+    fields = [c for c in current.columns if c in asked.columns and c not in ("ref_no", "is_deleted")]
+    changed = named.unionByName(new).withColumn("is_deleted", F.lit(False)).select("ref_no", *fields, "is_deleted")
+    return upsert(current, changed, ["ref_no"], update=fields)

@@ -379,7 +379,7 @@ def hotel_voucher(books: Books) -> DataFrame:
     )
 
 
-def rows_totals(rows: DataFrame) -> DataFrame:
+def with_totals(rows: DataFrame) -> DataFrame:
     """Persons, SAR and PKR of a sale from its own lines, without exploding them."""
     parsed = F.from_json("rows", PRICED)
     start = F.lit(0).cast("decimal(28,2)")
@@ -388,10 +388,12 @@ def rows_totals(rows: DataFrame) -> DataFrame:
         add = lambda acc, x: (acc + number(x[field])).cast("decimal(28,2)")
         return F.coalesce(F.aggregate(parsed, start, add), start)
 
-    sums = rows.withColumn("_sar", summed("total"))
-    return sums.select(
-        "ref_no",
-        summed("persons").cast("bigint").alias("persons"),
-        F.col("_sar").cast("decimal(20,2)").alias("total_sar"),
-        (F.col("_sar").cast(MONEY) * number(F.col("pkr_rate").cast("string"))).cast("decimal(20,2)").alias("total_pkr"),
+    sar = summed("total").cast("decimal(20,2)")
+    return rows.withColumns({"persons": summed("persons").cast("bigint"), "total_sar": sar}).withColumn(
+        "total_pkr",
+        (F.col("total_sar").cast(MONEY) * number(F.col("pkr_rate").cast("string"))).cast("decimal(20,2)"),
     )
+
+
+def rows_totals(rows: DataFrame) -> DataFrame:
+    return with_totals(rows).select("ref_no", "persons", "total_sar", "total_pkr")

@@ -356,6 +356,47 @@ def _payment_edits(b: Books) -> DataFrame:
     return intake.apply_edits(b.customer_payments, edits, "payment_date", fields)
 
 
+def _edits(b: Books, kind: str) -> DataFrame:
+    return intake.checked(b.requests.where(F.col("kind") == kind), rules=intake.EDITS)
+
+
+EXPENSE_FIELDS = ("expense_date", "title", "amount", "payment_method", "bank_profile_id", "remarks")
+_plain(
+    expense_edits=lambda b: intake.apply_edits(
+        b.expenses, _edits(b, "expense"), "expense_date", EXPENSE_FIELDS, note="remarks"
+    ),
+    supplier_payment_edits=lambda b: intake.apply_edits(
+        b.supplier_payments,
+        _edits(b, "supplier"),
+        "payment_date",
+        ("amount", "payment_date", "payment_method", "bank_profile_id", "type"),
+    ),
+    cash_edits=lambda b: intake.apply_edits(
+        b.cash_txns, _edits(b, "cash"), "txn_date", ("txn_date", "type", "amount", "comment"), note="comment"
+    ).drop("created_at"),
+)
+
+
+@query("module_save")
+def _module_save(b: Books) -> DataFrame:
+    """Every visa sale saved again at another rate, and a new one for every supplier."""
+    again = b.visa.select(
+        F.lit(None).cast("bigint").alias("request_id"),
+        "ref_no",
+        "booking_date",
+        "rows",
+        (F.col("pkr_rate") + 1).cast(MONEY).alias("pkr_rate"),
+    )
+    new = b.supplier.select(
+        F.col("s_suppkey").alias("request_id"),
+        F.lit("").alias("ref_no"),
+        F.lit(dt.date(2001, 9, 1)).alias("booking_date"),
+        F.concat(F.lit('[{"persons":2,"total":"'), F.col("s_suppkey").cast("string"), F.lit('"}]')).alias("rows"),
+        F.lit(70).cast(MONEY).alias("pkr_rate"),
+    )
+    return changes.module_save(lines.with_totals(b.visa), again.unionByName(new), "VISA-").drop("rows")
+
+
 def _settled(b: Books) -> DataFrame:
     """Settled sales that may be deleted."""
     free = changes.delete_eligibility(b).where("deletable").select("ref_no")
