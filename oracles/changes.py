@@ -6,13 +6,13 @@ from tallybook.sources.fixtures import prefix_sql
 
 PREFIX = prefix_sql("event_id")
 CLEANED = """
-req AS (SELECT ref_no, (l_partkey * 100000 + l_suppkey) * 100 + CAST(sale_sar AS BIGINT) AS position, CASE WHEN l_partkey % 37 = 5 THEN '' WHEN l_partkey % 3 = 0 THEN ' ' || item ELSE item END AS item,
+req AS (SELECT ref_no, l_partkey, l_suppkey, purchase_sar AS given, CASE WHEN l_partkey % 37 = 5 THEN '' WHEN l_partkey % 3 = 0 THEN ' ' || item ELSE item END AS item,
   sale_sar, CAST(80 AS DECIMAL(18,2)) AS sale_rate, CASE WHEN l_partkey % 6 < 2 THEN CAST(0 AS DECIMAL(18,2)) ELSE purchase_sar END AS purchase_sar, CAST(77.25 AS DECIMAL(18,2)) AS purchase_rate,
   COALESCE(supplier_code, '') AS supplier_code, COALESCE(supplier_name, '') AS supplier_name, id, status, created_at
   FROM fx_purchase_feed WHERE purchase_sar > 0 AND status = 'Purchase'),
 cl AS (SELECT *, CAST(sale_sar * sale_rate AS DECIMAL(18,2)) AS sale_pkr, CAST(purchase_sar * purchase_rate AS DECIMAL(18,2)) AS purchase_pkr,
   CAST(CASE WHEN purchase_sar > 0 THEN sale_sar * sale_rate - purchase_sar * purchase_rate ELSE 0 END AS DECIMAL(18,2)) AS profit
-  FROM (SELECT *, row_number() OVER (PARTITION BY ref_no, trim(item) ORDER BY position) AS rn FROM req WHERE item <> '') t WHERE rn = 1)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY ref_no, trim(item) ORDER BY l_partkey, l_suppkey, sale_sar, given, created_at) AS rn FROM req WHERE item <> '') t WHERE rn = 1)"""
 NEW = "sale_sar sale_rate sale_pkr purchase_sar purchase_rate purchase_pkr profit supplier_code supplier_name".split()
 ELIGIBLE = """
 el AS (SELECT s.ref_no, CASE WHEN cost > 0 THEN 'Purchase entries exist for this ref' WHEN received > 0 THEN 'Payment has been received for this ref' END AS reason

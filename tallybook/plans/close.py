@@ -70,7 +70,7 @@ def _opening(books: Books, method: str, manual: str, column: str, to: dt.date) -
     previous = before_day(books.snapshots, to)
     flows = _signed_flows(books, method, manual, field(previous, "date_to", EPOCH), to)
     base = field(previous, column, 0)
-    return flows.agg(as_total(total("amount") + F.lit(0)).alias("flow")).select(
+    return flows.agg(total("amount").alias("flow")).select(
         as_total(F.col("flow") + base).alias(column)
     )
 

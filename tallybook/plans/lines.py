@@ -33,6 +33,11 @@ STAY_COLUMNS = {
 }
 
 
+def listed(column: str, schema: str) -> Column:
+    """The elements of a JSON list; NULL for anything else, such as an empty object."""
+    return F.when(F.ltrim(column).startswith("["), F.from_json(column, schema))
+
+
 def _count_of(n: Column, unit: str) -> Column:
     """``1 Person``, ``2 Persons``, ``0 Person``."""
     return F.concat(_plain(n), F.lit(f" {unit}"), F.when(n > 1, "s").otherwise(""))
@@ -51,7 +56,7 @@ def _line(ref: str, item: Column, sar: Column, rate: Column) -> list[Column]:
 
 def _exploded(rows: DataFrame, column: str, schema: str, *keep: str) -> DataFrame:
     """One row per element with its position from 1; no array, no rows."""
-    return rows.select("ref_no", *keep, F.posexplode(F.from_json(column, schema)).alias("_pos", "e")).withColumn(
+    return rows.select("ref_no", *keep, F.posexplode(listed(column, schema)).alias("_pos", "e")).withColumn(
         "n", (F.col("_pos") + 1).cast("string")
     )
 
@@ -133,7 +138,7 @@ def lines_pkg(books: Books) -> DataFrame:
     The elements of every kind are first brought to one shape; the item text
     is built after the explode, by kind.
     """
-    rows = active(books.bookings).withColumn("first", F.get(F.from_json("flights", FLIGHT), F.lit(0)))
+    rows = active(books.bookings).withColumn("first", F.get(listed("flights", FLIGHT), F.lit(0)))
 
     def either(a: str, b: str) -> Column:
         return F.coalesce(F.nullif(F.col(f"first.{a}"), F.lit("")), F.col(f"first.{b}"), F.lit(""))
@@ -153,7 +158,7 @@ def lines_pkg(books: Books) -> DataFrame:
         )
 
     def elements(column: str, schema: str, shape) -> Column:
-        shaped = F.transform(F.from_json(column, schema), shape)
+        shaped = F.transform(listed(column, schema), shape)
         return F.coalesce(shaped, F.array().cast(ELEMENTS))
 
     def label(x: Column) -> Column:
@@ -219,7 +224,7 @@ def lines_hot(books: Books) -> DataFrame:
     rows = active(books.hotels).select(
         "ref_no",
         "sar_rate",
-        *[F.from_json(c, TEXTS).alias(c) for c in ("hotel_name", "hotel_type", "hotel_rooms", "hotel_nights", "hotel_total")],
+        *[listed(c, TEXTS).alias(c) for c in ("hotel_name", "hotel_type", "hotel_rooms", "hotel_nights", "hotel_total")],
     )
     zipped = F.transform(
         "hotel_name",
@@ -252,7 +257,7 @@ def lines_grp(books: Books) -> DataFrame:
 def lines_tic(books: Books) -> DataFrame:
     def joined(column: str) -> Column:
         # a NULL element prints as an empty text between its separators
-        texts = F.transform(F.from_json(column, TEXTS), lambda x: F.coalesce(x, F.lit("")))
+        texts = F.transform(listed(column, TEXTS), lambda x: F.coalesce(x, F.lit("")))
         return F.coalesce(F.array_join(texts, ", "), F.lit(""))
 
     info = _flight_info(joined("airline"), joined("flight_from"), joined("flight_to"))
@@ -348,7 +353,7 @@ def purchase_worksheet(books: Books, lines: DataFrame | None = None) -> DataFram
 def hotel_stays(books: Books, deleted: bool = False) -> DataFrame:
     """One row per stay of a hotel sale; in the deleted view blanks read as '' and 0."""
     rows = books.hotels.where(F.col("is_deleted") == deleted)
-    arrays = {c: F.from_json(c, TEXTS) for c in STAY_COLUMNS.values()}
+    arrays = {c: listed(c, TEXTS) for c in STAY_COLUMNS.values()}
     parsed = rows.select("ref_no", *[a.alias(c) for c, a in arrays.items()])
     counted = ("nights", "rooms", "rate", "total")
 
@@ -381,7 +386,7 @@ def hotel_voucher(books: Books) -> DataFrame:
 
 def with_totals(rows: DataFrame) -> DataFrame:
     """Persons, SAR and PKR of a sale from its own lines, without exploding them."""
-    parsed = F.from_json("rows", PRICED)
+    parsed = listed("rows", PRICED)
     start = F.lit(0).cast("decimal(28,2)")
 
     def summed(field: str) -> Column:

@@ -306,7 +306,7 @@ def purchase_requests(b: Books) -> DataFrame:
     p = F.col("l_partkey")
     return b.purchase_feed.where((F.col("purchase_sar") > 0) & (F.col("status") == "Purchase")).select(
         "ref_no",
-        ((p * 100000 + F.col("l_suppkey")) * 100 + F.col("sale_sar").cast("bigint")).alias("position"),
+        F.struct(p, "l_suppkey", "sale_sar", "purchase_sar", "created_at").alias("position"),
         F.when(p % 37 == 5, "").when(p % 3 == 0, F.concat(F.lit(" "), "item")).otherwise(F.col("item")).alias("item"),
         F.col("sale_sar").cast("string").alias("sale_sar"),
         F.lit("80").alias("sale_rate"),

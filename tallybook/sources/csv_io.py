@@ -90,7 +90,9 @@ def _typed(column: str, kind: T.DataType, merge: bool, keep_empty: bool) -> Colu
             digits = text.rlike(r"^\d{13}$")
         return F.when(digits, _from_millis(text.try_cast("bigint"), kind)).otherwise(text.try_cast(kind))
     if isinstance(kind, _NESTED):
-        # an empty cell of a nested column is an empty object
+        # an empty cell is an empty object, which as a list has no elements
+        if isinstance(kind, T.ArrayType):
+            return F.when(F.ltrim(column).startswith("["), F.from_json(raw, kind))
         return F.from_json(F.when(is_blank(column), F.lit("{}")).otherwise(raw), kind)
     return text if isinstance(kind, T.StringType) else text.try_cast(kind)
 
