@@ -120,13 +120,13 @@ SELECT snapshot_id, report_year, report_month, CAST(t AS DECIMAL(18,2)) AS total
   FROM {orders} WHERE o_orderdate < TIMESTAMP '1997-01-01' AND month(o_orderdate) % 2 = 1 GROUP BY 1, 2, 3
   UNION ALL SELECT CAST(2 AS BIGINT), CAST(1996 AS INT), CAST(1 AS INT), CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) FROM {orders} WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-01-15') m""",
     # the purge of snapshot 2 has been logged, that of snapshot 1 has not
-    "logs": "SELECT CAST(1 AS BIGINT) AS id, CAST(2 AS BIGINT) AS snapshot_id, DATE '1995-01-01' AS date_from, DATE '1995-12-31' AS date_to, "
+    "logs": "SELECT CAST(1 AS BIGINT) AS id, CAST(1997 - year(o_orderdate) AS BIGINT) AS snapshot_id, DATE '1995-01-01' AS date_from, DATE '1995-12-31' AS date_to, "
     + ", ".join(
         f"count(CASE WHEN o_orderkey % 8 = {i} THEN 1 END) AS {m.table}_count" for i, m in enumerate(MODULES)
     )
     + ", CAST(NULL AS BIGINT) AS customer_payments_count, CAST(0 AS BIGINT) AS supplier_payments_count, count(*) AS purchase_entries_count,"
     " CAST(NULL AS TIMESTAMP) AS deleted_at, TIMESTAMP '2002-01-05 00:00:00' AS archived_at, 'archive-1995.zip' AS backup_file"
-    " FROM {orders} WHERE o_orderdate < TIMESTAMP '1996-01-01'",
+    " FROM {orders} WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY year(o_orderdate)",
     # unchecked intake requests: all text, as a form sends them
     "requests": f"""
 SELECT event_id AS request_id, CASE event_type WHEN 'purchase' THEN 'customer' WHEN 'signup' THEN 'registered' WHEN 'click' THEN 'supplier' WHEN 'view' THEN 'expense' ELSE CASE event_id % 3 WHEN 0 THEN 'cash' WHEN 1 THEN 'bank' ELSE 'purchase' END END AS kind,
