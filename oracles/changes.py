@@ -97,7 +97,7 @@ SQL = {
 WITH cur AS (SELECT o_orderkey AS k, {REF} AS ref_no, o_orderkey % 17 = 0 AS is_deleted, CAST(o_orderdate AS DATE) AS booking_date, any_value({RATE}) + 1 AS pkr_rate, CAST(sum({PERSONS}) AS BIGINT) AS persons,
  sum(CASE WHEN (o_orderkey + i) % 5 < 2 THEN 0 ELSE {PERSONS} * {PRICE} END) AS sar FROM {elements(2, active="true")} GROUP BY o_orderkey, o_orderdate)
 SELECT ref_no, is_deleted, booking_date, CAST(pkr_rate AS DECIMAL(18,2)) AS pkr_rate, persons, CAST(sar AS DECIMAL(20,2)) AS total_sar, CAST(sar * pkr_rate AS DECIMAL(20,2)) AS total_pkr FROM cur
-UNION ALL SELECT 'VISA-' || lpad(CAST((SELECT max(k) FROM cur) + row_number() OVER (ORDER BY s_suppkey) AS VARCHAR), 5, '0'), false, DATE '2001-09-01', 70, 2, s_suppkey, s_suppkey * 70 FROM supplier""",
+UNION ALL SELECT 'VISA-' || lpad(CAST((SELECT max(k) FROM cur) + row_number() OVER (ORDER BY s_suppkey) AS VARCHAR), 5, '0'), false, DATE '2001-09-01', 70, 2, CAST(s_suppkey AS DECIMAL(18,2)), CAST(s_suppkey * 70 AS DECIMAL(18,2)) FROM supplier""",
     "purchase_upsert": f"""
 WITH {CLEANED} SELECT COALESCE(p.ref_no, c.ref_no) AS ref_no, COALESCE(p.item, c.item) AS item, {", ".join(f"CASE WHEN c.ref_no IS NOT NULL THEN c.{x} ELSE p.{x} END AS {x}" for x in NEW)},
  CASE WHEN p.ref_no IS NOT NULL THEN p.created_at ELSE c.created_at END AS created_at, CASE WHEN p.ref_no IS NOT NULL THEN p.id ELSE c.id END AS id, CASE WHEN c.ref_no IS NOT NULL THEN false ELSE p.is_deleted END AS is_deleted

@@ -1,6 +1,6 @@
 """Nested sales, from the flat rules their fixtures follow."""
 
-from tallybook.sources.fixtures import code_sql, ref_sql  # noqa: F401
+from tallybook.sources.fixtures import ref_sql
 
 REF = ref_sql("o_orderkey")
 RATE = "CAST(70 + o_custkey % 10 AS DECIMAL(18,2))"
