@@ -28,6 +28,9 @@ class Books:
             frame = self._frames[name] = frame()
         return frame
 
+    def define(self, name: str, frame: DataFrame | Callable[[], DataFrame]) -> None:
+        self._frames[name] = frame
+
     def __contains__(self, name: str) -> bool:
         return name in self._frames
 

@@ -38,11 +38,13 @@ _made_here: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    A cluster names one that every executor sees. Only where the setting is
-    absent (tests on one machine) is a local folder made.
+    A cluster must name one that every executor sees. Only in local mode, where
+    the driver is the only executor, is a folder made if the setting is absent.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         app = spark.sparkContext.applicationId
         if app not in _made_here:
             _made_here[app] = tempfile.mkdtemp(prefix="tallybook-")

@@ -241,9 +241,9 @@ def load(spark: SparkSession, sf_dir: str) -> Books:
     """Books over one test-data folder; each table is planned on first use."""
     books = Books()
     for name in BASE:
-        books._frames[name] = lambda n=name: base_frame(spark, sf_dir, n)
+        books.define(name, lambda n=name: base_frame(spark, sf_dir, n))
     for name in (*VIEWS, *NESTED):
-        books._frames[name] = lambda n=name: view_frame(spark, n, books)
+        books.define(name, lambda n=name: view_frame(spark, n, books))
     return books
 
 

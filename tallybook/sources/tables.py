@@ -95,7 +95,7 @@ def schema_of(spark: SparkSession, table: str) -> T.StructType:
 def _books(read) -> Books:
     frames = {IN_BOOKS.get(t, t): lambda t=t: read(t) for t in TABLES}
     books = Books(frames)
-    books._frames["sales"] = lambda: unify_sales({m.table: getattr(books, m.table) for m in MODULES})
+    books.define("sales", lambda: unify_sales({m.table: getattr(books, m.table) for m in MODULES}))
     return books
 
 
