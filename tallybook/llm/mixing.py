@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,17 +76,35 @@ def balance(cells: DataFrame, goal: DataFrame, ceiling: float = CEILING, steps:
 
 
 def _settled(offers: pd.DataFrame) -> pd.DataFrame:
-    """Documents of one source, larger ones first, that bring what is left over near 0 by one copy more or less."""
-    left, moves = int(offers["left"].iloc[0]), []
-    sign = 1 if left > 0 else -1
-    left = abs(left)
-    for row in offers.sort_values(["words", "doc_id"], ascending=[False, True]).itertuples():
-        if abs(left - row.words) < left:
-            moves.append((row.doc_id, sign))
-            left -= row.words
-        if left <= 0:
+    """Changes of copies that bring what is left over of one source near 0.
+
+    Larger documents first, by one copy each, as long as that helps; then, again and again, the two changes
+    that together come nearest. Copies stay between 0 and the ceiling.
+    """
+    offers = offers.sort_values(["words", "doc_id"], ascending=[False, True])
+    left, most = int(offers["left"].iloc[0]), int(offers["most"].iloc[0])
+    words, first = offers["words"].to_numpy(), offers["copies"].to_numpy()
+    copies = first.copy()
+    for k, size in enumerate(words):
+        step = 1 if left > 0 else -1
+        if left and 0 <= copies[k] + step <= most and abs(left - step * size) < abs(left):
+            copies[k] += step
+            left -= step * int(size)
+    while left:
+        # no change, one copy more and one copy less of each document; a pair of changes is of two documents
+        change = np.concatenate([[0], np.where(copies < most, words, 0), np.where(copies > 0, -words, 0)])
+        of = np.concatenate([[-1], np.arange(len(words)), np.arange(len(words))])
+        after = np.abs(left - change[:, None] - change[None, :])
+        after[(of[:, None] == of[None, :])] = np.iinfo(np.int64).max
+        i, j = np.unravel_index(int(after.argmin()), after.shape)
+        if after[i, j] >= abs(left):
             break
-    return pd.DataFrame(moves, columns=["doc_id", "more"])
+        for k in (i, j):
+            if change[k]:
+                copies[of[k]] += 1 if change[k] > 0 else -1
+        left -= int(change[i] + change[j])
+    moved = copies != first
+    return pd.DataFrame({"doc_id": offers["doc_id"].to_numpy()[moved], "more": (copies - first)[moved]})
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
@@ -121,13 +140,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEIL
     taken = rounded.groupBy("source_key").agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
     able = rounded.where(F.col("doc_id").isNotNull() & (F.col("size") > 0) & (F.col("rate") < ceiling))
     level = F.floor(F.log2(F.col("size").cast("double")))
-    # in each class of sizes, the documents with the smallest hashes that can be moved up, or down
-    goal = goal.withColumn("left", F.round("target").cast("long")).join(taken, "source_key").withColumn("left", F.col("left") - F.col("got"))
-    able = able.join(goal.select("source_key", "left"), "source_key")
-    movable = ((F.col("left") > 0) & (F.col("copies") < ceiling)) | ((F.col("left") < 0) & (F.col("copies") > 0))
+    # in each class of sizes, the documents with the smallest hashes may be moved up or down
+    goal = goal.join(taken, "source_key").select("source_key", (F.round("target").cast("long") - F.col("got")).alias("left"))
     slot = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(SETTLERS))
-    offer = F.min(F.struct(F.xxhash64("doc_id", F.lit(9)).alias("h"), "doc_id", "size")).alias("offer")
-    offers = able.where(movable).groupBy("source_key", "left", level.alias("level"), slot.alias("slot")).agg(offer).select("source_key", "left", "offer.doc_id", F.col("offer.size").alias("words"))
+    offer = F.min(F.struct(F.xxhash64("doc_id", F.lit(9)).alias("h"), "doc_id", "size", "copies")).alias("offer")
+    offers = able.groupBy("source_key", level.alias("level"), slot.alias("slot")).agg(offer).join(goal, "source_key").where("left <> 0")
+    offers = offers.select("source_key", "left", "offer.doc_id", F.col("offer.size").alias("words"), "offer.copies", F.lit(ceiling).alias("most"))
     moved = common.stored(offers.groupBy("source_key").applyInPandas(_settled, "doc_id long, more long"), "mixing-moves")
     out = rounded.join(moved, "doc_id", "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0)))
     return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))

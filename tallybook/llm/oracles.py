@@ -24,7 +24,7 @@ EMBEDDINGS = """
 with recursive valid as (
   select vec_id, label, embedding::double[] as e from embeddings
   where label is not null and embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links as (
   select a.vec_id as a, b.vec_id as b from valid a join valid b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
   where list_cosine_similarity(a.e, b.e) >= 0.93
@@ -44,7 +44,7 @@ BOILERPLATE = (
 RULES = rf"""
 with base as (
   select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{WORD}') as w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{WORD}')) as l from documents
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) as l from documents
 ), grams as (
   select doc_id, i, array_to_string(w[i:i+2], chr(1)) as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from base)
 ), twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from grams) where n > 1),
@@ -57,7 +57,7 @@ lines as (
     (regexp_matches(rtrim(line), '[.!?:;,"''”’)\]…]$') or n >= 10) and not (3 * bars >= n and bars >= 2)
     and not (regexp_matches(lower(line), '{BOILERPLATE}') and n <= 12) and 3 * marked < n) as good from lines group by doc_id
 ), counts as (
-  select b.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, x -> len(x))), 0)::bigint as word_chars,
+  select b.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::bigint as word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
     coalesce(r.n, 0)::bigint as n_repeat_words, coalesce(j.good, 0) >= 0.5 * coalesce(j.total, 0) as enough
   from base b left join repeated r using (doc_id) left join judged j using (doc_id)
