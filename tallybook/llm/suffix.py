@@ -28,6 +28,8 @@ from tallybook.llm import common
 WINDOW = 400
 GRAM = 272
 SPAN = WINDOW - GRAM + 1
+# Places of a mark whose surroundings one task compares; the windows of a mark with more are dealt out one by one.
+HOT_MARK = 1_000
 # Window starts that one vectorised step marks; a longer text takes several steps.
 STEP = 1 << 20
 
@@ -81,6 +83,48 @@ def _marks(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [places[at], hashes[places[at]], starts[at], starts[last]]
 
 
+def _period(gram: bytes) -> int:
+    """A period below SPAN of a 272-byte string, as the nearest return of the 16 bytes in its middle shows it; else 0."""
+    at = gram.rfind(gram[SPAN : SPAN + 16], 0, SPAN + 15)
+    p = SPAN - at
+    return p if at >= 0 and gram[p:] == gram[:-p] else 0
+
+
+def _returns(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which marks have 16 bytes in their middle that also stand up to SPAN bytes before."""
+    found = np.zeros(len(places), dtype=bool)
+    for k in range(0, len(places), 4096):
+        part = places[k : k + 4096]
+        some = rolling(data[part[0] : part[-1] + GRAM], 16, 70)
+        middle = part - part[0] + SPAN
+        for back in range(1, SPAN + 1):
+            found[k : k + 4096] |= some[middle - back] == some[middle]
+    return found
+
+
+def _stretches(text: np.ndarray, marks: list[tuple[int, int, int, int]]) -> tuple[list, list]:
+    """For marks (place, period, lo, hi) of one text: runs sure to repeat by their period, and windows to compare.
+
+    In a stretch of period p and at least 400 + 2 p bytes every window repeats p bytes before or after. Windows of these marks that are not
+    inside such a stretch are compared by their bytes.
+    """
+    runs, asked, a, b, period = [], [], 0, 0, 0
+    for place, p, lo, hi in marks:
+        if p != period or place + GRAM > b:
+            period, a, b = p, place, place + GRAM
+            while a > 0 and text[a - 1] == text[a - 1 + p]:
+                a -= 1
+            while b < len(text) and text[b] == text[b - p]:
+                b += 1
+            if b - a >= WINDOW + 2 * p:
+                runs.append({"a": a, "b": b})
+        if b - a >= WINDOW + 2 * p:
+            asked += [{"lo": x, "hi": y} for x, y in ((lo, min(hi, a - 1)), (max(lo, b - WINDOW + 1), hi)) if x <= y]
+        else:
+            asked.append({"lo": lo, "hi": hi})
+    return runs, asked
+
+
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in common.text_blocks(batch.column("text"), STEP):
@@ -98,8 +142,17 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = np.searchsorted(offsets, places, "right") - 1
             bounds = pa.array(common.per_document(doc, b - a), pa.int32())
             base = offsets[doc]
+            periods, runs, asked = {}, [[] for _ in range(b - a)], [[] for _ in range(b - a)]
+            for k in np.flatnonzero(_returns(data, places)):
+                if p := _period(data[places[k] : places[k] + GRAM].tobytes()):
+                    periods.setdefault(int(doc[k]), []).append((int(places[k]), p, int(lo[k]), int(hi[k])))
+                    hashes[k] = 0
+            for d, found in periods.items():
+                own = int(offsets[d])
+                runs[d], asked[d] = _stretches(data[own : int(offsets[d + 1])].tobytes(), [(x - own, p, y - own, z - own) for x, p, y, z in found])
             lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int64))) for x in (places - base, hashes.view(np.int64), lo - base, hi - base)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *lists], names=["doc_id", "pos", "mark", "lo", "hi"])
+            kinds = [pa.list_(pa.struct([(x, pa.int64()), (y, pa.int64())])) for x, y in (("a", "b"), ("lo", "hi"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *lists, pa.array(runs, kinds[0]), pa.array(asked, kinds[1])], names=["doc_id", "pos", "mark", "lo", "hi", "runs", "asked"])
 
 
 # ---- difference-cover suffix sort on (d, r, k, c): text, run, place in the run, symbol > 0 ------------------
@@ -118,7 +171,10 @@ def cumulated(rows: DataFrame, keys: list[str], counts: dict[str, Column], label
     ranges = ranges.select("p", *[F.coalesce(F.sum(f"t_{x}").over(before), F.lit(0)).alias(f"o_{x}") for x in counts])
     inside = W.partitionBy("p").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
     summed = fixed.select("*", *[F.coalesce(F.sum(f"n_{x}").over(inside), F.lit(0)).alias(x) for x in counts])
-    return summed.join(F.broadcast(ranges), "p").select(*keys, *[f"n_{x}" for x in counts], *[(F.col(x) + F.col(f"o_{x}")).alias(x) for x in counts])
+    placed = summed.join(ranges, "p").select(*keys, *[f"n_{x}" for x in counts], *[(F.col(x) + F.col(f"o_{x}")).alias(x) for x in counts])
+    placed = common.stored(placed, label)
+    common.drop(fixed)
+    return placed
 
 
 def suffix_ranks(text: DataFrame, symbols: int, label: str) -> DataFrame:
@@ -130,7 +186,7 @@ def suffix_ranks(text: DataFrame, symbols: int, label: str) -> DataFrame:
     ahead = lambda c, n: F.coalesce(F.lead(c, n).over(along), F.lit(0))
     triples = common.stored(text.select("*", ahead("c", 1).alias("c1"), ahead("c", 2).alias("c2")), label)
     cover = triples.where("k % 3 <> 0")
-    names = common.stored(cumulated(cover, ["c", "c1", "c2"], {"name": F.lit(1)}, label), label)
+    names = cumulated(cover, ["c", "c1", "c2"], {"name": F.lit(1)}, label)
     repeated = names.where("n_name > 1").limit(1).count() > 0
     named = cover.join(names.select("c", "c1", "c2", (F.col("name") + 1).alias("name")), ["c", "c1", "c2"])
     if repeated and symbols > 3:
@@ -146,7 +202,9 @@ def suffix_ranks(text: DataFrame, symbols: int, label: str) -> DataFrame:
     two = cumulated(rows.where(place != 1), ["c", "c1", "q2"], {"zero": place == 0, "two": place == 2}, label)
     merged = rows.join(one.select("c", "q1", F.col("zero").alias("z1"), "one"), ["c", "q1"], "left").join(two.select("c", "c1", "q2", F.col("zero").alias("z2"), "two"), ["c", "c1", "q2"], "left")
     rank = F.when(place == 0, F.col("z1") + F.col("one") + F.col("two") + 1).when(place == 1, F.col("q") + F.col("z1")).otherwise(F.col("q") + F.col("z2"))
-    return common.stored(merged.select("d", "r", "k", rank.alias("rank")), label)
+    ranks = common.stored(merged.select("d", "r", "k", rank.alias("rank")), label)
+    common.drop(triples, names, rows, one, two)
+    return ranks
 
 
 # ---- repeated strings ---------------------------------------------------------------------------------------
@@ -163,6 +221,65 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), doc)), pa.array(np.arange(a, a + len(one))), pa.array(one), pa.array(two)], names=["d", "s", "h1", "h2"])
 
 
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mark, d, pos, lo, hi, left, right): the bytes before a mark, backwards, and after it that its windows hold."""
+    for batch in batches:
+        rows = []
+        for doc, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("places").to_pylist()):
+            data = text.as_py().encode()
+            for x in places:
+                pos, lo, hi = x["pos"], x["lo"], x["hi"]
+                rows.append((x["mark"], doc, pos, lo, hi, data[lo:pos][::-1], data[pos + GRAM : hi + WINDOW]))
+        if rows:
+            kinds = [pa.int64()] * 5 + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["mark", "d", "pos", "lo", "hi", "left", "right"])
+
+
+def _prefix_hashes(column: pa.Array) -> np.ndarray:
+    """Hashes of the first 0 to SPAN - 1 bytes of each value."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"\0", dtype=np.uint8)
+    out = np.ones((len(column), SPAN), dtype=np.uint64)
+    for k in range(1, SPAN):
+        byte = data[np.minimum(offsets[:-1] + k - 1, len(data) - 1)]
+        out[:, k] = (out[:, k - 1] + common.BYTE_VALUE[byte]) * np.uint64(0x9E3779B97F4A7C15)
+    return out
+
+
+def _equal_windows(rows: pa.Table) -> pa.RecordBatch:
+    """(d, s) of windows that another place of the same mark has at the same distance."""
+    mark, d, pos, lo, hi = (rows.column(c).to_numpy() for c in ("mark", "d", "pos", "lo", "hi"))
+    left, right = (_prefix_hashes(rows.column(c).combine_chunks()) for c in ("left", "right"))
+    back = np.arange(SPAN)
+    own, o = np.nonzero((back[None, :] <= (pos - lo)[:, None]) & (back[None, :] >= (pos - hi)[:, None]))
+    c = common.seeds(4, 80)
+    key = common.mix(left[own, o] * c[0] + right[own, SPAN - 1 - o] * c[1] + o.astype(np.uint64) * c[2] + mark[own].view(np.uint64) * c[3])
+    order = np.argsort(key, kind="stable")
+    own, o, key = own[order], o[order], key[order]
+    same = (key[1:] == key[:-1]) & (o[1:] == o[:-1]) & (mark[own[1:]] == mark[own[:-1]])
+    twin = np.zeros(len(key), dtype=bool)
+    twin[1:] |= same
+    twin[:-1] |= same
+    return pa.RecordBatch.from_arrays([pa.array(d[own[twin]]), pa.array((pos[own] - o)[twin])], names=["d", "s"])
+
+
+def _twins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by mark; those of the last mark of a batch wait for the next batch."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        marks = rows.column("mark").to_numpy()
+        cut = int(np.searchsorted(marks, marks[-1]))
+        if cut:
+            yield _equal_windows(rows.slice(0, cut))
+        held = rows.slice(cut)
+    if held is not None:
+        yield _equal_windows(held)
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Small batches put together, so that each handed over has many rows."""
     held, n = [], 0
@@ -207,12 +324,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(left, pa.string())], names=["doc_id", "spans", "n_removed", "sha", "left_text"])
 
 
+SAMPLE = "doc_id long, pos array<long>, mark array<long>, lo array<long>, hi array<long>, runs array<struct<a:long,b:long>>, asked array<struct<lo:long,hi:long>>"
+
+
 def _symbols(reps: DataFrame, label: str) -> DataFrame:
-    """(d, i, pos, mark, lo, hi) of marks that occur at least twice."""
+    """(d, i, pos, mark, lo, hi) of marks that occur at least twice; a missing i ends a sequence."""
     shifted = reps.select(
         F.col("doc_id").alias("d"),
         F.posexplode(F.transform("pos", lambda p, i: F.struct(p.alias("pos"), F.get("mark", i).alias("mark"), F.get("lo", i).alias("lo"), F.get("hi", i).alias("hi")))).alias("i", "x"),
     ).select("d", "i", "x.*")
+    # a mark of 0 lies in a periodic stretch, which is settled apart
+    shifted = shifted.where("mark <> 0")
     twice = shifted.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
     return common.stored(shifted.join(twice, "mark", "left_semi"), label)
 
@@ -232,8 +354,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     base = common.stored(rows.select("doc_id", F.octet_length(binary).cast("long").alias("n_bytes"), F.sha2(binary, 256).alias("sha")), label)
     copies = base.where("doc_id is not null").groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.max("n_bytes").alias("n"))
     copies = common.stored(copies.where(F.col("n") >= WINDOW), label)
-    sampled = common.stored(rows.where("doc_id is not null").mapInArrow(_marked, "doc_id long, pos array<long>, mark array<long>, lo array<long>, hi array<long>").where(F.size("pos") > 0), label)
+    sampled = common.stored(rows.where("doc_id is not null").mapInArrow(_marked, SAMPLE).where(F.size("pos") > 0), label)
     reps = sampled.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = common.stored(reps, label)
+    common.drop(sampled)
 
     kept = _symbols(reps, label)
     by_doc = W.partitionBy("d").orderBy("i")
@@ -252,9 +376,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     # adjacent suffixes: one row per rank, numbered without gaps, met by the next number
     suffixes = common.stored(runs.join(ranks, ["d", "r", "k"]), label)
-    order = common.stored(suffixes.groupBy("rank").agg(F.count("*").alias("m"), F.max_by("ahead", F.size("ahead")).alias("prefix")), label)
-    order = order.join(cumulated(order.select("rank"), ["rank"], {"g": F.lit(1)}, label).select("rank", "g"), "rank")
-    order = common.stored(order, label)
+    prefixes = common.stored(suffixes.groupBy("rank").agg(F.count("*").alias("m"), F.max_by("ahead", F.size("ahead")).alias("prefix")), label)
+    order = common.stored(prefixes.join(cumulated(prefixes.select("rank"), ["rank"], {"g": F.lit(1)}, label).select("rank", "g"), "rank"), label)
     after = order.select((F.col("g") - 1).alias("g"), F.col("prefix").alias("other"))
     first_off = F.array_position(F.zip_with("prefix", "other", lambda x, y: x.eqNullSafe(y)), False)
     shared = F.when(first_off == 0, F.size("prefix")).otherwise(first_off - 1).cast("int")
@@ -278,20 +401,33 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     # windows at the ends of runs, and those of the same mark and distance that they may equal
     open_ = found.where("open_lo <= open_hi").groupBy("mark").agg(F.min(F.col("pos") - F.col("open_hi")).alias("near"), F.max(F.col("pos") - F.col("open_lo")).alias("far"))
-    asked = found.where("lo <= hi").join(open_, "mark").select("d", F.greatest("lo", F.col("pos") - F.col("far")).alias("lo"), F.least("hi", F.col("pos") - F.col("near")).alias("hi")).where("lo <= hi")
-    asked = common.stored(asked.groupBy("d").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), label)
-    settled = found.where(F.col("reach") >= WINDOW).groupBy("d").agg(F.collect_list(F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("reach")).alias("b"))).alias("runs"))
+    asked = found.where("lo <= hi").join(open_, "mark").select("d", "mark", "pos", F.greatest("lo", F.col("pos") - F.col("far")).alias("lo"), F.least("hi", F.col("pos") - F.col("near")).alias("hi")).where("lo <= hi")
+    asked = common.stored(asked, label)
+    hot = common.small(common.stored(asked.groupBy("mark").agg(F.count("*").alias("m")).where(F.col("m") > HOT_MARK).select("mark"), label))
+    places = asked.join(hot, "mark", "left_anti").groupBy("d").agg(F.collect_list(F.struct("mark", "pos", "lo", "hi")).alias("places"))
+    places = common.stored(places, label)
+    periodic = reps.select(F.col("doc_id").alias("d"), F.explode("asked").alias("x")).select("d", "x.*")
+    spans = asked.join(hot, "mark", "left_semi").select("d", "lo", "hi").unionByName(periodic)
+    spans = common.stored(spans.groupBy("d").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), label)
+    periodic = reps.select(F.col("doc_id").alias("d"), F.explode("runs").alias("x")).select("d", "x.*")
+    settled = found.where(F.col("reach") >= WINDOW).select("d", F.col("pos").alias("a"), (F.col("pos") + F.col("reach")).alias("b")).unionByName(periodic)
+    settled = settled.groupBy("d").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     settled = common.stored(settled, label)
-    wanted = asked.select("d").unionByName(settled.select("d")).distinct()
-    texts = rows.join(wanted.withColumnRenamed("d", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = common.stored(texts, label)
-    windows = texts.join(asked.withColumnRenamed("d", "doc_id"), "doc_id").mapInArrow(_hashed, "d long, s long, h1 long, h2 long")
+    common.drop(reps, kept, runs, suffixes, prefixes, order, met, ranks, found)
+    wanted = common.stored(places.select("d").unionByName(spans.select("d")).unionByName(settled.select("d")).distinct().withColumnRenamed("d", "doc_id"), label)
+    held = common.stored(rows.join(common.small(wanted), "doc_id", "left_semi"), label)
+    texts = held.dropDuplicates(["doc_id"])
+    around = texts.join(places.withColumnRenamed("d", "doc_id"), "doc_id").mapInArrow(_surroundings, "mark long, d long, pos long, lo long, hi long, left binary, right binary")
+    twins = around.repartition("mark").sortWithinPartitions("mark").mapInArrow(_twins, "d long, s long")
+    windows = texts.join(spans.withColumnRenamed("d", "doc_id"), "doc_id").mapInArrow(_hashed, "d long, s long, h1 long, h2 long")
     windows = common.stored(windows, label)
     equal = windows.groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1").select("h1", "h2")
-    starts = windows.join(equal, ["h1", "h2"], "left_semi").groupBy("d").agg(F.collect_list("s").alias("starts"))
+    starts = windows.join(equal, ["h1", "h2"], "left_semi").select("d", "s").unionByName(twins)
+    starts = common.stored(starts.groupBy("d").agg(F.collect_list("s").alias("starts")), label)
     both = settled.join(starts, "d", "full").withColumnRenamed("d", "doc_id")
     cut = texts.join(both, "doc_id").mapInArrow(_cut, "doc_id long, spans array<struct<start:long,end:long>>, n_removed long, sha string, left_text string")
     cut = common.stored(cut, label)
+    common.drop(windows, asked, places, spans, starts, settled, held, wanted)
 
     many = base.join(copies.where("copies > 1").select("sha", "copies"), "sha", "left")
     whole = F.col("doc_id").isNotNull() & F.col("copies").isNotNull() & (F.col("n_bytes") >= WINDOW)
