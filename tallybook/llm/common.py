@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows written once to the shared folder and read back; cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by stored() that no later step reads, and let Spark clear the shuffle files of ended jobs."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
+
+
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df`` of a few numbers a row, marked for broadcast if it has at most ``most`` rows; else Spark joins it by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
@@ -163,6 +181,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(small, "u")
-        now = stored(moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct(), label)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(low, "u")
+        before, now = now, stored(moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(), label)
+        drop(before)

@@ -119,16 +119,21 @@ def _promising(threshold: int) -> Column:
     return (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (differ <= int(np.ceil(most)) + 12)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; texts are read again for these documents only."""
-    pairs = common.stored(pairs, "minhash-pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = common.id_and_text(docs).where("doc_id is not null").join(wanted, "doc_id", "left_semi")
-    sets = common.stored(texts.mapInArrow(_full_sets, "doc_id long, grams array<long>"), "minhash-sets")
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, grams) of the documents in ``wanted``; texts are read again, and shuffled only if those are many."""
+    texts = common.id_and_text(docs).join(common.small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    return common.stored(texts.mapInArrow(_full_sets, "doc_id long, grams array<long>").dropDuplicates(["doc_id"]), "minhash-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
-    common_size = F.size(F.array_intersect("ga", "gb"))
-    both = both.select("a", "b", common_size.alias("i"), (F.size("ga") + F.size("gb")).alias("t"))
-    return both.where(100 * F.col("i") >= threshold * (F.col("t") - F.col("i"))).select("a", "b").distinct()
+    both = both.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("i"), (F.size("ga") + F.size("gb")).alias("t"))
+    return both.where(100 * F.col("i") >= threshold * (F.col("t") - F.col("i"))).select("a", "b")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
@@ -137,49 +142,59 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     Documents with equal shingle sets are one node. Each bucket of a band hands its members to one leader,
     another one in each band, so that a bucket of any size gives as many candidates as it has members.
     Buckets whose members are then still in several components compare the members outside the leader's
-    component with all others of the bucket that belong elsewhere. A null or blank text has no shingles and
-    is linked with nothing. A row without an id is linked with nothing, has no component and is kept.
-    Repeated rows get equal results. Empty tables give empty results.
+    component with the others of the bucket that belong elsewhere, in the first bucket that both share, if
+    their shingles that occur in any second document could make them similar enough. A null or blank text has
+    no shingles and is linked with nothing. A row without an id is linked with nothing, has no component and
+    is kept. Repeated rows get equal results. Empty tables give empty results.
     """
     sig = common.stored(signatures(docs), "minhash-signatures")
     same = ["k1", "k2", "n"]
-    with_id = sig.where("doc_id is not null and n > 0")
-    nodes = common.stored(with_id.groupBy(*same).agg(F.min("doc_id").alias("node")), "minhash-nodes")
-    reps = sig.where("doc_id is not null").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    slim = common.stored(reps.select("doc_id", "n", "sketch", "bands"), "minhash-reps")
+    nodes = common.stored(sig.where("doc_id is not null and n > 0").groupBy(*same).agg(F.min("doc_id").alias("node")), "minhash-nodes")
+    slim = sig.where("doc_id is not null").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    slim = common.stored(slim.dropDuplicates(["doc_id"]).select("doc_id", "n", "sketch", "bands"), "minhash-reps")
+    keys = common.stored(sig.select("doc_id", *same), "minhash-keys")
+    common.drop(sig)
     members = slim.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
 
-    def with_sketches(pairs: DataFrame) -> DataFrame:
-        a = slim.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        b = slim.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        return pairs.join(a, "a").join(b, "b").where(_promising(threshold)).select("a", "b")
-
     # the leader of a bucket has the smallest hash of id and band
     ticket = F.struct(F.xxhash64("doc_id", "band").alias("h"), "doc_id")
     buckets = members.groupBy("bucket").agg(F.min(ticket)["doc_id"].alias("leader"), F.count("*").alias("m")).where("m > 1")
-    buckets = common.stored(buckets.select("bucket", "leader"), "minhash-buckets")
-    shared = common.stored(members.join(buckets, "bucket").select("bucket", "doc_id", "leader"), "minhash-members")
+    shared = common.stored(members.join(buckets.select("bucket", "leader"), "bucket").select("bucket", "band", "doc_id", "leader"), "minhash-members")
     stars = shared.where("doc_id <> leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-    links = common.stored(_confirmed(with_sketches(stars), docs, threshold), "minhash-links")
-    groups = common.components(links, "minhash-stars")
+    a = slim.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = slim.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    stars = common.stored(stars.join(a, "a").join(b, "b").where(_promising(threshold)).select("a", "b"), "minhash-stars")
+    sets = _sets_of(docs, _ends(stars))
+    links = common.stored(_confirmed(stars, sets, threshold), "minhash-links")
+    common.drop(sets, stars)
+    groups = common.stored(common.components(links, "minhash-stars"), "minhash-groups")
+    common.drop(links)
 
     root = groups.select(F.col("node").alias("doc_id"), "root")
+    led = root.select(F.col("doc_id").alias("leader"), F.col("root").alias("led"))
     placed = shared.join(root, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    placed = common.stored(placed.join(mixed, "bucket", "left_semi"), "minhash-mixed")
-    led = root.select(F.col("doc_id").alias("leader"), F.col("root").alias("led"))
-    strays = placed.join(led, "leader", "left").where("root <> coalesce(led, leader)")
-    strays = strays.select("bucket", F.col("doc_id").alias("x"), F.col("root").alias("rx"))
-    others = placed.where("doc_id <> leader").select("bucket", F.col("doc_id").alias("y"), F.col("root").alias("ry"))
-    sx = slim.select(F.col("doc_id").alias("x"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    sy = slim.select(F.col("doc_id").alias("y"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    left, right = strays.join(sx, "x"), others.join(sy, "y")
-    across = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("rx") != F.col("ry")) & _promising(threshold))
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _confirmed(across, docs, threshold)
-    groups = common.components(more.select(F.col("a"), F.col("b")).unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))), "minhash-components")
-
-    roots = nodes.join(groups, "node", "left").select(*same, F.coalesce("root", "node").alias("root"))
-    out = sig.select("doc_id", *same).join(roots, same, "left")
+    placed = placed.join(mixed, "bucket", "left_semi").join(led, "leader", "left")
+    placed = common.stored(placed.select("bucket", "band", "doc_id", "root", (F.col("root") != F.coalesce("led", "leader")).alias("stray")), "minhash-mixed")
+    sets = _sets_of(docs, placed)
+    grams = sets.select("doc_id", F.explode("grams").alias("gram"))
+    twice = grams.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
+    known = grams.join(twice, "gram", "left_semi").groupBy("doc_id").agg(F.count("*").alias("known"))
+    facts = slim.join(known, "doc_id").select("doc_id", "n", "sketch", "bands", "known").where(100 * F.col("known") >= threshold * F.col("n"))
+    placed = placed.join(facts, "doc_id")
+    named = lambda side, end: placed.select("bucket", "band", "stray", "root", *[F.col(c).alias(c[0] + end) for c in ("n", "sketch", "bands", "known")], F.col("doc_id").alias(end)).alias(side)
+    x, y = named("x", "a").where("stray"), named("y", "b")
+    least = F.least("ka", "kb")
+    enough = 100 * least >= threshold * (F.col("na") + F.col("nb") - least)
+    first = F.array_position(F.zip_with("ba", "bb", lambda p, q: p == q), True) == F.col("x.band") + 1
+    once = ~F.col("y.stray") | (F.col("a") < F.col("b"))
+    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & once & enough & _promising(threshold) & first)
+    more = common.stored(_confirmed(across.select("a", "b"), sets, threshold), "minhash-more")
+    links = more.unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    final = common.stored(common.components(links, "minhash-components"), "minhash-final")
+    common.drop(sets, more, groups, shared, slim)
+
+    roots = nodes.join(final, "node", "left").select(*same, F.coalesce("root", "node").alias("root"))
+    out = keys.join(roots, same, "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
