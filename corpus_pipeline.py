@@ -18,13 +18,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows whose id is not in ``gone``; rows without an id stay."""
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = common.stored(gone.select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-gone")
+    return docs.join(common.small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
-    judged = quality.classify(docs, common.read(spark, sf_dir, "labels"))
-    return _without(docs, judged.where("predicted = 0"))
+    return quality.accepted(docs, common.read(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,7 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies"))
-    taken = docs.join(copies, F.col("doc_id") == F.col("_id"))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return mixing.taken(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,7 +104,51 @@ def _settled(offers: pd.DataFrame) -> pd.DataFrame:
                 copies[of[k]] += 1 if change[k] > 0 else -1
         left -= int(change[i] + change[j])
     moved = copies != first
-    return pd.DataFrame({"doc_id": offers["doc_id"].to_numpy()[moved], "more": (copies - first)[moved]})
+    return pd.DataFrame({"_moved": offers["doc_id"].to_numpy()[moved], "_more": (copies - first)[moved]})
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """``docs`` with _size in words, _crc of the text, and _key, which keeps a null source apart from an empty one."""
+    words = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit(common.WORD))).cast("long")
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    return docs.withColumns({"_size": words, "_crc": F.crc32(F.col("text").cast("binary")), "_key": key})
+
+
+def _counted(rows: DataFrame, plan: DataFrame, ceiling: int) -> DataFrame:
+    """Rows of sized() with _copies by rate and hash; the plan has a row for each source."""
+    chance = F.pmod(F.xxhash64("doc_id", "_crc", F.lit(5)), F.lit(1 << 40)) / float(1 << 40)
+    drawn = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")
+    return rows.join(plan, "_key").withColumn("_copies", F.least(drawn, F.lit(ceiling)).cast("long"))
+
+
+def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
+    """``docs`` with _size, source_size, target, rate and _copies; texts are not shuffled. See mix()."""
+    rows = common.stored(sized(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "_size", "_crc", "_key"), "mixing-sizes")
+    cells = rows.groupBy(F.col("_key").alias("source_key"), F.col("_size").alias("size")).agg(F.count("*").alias("n"))
+    cells = common.stored(cells, "mixing-cells")
+    sums = cells.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("total")).limit(MAX_SOURCES + 1).collect()
+    if len(sums) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sizes = {(r.source_key[1:] if r.source_key[0] == "s" else None): int(r.total) for r in sums}
+    goals = [("n" if s is None else "s" + s, sizes[s], float(t)) for s, t in targets(sizes, weights, ceiling).items()]
+    goal = docs.sparkSession.createDataFrame(goals, "source_key string, source_size long, target double")
+    rates = balance(cells, goal, ceiling)
+    plan = common.stored(goal.join(rates, "source_key").select(F.col("source_key").alias("_key"), "source_size", "target", "rate"), "mixing-plan")
+    # bounded by MAX_SOURCES rows
+    rounded = _counted(rows, F.broadcast(plan), ceiling)
+    got = rounded.groupBy("_key").agg(F.sum(F.col("_copies") * F.col("_size")).alias("got"))
+    gap = got.join(plan, "_key").select("_key", (F.round("target").cast("long") - F.col("got")).alias("left"))
+    # in each class of sizes, the documents with the smallest hashes may be moved up or down
+    able = rounded.where(F.col("doc_id").isNotNull() & (F.col("_size") > 0) & (F.col("rate") < ceiling))
+    level, slot = F.floor(F.log2(F.col("_size").cast("double"))), F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(SETTLERS))
+    offer = F.min(F.struct(F.xxhash64("doc_id", F.lit(9)).alias("h"), "doc_id", "_size", "_copies")).alias("offer")
+    offers = able.groupBy("_key", level.alias("level"), slot.alias("slot")).agg(offer).join(gap, "_key").where("left <> 0")
+    offers = offers.select("_key", "left", "offer.doc_id", F.col("offer._size").alias("words"), F.col("offer._copies").alias("copies"), F.lit(ceiling).alias("most"))
+    moved = common.stored(offers.groupBy("_key").applyInPandas(_settled, "_moved long, _more long"), "mixing-moves")
+    common.drop(rows, cells)
+    out = _counted(sized(docs), F.broadcast(plan), ceiling)
+    out = out.join(common.small(moved), F.col("doc_id") == F.col("_moved"), "left")
+    return out.withColumn("_copies", F.col("_copies") + F.coalesce("_more", F.lit(0))).drop("_moved", "_more", "_crc", "_key")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
@@ -115,37 +159,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEIL
     and text falls below it, so reruns agree and equal ids are taken alike. ``taken`` is copies * size and
     never above ``ceiling`` * size. Empty tables give empty results.
     """
-    words = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit(common.WORD)))
-    rows = common.id_and_text(docs, F.col("source").cast("string").alias("source")).select(
-        "doc_id", "source", words.cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("crc")
-    )
-    # one character in front keeps a null source apart from an empty one
-    rows = common.stored(rows.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mixing-sizes")
-    cells = common.stored(rows.groupBy("source_key", "size").agg(F.count("*").alias("n")), "mixing-cells")
-    sums = cells.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("total")).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {(r.source_key[1:] if r.source_key[0] == "s" else None): int(r.total) for r in sums}
-    key_of = lambda s: "n" if s is None else "s" + s
-    goals = [(key_of(s), sizes[s], float(t)) for s, t in targets(sizes, weights, ceiling).items()]
-    spark = docs.sparkSession
-    goal = spark.createDataFrame(goals, "source_key string, source_size long, target double")
-    rates = balance(cells, goal, ceiling)
-    plan = goal.join(rates, "source_key")
-    chance = F.pmod(F.xxhash64("doc_id", "crc", F.lit(5)), F.lit(1 << 40)) / float(1 << 40)
-    drawn = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")
-    rounded = rows.join(plan, "source_key").withColumn("copies", F.least(drawn, F.lit(ceiling)).cast("long"))
-    rounded = common.stored(rounded.drop("dual"), "mixing-rounded")
+    rows = planned(common.id_and_text(docs, F.col("source").cast("string").alias("source")), weights, ceiling)
+    return rows.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "rate", F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
-    taken = rounded.groupBy("source_key").agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
-    able = rounded.where(F.col("doc_id").isNotNull() & (F.col("size") > 0) & (F.col("rate") < ceiling))
-    level = F.floor(F.log2(F.col("size").cast("double")))
-    # in each class of sizes, the documents with the smallest hashes may be moved up or down
-    goal = goal.join(taken, "source_key").select("source_key", (F.round("target").cast("long") - F.col("got")).alias("left"))
-    slot = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(SETTLERS))
-    offer = F.min(F.struct(F.xxhash64("doc_id", F.lit(9)).alias("h"), "doc_id", "size", "copies")).alias("offer")
-    offers = able.groupBy("source_key", level.alias("level"), slot.alias("slot")).agg(offer).join(goal, "source_key").where("left <> 0")
-    offers = offers.select("source_key", "left", "offer.doc_id", F.col("offer.size").alias("words"), "offer.copies", F.lit(ceiling).alias("most"))
-    moved = common.stored(offers.groupBy("source_key").applyInPandas(_settled, "doc_id long, more long"), "mixing-moves")
-    out = rounded.join(moved, "doc_id", "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0)))
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
+    """Every row of ``docs`` as often as the mix takes it, with the columns as they are."""
+    rows = planned(docs, weights, ceiling).where("_copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallybook.llm import common
 
@@ -90,7 +91,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def feature_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, x) of every row; the texts are read once and are not shuffled."""
+    """(doc_id, x) of every row."""
     return common.id_and_text(docs).mapInArrow(_featured, "doc_id long, x array<double>")
 
 
@@ -192,23 +193,27 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, bins: int = 32, pair_bin
     return Model(bias, cuts, tables, pairs)
 
 
-def train(table: DataFrame, labels: DataFrame, label: str, max_train: int = MAX_TRAIN) -> Model:
-    """Fit on the rows of a feature table that are not held out, about ``max_train`` at most."""
-    rows = table.where(~common.held_out(5, 0)).join(common.bounded_sample(common.one_label(labels, label).where(~common.held_out(5, 0)), "doc_id", max_train), "doc_id")
-    got = rows.orderBy("doc_id").select("x", "label").toPandas()
+def train(docs: DataFrame, labels: DataFrame, label: str, max_train: int = MAX_TRAIN) -> Model:
+    """Fit on documents that are not held out, about ``max_train`` at most."""
+    chosen = common.bounded_sample(common.one_label(labels, label).where(~common.held_out(5, 0)), "doc_id", max_train)
+    # bounded by max_train rows of two numbers
+    rows = feature_table(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).join(chosen, "doc_id")
+    got = rows.select("x", "label", "doc_id").toPandas().sort_values("doc_id").drop_duplicates("doc_id")
     x = np.array(got["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     return fit(x, (got["label"].to_numpy(dtype=float) > 0).astype(float))
 
 
-def scored(table: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of a feature table."""
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with a column ``_score``, found by its features; all rows and columns pass through."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
+            text = batch.column("text").cast(pa.string())
+            found = [model.score(features(data, offsets)) for _, _, data, offsets in common.text_blocks(text)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *found]))], names=schema.names)
 
-    return table.mapInArrow(score, "doc_id long, score double")
+    return docs.mapInArrow(score, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = 0.3) -> DataFrame:
@@ -219,6 +224,10 @@ def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, thr
     rows each get the same score. Without labels of both kinds every score is the smoothed share of label 1
     (0.5 without any). Of repeated labels the largest counts. Empty tables give empty results.
     """
-    table = common.stored(feature_table(docs), "quality-features")
-    result = scored(table, train(table, labels, "quality", max_train))
-    return result.select("doc_id", common.held_out(5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    result = scored(common.id_and_text(docs), train(docs, labels, "quality", max_train))
+    return result.select("doc_id", common.held_out(5, 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that classify() predicts 1 for, in one pass and with the columns as they are."""
+    return scored(docs, train(docs, labels, "quality", max_train)).where(F.col("_score") >= threshold).drop("_score")
