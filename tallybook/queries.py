@@ -302,14 +302,17 @@ def _snapshot_publish(b: Books) -> DataFrame:
 
 
 def purchase_requests(b: Books) -> DataFrame:
-    """Re-priced returned lines of the feed, with stray blanks in and around the item."""
+    """Re-priced returned lines of the feed, with stray blanks in and around the item, some of them sent again."""
     p = F.col("l_partkey")
-    return b.purchase_feed.where((F.col("purchase_sar") > 0) & (F.col("status") == "Purchase")).select(
+    feed = b.purchase_feed.where((F.col("purchase_sar") > 0) & (F.col("status") == "Purchase"))
+    # a fifth of the items is sent twice; the first counts
+    feed = feed.withColumn("attempt", F.explode(F.sequence(F.lit(0), (p % 5 == 0).cast("int"))))
+    return feed.select(
         "ref_no",
-        F.struct(p, "l_suppkey", "sale_sar", "purchase_sar", "created_at").alias("position"),
+        F.struct("attempt", p, "l_suppkey", "sale_sar", "purchase_sar", "created_at").alias("position"),
         F.when(p % 37 == 5, "").when(p % 3 == 0, F.concat(F.lit(" "), "item")).otherwise(F.col("item")).alias("item"),
         F.col("sale_sar").cast("string").alias("sale_sar"),
-        F.lit("80").alias("sale_rate"),
+        F.when(F.col("attempt") == 0, "80").otherwise("81").alias("sale_rate"),
         F.when(p % 6 == 0, "").when(p % 6 == 1, "x").otherwise(F.col("purchase_sar").cast("string")).alias("purchase_sar"),
         F.lit("77.25").alias("purchase_rate"),
         "supplier_code",

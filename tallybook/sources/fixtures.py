@@ -56,7 +56,13 @@ def _amount(factor: int) -> str:
     return f"CAST(CAST(value AS DECIMAL(18,2)) * {factor} AS DECIMAL(18,2))"
 
 
-_FEED = f"""l_orderkey * 10 + l_linenumber AS id, {ref_sql("l_orderkey")} AS ref_no, 'Item ' || CAST(l_linenumber AS STRING) AS item, l_partkey, l_suppkey,
+# every line is a purchase of its own: part, supplier, ship day and quantity tell lines of one number apart
+_LINE_ID = "(((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT)"
+_ITEM = (
+    "'Item ' || CAST(l_linenumber AS STRING) || ' - part ' || CAST(l_partkey AS STRING) || ' of ' || CAST(l_suppkey AS STRING)"
+    " || ', ' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || ' on ' || CAST(CAST(l_shipdate AS DATE) AS STRING)"
+)
+_FEED = f"""{_LINE_ID} AS id, {ref_sql("l_orderkey")} AS ref_no, {_ITEM} AS item, l_partkey, l_suppkey,
  CAST(l_quantity AS DECIMAL(18,2)) AS sale_sar, CAST(75.50 AS DECIMAL(18,2)) AS sale_rate,
  CASE WHEN l_returnflag = 'R' THEN CAST(0 AS DECIMAL(18,2)) ELSE CAST(l_quantity AS DECIMAL(18,2)) END AS purchase_sar,
  CAST(CAST(70 AS DECIMAL(18,2)) + CAST(l_tax AS DECIMAL(18,2)) * 100 AS DECIMAL(18,2)) AS purchase_rate,
@@ -78,14 +84,11 @@ SELECT o_orderkey AS id, {prefix_sql("o_orderkey")} AS prefix, {ref_sql("o_order
  FROM {{orders}} JOIN {{customer}} ON c_custkey = o_custkey""",
     "purchase_feed": f"""
 SELECT {_FEED} FROM {{lineitem}}""",
-    # one row per (order, line), found on the raw columns before any text is built
     "purchases": f"""
 SELECT id, ref_no, item, sale_sar, sale_rate, CAST(sale_sar * sale_rate AS DECIMAL(18,2)) AS sale_pkr, purchase_sar, purchase_rate,
  CASE WHEN purchase_sar > 0 AND purchase_rate > 0 THEN CAST(purchase_sar * purchase_rate AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END AS purchase_pkr,
  CASE WHEN purchase_sar > 0 AND purchase_rate > 0 THEN CAST(sale_sar * sale_rate - purchase_sar * purchase_rate AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END AS profit,
- supplier_code, supplier_name, status, created_at, is_deleted FROM (SELECT {_FEED} FROM (
-  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END, l_tax DESC, CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END) AS rn
-  FROM {{lineitem}}) k WHERE rn = 1) t""",
+ supplier_code, supplier_name, status, created_at, is_deleted FROM (SELECT {_FEED} FROM {{lineitem}}) t""",
     "customer_payments": f"""
 SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN {ref_sql(_WALKIN_KEY)} ELSE {code_sql("CUST-", "user_id")} END AS ref_no, {_DAY} AS payment_date, {_amount(5000)} AS amount, {_TYPE} AS type, {_METHOD} AS payment_method, {_BANK} AS bank_profile_id, event_id % 19 = 0 AS is_deleted FROM {{events}} WHERE event_type IN ('purchase','signup')""",
     "supplier_payments": f"""
@@ -101,7 +104,7 @@ SELECT event_id AS id, {_DAY} AS txn_date, ts AS created_at, CASE event_id % 6 W
     "suppliers": f"""
 SELECT s_suppkey AS id, {code_sql("SUP-", "s_suppkey")} AS supplier_code, s_name AS supplier_name, 'Category ' || CAST(s_nationkey % 4 AS STRING) AS category, '0300' || CAST(s_suppkey AS STRING) AS contact_no, s_suppkey % 29 = 7 AS is_deleted FROM {{supplier}}""",
     "customers": f"""
-SELECT {_TENTH.format("c_custkey")} AS id, {code_sql("CUST-", _TENTH.format("c_custkey"))} AS customer_code, c_name AS name, '0321' || CAST(c_custkey AS STRING) AS contact_no, lower(c_mktsegment) || '@example.org' AS email, c_custkey % 31 = 0 AS is_deleted FROM {{customer}} WHERE c_custkey % 10 = 0""",
+SELECT c_custkey AS id, {code_sql("CUST-", "c_custkey")} AS customer_code, c_name AS name, '0321' || CAST(c_custkey AS STRING) AS contact_no, lower(c_mktsegment) || '@example.org' AS email, c_custkey % 31 = 0 AS is_deleted FROM {{customer}}""",
     "banks": """
 SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS bank_name, 'Title ' || n_name AS account_title, 'AC-' || CAST(n_nationkey * 37 AS STRING) AS account_number, CASE WHEN n_nationkey % 3 = 0 THEN 'Inactive' WHEN n_nationkey % 3 = 1 THEN 'Active' ELSE 'active' END AS status FROM {nation}""",
     # id 2 was closed later but covers the earlier year: latest by id and latest by date differ
@@ -109,8 +112,8 @@ SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS bank_name, 'Title ' || n_nam
 SELECT CAST(1 AS BIGINT) AS id, DATE '1996-01-01' AS date_from, DATE '1996-12-31' AS date_to, CAST(100000 AS DECIMAL(18,2)) AS opening_cash, CAST(250000 AS DECIMAL(18,2)) AS opening_bank, CAST(7000 AS DECIMAL(18,2)) AS opening_profit, CAST(9000 AS DECIMAL(18,2)) AS total_customer_receivable, CAST(8000 AS DECIMAL(18,2)) AS total_supplier_payable
 UNION ALL SELECT CAST(2 AS BIGINT), DATE '1995-01-01', DATE '1995-12-31', CAST(40000 AS DECIMAL(18,2)), CAST(60000 AS DECIMAL(18,2)), CAST(NULL AS DECIMAL(18,2)), CAST(NULL AS DECIMAL(18,2)), CAST(5000 AS DECIMAL(18,2))""",
     "balances": f"""
-SELECT CAST(1 + s_suppkey % 2 AS BIGINT) AS snapshot_id, 'SUPPLIER' AS balance_type, {code_sql("SUP-", "s_suppkey")} AS code, s_name AS name, CAST(s_acctbal AS DECIMAL(18,2)) AS balance, CASE WHEN s_acctbal < 0 THEN 'ADVANCE' ELSE 'PAYABLE' END AS status FROM {{supplier}} WHERE s_suppkey % 4 <> 3
-UNION ALL SELECT CAST(1 + o_custkey % 2 AS BIGINT), 'CUSTOMER', {ref_sql("o_orderkey")}, 'Order ' || CAST(o_orderkey AS STRING), CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2)), 'PENDING' FROM {{orders}} WHERE o_orderpriority = '1-URGENT'""",
+SELECT CAST(1 + s_suppkey % 2 AS BIGINT) AS snapshot_id, 'SUPPLIER' AS balance_type, {code_sql("SUP-", "s_suppkey")} AS code, s_name AS name, CAST(s_acctbal AS DECIMAL(18,2)) AS balance, CASE WHEN s_acctbal < 0 THEN 'ADVANCE' ELSE 'PAYABLE' END AS status FROM {{supplier}}
+UNION ALL SELECT CAST(1 + o_custkey % 2 AS BIGINT), 'CUSTOMER', {ref_sql("o_orderkey")}, 'Order ' || CAST(o_orderkey AS STRING), CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2)), 'PENDING' FROM {{orders}}""",
     # odd months of both years under their own snapshot, January 1996 again under snapshot 2
     "profit_months": """
 SELECT snapshot_id, report_year, report_month, CAST(t AS DECIMAL(18,2)) AS total_sales, CAST(t * 0.7 AS DECIMAL(18,2)) AS total_purchase, CAST(t * 0.3 AS DECIMAL(18,2)) AS base_profit,
