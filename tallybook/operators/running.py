@@ -1,19 +1,18 @@
 """Running totals that stay spread out when one account is huge.
 
 A plain ``sum() over (partition by account order by ...)`` sends an account to
-one task. That is right for the many small accounts and wrong for the few that
-hold a large share of the rows (or for a ledger with no account at all).
-
-So an account above ``hot_rows`` is cut into slices ``(day, block of ids)``;
-each slice is one window partition, and a slice starts from the sum of the
-slices before it. Ids are unique per source, so a slice holds at most
-``block_rows`` rows per source; the sums of earlier slices are taken in two
-steps, per day and per block within a day, so those windows are bounded by the
-calendar and by ``max(id) / block_rows``. Slice bounds depend on the data only
-(no sampling, no partition ids): a retried task computes the same ones.
-
-Accounts above ``hot_rows`` number at most ``rows / hot_rows``, which bounds
-the broadcast that marks them.
+one task, which is wrong for a ledger with few accounts or none, and for an
+account that holds a large share of the rows.
+
+So every account is cut into slices ``(day, block of ids)``; each slice is one
+window partition, and a slice starts from the sum of the slices before it. The
+range of ids is cut into as many blocks of equal width as there are times
+``block_rows`` rows, whether ids are serial numbers or hashes; rows without an id
+are a block of their own. The sums of earlier slices are taken in two steps, per
+day and per block within a day, so those windows are bounded by the calendar and
+by ``rows / block_rows``. Slice bounds depend on the data only (no sampling, no
+partition ids): a retried task computes the same ones. All accounts take this
+path, whatever their size.
 """
 
 from __future__ import annotations
@@ -23,9 +22,19 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000
 BLOCK_ROWS = 1_000_000
 _BEFORE = (Window.unboundedPreceding, -1)
+# rows without an id sort first, and so does their block
+_NO_ID = -1
+
+
+def _block(rows: DataFrame, order_id: str, block_rows: int) -> Column:
+    """The block of a row's id, from 0; the bounds come from one slim pass over the ids."""
+    ids = F.col(order_id).cast("double")
+    low = rows.agg(F.min(ids).alias("v")).scalar()
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)), F.lit(1))
+    width = rows.agg(((F.max(ids) - F.min(ids) + 1) / blocks).alias("v")).scalar()
+    return F.coalesce(F.floor((ids - low) / width).cast("bigint"), F.lit(_NO_ID).cast("bigint"))
 
 
 def running_total(
@@ -40,8 +49,6 @@ def running_total(
     after_id: list[str] = (),
     share_ties: bool = False,
     no_day: dt.date = dt.date(9999, 12, 31),
-    always_sliced: bool = False,
-    hot_rows: int = HOT_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``out``: the sum of ``amount`` up to each row, per account.
@@ -49,70 +56,38 @@ def running_total(
     Order is ``day, before_id..., order_id, after_id...``; ``no_day`` stands in
     for a missing day. ``share_ties`` gives rows equal in the whole order the
     same total (RANGE frame); otherwise each row counts separately (ROWS).
-    ``always_sliced`` skips the search for large accounts and slices all of
-    them, for ledgers with few or no accounts.
+    Missing accounts, ``before_id`` values and ids are values like others.
     """
     account, before_id, after_id = list(account), list(before_id), list(after_id)
-    keys = ["_day", *before_id, "_block"]
+    # keys that are never NULL, so that the join and the window share one shuffle of the rows
+    named = {f"_k{i}": F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for i, c in enumerate([*account, *before_id])}
+    own, keys = list(named)[: len(account)], [*named, "_day", "_block"]
     keyed = rows.withColumns(
         {
+            **named,
             "_amount": amount,
             "_day": F.coalesce(F.col(day), F.lit(no_day)),
-            "_block": F.floor(F.col(order_id) / F.lit(block_rows)).cast("bigint"),
+            "_block": _block(rows, order_id, block_rows),
         }
     )
-    if account and not always_sliced:
-        hot = (
-            keyed.groupBy(*account)
-            .count()
-            .where(F.col("count") > hot_rows)
-            .select(*account, F.lit(True).alias("_hot"))
-        )
-        keyed = keyed.join(F.broadcast(hot), account, "left").withColumn("_hot", F.col("_hot").isNotNull())
-        sliced = keyed.where("_hot")
-    else:
-        keyed = keyed.withColumn("_hot", F.lit(True))
-        sliced = keyed
-
-    # a small account is one slice; the real order columns still sort inside it
-    keyed = keyed.withColumns(
-        {f"_s{i}": F.when(F.col("_hot"), F.col(k)) for i, k in enumerate(keys)}
-    )
-    slice_cols = [*account, *[f"_s{i}" for i in range(len(keys))]]
     order = [F.col("_day"), *map(F.col, before_id), F.col(order_id), *map(F.col, after_id)]
-    window = Window.partitionBy(*slice_cols).orderBy(*order)
+    window = Window.partitionBy(*keys).orderBy(*order)
     if not share_ties:
         window = window.rowsBetween(Window.unboundedPreceding, 0)
-
-    starts = _slice_starts(sliced, account, keys)
-    matches = [keyed[a] == starts[f"_k_{a}"] for a in account]
-    matches += [keyed[f"_s{i}"] == starts[f"_k{i}"] for i in range(len(keys))]
-    condition = matches[0]
-    for m in matches[1:]:
-        condition = condition & m
-    joined = keyed.join(starts, condition, "left")
-    totals = joined.withColumn(
-        out,
-        F.coalesce(F.sum("_amount").over(window), F.lit(0)) + F.coalesce(F.col("_start"), F.lit(0)),
-    )
-    return totals.select(*rows.columns, out)
+    starts = _slice_starts(keyed, own, keys, before_id)
+    total = F.coalesce(F.sum("_amount").over(window), F.lit(0)) + F.coalesce(F.col("_start"), F.lit(0))
+    return keyed.join(starts, keys, "left").withColumn(out, total).select(*rows.columns, out)
 
 
-def _slice_starts(sliced: DataFrame, account: list[str], keys: list[str]) -> DataFrame:
+def _slice_starts(keyed: DataFrame, own: list[str], keys: list[str], before_id: list[str]) -> DataFrame:
     """Per slice, the sum of all earlier slices of its account."""
-    slices = sliced.groupBy(*account, *keys).agg(F.sum("_amount").alias("_sum"))
-    days = slices.groupBy(*account, "_day").agg(F.sum("_sum").alias("_sum"))
-    by_account = Window.partitionBy(*account) if account else Window.partitionBy()
-    days = days.withColumn(
-        "_day_start", F.sum("_sum").over(by_account.orderBy("_day").rowsBetween(*_BEFORE))
-    ).drop("_sum")
-    in_day = Window.partitionBy(*account, "_day").orderBy(*keys[1:]).rowsBetween(*_BEFORE)
-    starts = slices.withColumn("_in_day", F.sum("_sum").over(in_day)).join(days, [*account, "_day"])
-    return starts.select(
-        *[F.col(a).alias(f"_k_{a}") for a in account],
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        (F.coalesce(F.col("_day_start"), F.lit(0)) + F.coalesce(F.col("_in_day"), F.lit(0))).alias("_start"),
-    )
+    slices = keyed.groupBy(*keys, *before_id).agg(F.sum("_amount").alias("_sum"))
+    days = slices.groupBy(*own, "_day").agg(F.sum("_sum").alias("_sum"))
+    by_day = Window.partitionBy(*own).orderBy("_day").rowsBetween(*_BEFORE)
+    days = days.select(*own, "_day", F.sum("_sum").over(by_day).alias("_day_start"))
+    in_day = Window.partitionBy(*own, "_day").orderBy(*before_id, "_block").rowsBetween(*_BEFORE)
+    starts = slices.withColumn("_in_day", F.sum("_sum").over(in_day)).join(days, [*own, "_day"])
+    return starts.select(*keys, (F.coalesce("_day_start", F.lit(0)) + F.coalesce("_in_day", F.lit(0))).alias("_start"))
 
 
 def numbered(
@@ -120,10 +95,9 @@ def numbered(
 ) -> DataFrame:
     """Number rows 1, 2, ... per group in ``order_id`` order, for few and large groups.
 
-    The id must not repeat inside a group, so a block holds at most
-    ``block_rows`` rows and a group has ``max(id) / block_rows`` blocks.
+    Blocks of ids are those of running_total; a row without an id comes first.
     """
-    keyed = rows.withColumn("_block", F.floor(F.col(order_id) / F.lit(block_rows)).cast("bigint"))
+    keyed = rows.withColumn("_block", _block(rows, order_id, block_rows))
     blocks = keyed.groupBy(*group, "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_block").rowsBetween(*_BEFORE)
     starts = blocks.select(*group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -25,7 +25,7 @@ from tallybook.functions.coerce import (
 from tallybook.functions.modules import CUSTOMER_PREFIX, MODULES, module_rank, module_value
 from tallybook.operators.names import names_by_any_key, names_by_code, one_per_key
 from tallybook.operators.running import running_total
-from tallybook.operators.snapshots import day_after, field, latest_by_day, latest_by_id
+from tallybook.operators.snapshots import field, later_than, latest_by_day, latest_by_id
 from tallybook.plans.sales import active, walk_in
 
 WHOLE = "bigint"
@@ -210,7 +210,6 @@ def registered_closing(books: Books) -> DataFrame:
 
 def supplier_ledger(books: Books, **sizes) -> DataFrame:
     last = latest_by_id(books.snapshots)
-    since = day_after(last)
     codes = one_per_key(books.suppliers.select("id", "supplier_code"), "id", "supplier_code")
     nothing = F.lit(0).cast(MONEY)
 
@@ -248,7 +247,7 @@ def supplier_ledger(books: Books, **sizes) -> DataFrame:
     )
     bought = shaped(
         active(books.purchases)
-        .where(F.col("created_at") >= since)
+        .where(later_than(last, "created_at"))
         .join(codes.select("supplier_code"), "supplier_code", "left_semi"),
         1,
         id=F.col("id"),
@@ -262,7 +261,7 @@ def supplier_ledger(books: Books, **sizes) -> DataFrame:
     )
     is_opening = F.col("type") == "opening_balance"
     paid = shaped(
-        books.supplier_payments.where(F.col("payment_date") > field(last, "date_to", FIRST_DAY)).join(
+        books.supplier_payments.where(later_than(last, "payment_date")).join(
             codes.withColumnRenamed("id", "supplier_id"), "supplier_id"
         ),
         2,
@@ -452,7 +451,6 @@ def _money_ledger(entries: DataFrame, account: list[str], opening: Column | None
         day="txn_date",
         order_id="id",
         share_ties=True,
-        always_sliced=True,
         **sizes,
     )
     balance = F.col("balance") if opening is None else F.col("balance") + opening

@@ -17,11 +17,11 @@ ENTRY = st.tuples(
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(entries=st.lists(ENTRY, min_size=1, max_size=40, unique_by=lambda e: (e[0], e[2])), block=st.integers(1, 30), hot=st.integers(0, 20))
-def test_running_total_is_a_fold(spark, entries, block, hot):
+@given(entries=st.lists(ENTRY, min_size=1, max_size=40, unique_by=lambda e: (e[0], e[2])), block=st.integers(1, 30))
+def test_running_total_is_a_fold(spark, entries, block):
     rows = spark.createDataFrame(entries, "account string, day date, id bigint, amount bigint").coalesce(2)
     ours = running_total(
-        rows, F.col("amount"), "total", account=["account"], day="day", order_id="id", hot_rows=hot, block_rows=block
+        rows, F.col("amount"), "total", account=["account"], day="day", order_id="id", block_rows=block
     )
     want, balance = {}, {}
     for account, day, number, amount in sorted(entries, key=lambda e: (e[0], e[1] or dt.date.max, e[2])):
