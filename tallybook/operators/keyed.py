@@ -22,15 +22,20 @@ def upsert(
     update: list[str],
     force: Mapping[str, Column] | None = None,
     insert: bool = True,
+    order: list[Column] | None = None,
 ) -> DataFrame:
     """``current`` with ``update`` columns taken from the change of the same key.
 
-    ``changes`` holds one row per key. ``force`` sets columns on every changed
-    row. Unmatched changes are appended (``insert``), with NULL in columns they
+    Of changes that repeat a key the first by ``order`` counts (of equal ones
+    the one whose update columns sort first), so a key never multiplies; a change without a key is a new row.
+    ``force`` sets columns on every changed row. Unmatched changes are appended (``insert``), with NULL in columns they
     lack. Both joins keep the changes on the side Spark may broadcast, so a
     small batch does not shuffle the table.
     """
     force = dict(force or {})
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or []), *[F.col(c) for c in update]))
+    keyless = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    changes = changes.withColumn("_rn", rank).where((F.col("_rn") == 1) | keyless).drop("_rn")
     renamed = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in update], F.lit(True).alias("_hit"))
     merged = current.join(renamed, keys, "left")
     columns = []

@@ -38,3 +38,10 @@ def day_after(one_row: DataFrame, default: dt.date = FIRST_DAY) -> Column:
     """First timestamp after the close: ``stamp >= this`` means 'dated later than date_to'."""
     start = F.coalesce(F.date_add(F.max("date_to"), 1), F.lit(default)).cast("timestamp_ntz")
     return one_row.agg(start.alias("v")).scalar()
+
+
+def later_than(one_row: DataFrame, column: str) -> Column:
+    """Rows dated after the day of the close; every row, dated or not, if there is no close."""
+    closed = lambda: one_row.agg(F.max("date_to").alias("v")).scalar()
+    start = F.date_add(closed(), 1).cast("timestamp_ntz")
+    return closed().isNull() | (F.col(column) >= start)

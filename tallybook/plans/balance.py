@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.books import Books
-from tallybook.functions.coerce import FIRST_DAY, MONEY, as_total, is_named, or_text, or_zero, total, total_if
+from tallybook.functions.coerce import MONEY, as_total, is_named, or_text, or_zero, total, total_if
 from tallybook.functions.modules import CUSTOMER_PREFIX
 from tallybook.functions.status import account_status, supplier_status
 from tallybook.operators.names import names_by_code
-from tallybook.operators.snapshots import field, latest_by_id
+from tallybook.operators.snapshots import field, later_than, latest_by_id
 from tallybook.plans.outstanding import supplier_positions
 from tallybook.plans.sales import active, open_walkins
 
@@ -23,7 +23,7 @@ def _walkin(books: Books) -> DataFrame:
     last = latest_by_id(books.snapshots)
     received = (
         active(books.customer_payments)
-        .where((F.col("payment_date") > field(last, "date_to", FIRST_DAY)) & (F.col("type") != "opening_balance"))
+        .where(later_than(last, "payment_date") & (F.col("type") != "opening_balance"))
         .groupBy("ref_no")
         .agg(total("amount").alias("received"))
     )

@@ -176,6 +176,7 @@ def checked(requests: DataFrame, suppliers: DataFrame | None = None, rules: dict
         _by_kind(rules, default("type"), as_sent("type")).alias("type"),
         _by_kind(rules, default("note"), as_sent("note")).alias("note"),
         _by_kind(rules, _reason, F.lit(None)).alias("reason"),
+        *[c for c in ("edit_no",) if c in requests.columns],
     )
 
 
@@ -193,11 +194,10 @@ def apply_edits(
     """Accepted edits applied by id; an unknown id changes nothing.
 
     ``edits`` is ``checked`` output whose request_id is the edited id. If an id
-    is edited twice in a batch, the later ``edit_no`` wins where that column exists.
+    is edited twice in a batch, the later ``edit_no`` wins; without that column, one of the edits.
     """
     rows = accepted(edits)
     renames = {"request_id": "id", "entry_date": day, **({"note": note} if note else {}), "party": "title"}
     changes = rows.withColumnsRenamed({a: b for a, b in renames.items() if a in rows.columns})
-    if "edit_no" in changes.columns:
-        changes = first_per_key(changes, ["id"], F.desc("edit_no"))
-    return upsert(current, changes, ["id"], update=list(fields), insert=False)
+    latest = [F.desc("edit_no")] if "edit_no" in changes.columns else []
+    return upsert(current, changes, ["id"], update=list(fields), insert=False, order=latest)

@@ -307,11 +307,9 @@ def purchase_worksheet(books: Books, lines: DataFrame | None = None) -> DataFram
     with no purchase at all has unknown (NULL) cost and profit.
     """
     lines = all_lines(books) if lines is None else lines
-    cost = active(books.purchases).select(
-        "ref_no",
-        "item",
-        F.struct("purchase_sar", "purchase_rate", "supplier_code", "supplier_name").alias("x"),
-    )
+    # one purchase for each item, so that no line multiplies
+    found = F.struct("purchase_sar", "purchase_rate", "supplier_code", "supplier_name")
+    cost = active(books.purchases).groupBy("ref_no", "item").agg(F.min(found).alias("x"))
     base = F.split_part("item", F.lit(" - "), F.lit(1))
     # where the base is the whole item the first join decides; the second then gets a key without a match
     keyed = lines.withColumn("base", F.when(base != F.col("item"), base).otherwise(F.concat(F.lit("\u0000"), "item")))

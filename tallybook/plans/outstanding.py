@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from tallybook.books import Books
 from tallybook.functions.coerce import (
-    FIRST_DAY,
     MONEY,
     as_total,
     half_up,
@@ -32,7 +31,7 @@ from tallybook.functions.status import (
     supplier_status,
 )
 from tallybook.operators.names import greatest_name_by_ref, names_by_code
-from tallybook.operators.snapshots import before_day, day_after, field, latest_by_id
+from tallybook.operators.snapshots import before_day, field, later_than, latest_by_id
 from tallybook.plans.sales import active, walk_in
 
 
@@ -134,13 +133,13 @@ def supplier_positions(books: Books) -> DataFrame:
     last = latest_by_id(books.snapshots)
     bought = (
         active(books.purchases)
-        .where(F.col("created_at") >= day_after(last))
+        .where(later_than(last, "created_at"))
         .groupBy("supplier_code")
         .agg(total("purchase_pkr").alias("bought"))
     )
     opening = F.col("type") == "opening_balance"
     payments = (
-        books.supplier_payments.where(F.col("payment_date") > field(last, "date_to", FIRST_DAY))
+        books.supplier_payments.where(later_than(last, "payment_date"))
         .groupBy("supplier_id")
         .agg(total_if(opening, "amount").alias("opening"), total_if(~opening, "amount").alias("paid"))
     )

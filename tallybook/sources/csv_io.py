@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tallybook.books import Books
 from tallybook.functions.coerce import is_blank
+from tallybook.operators.keyed import first_per_key
 from tallybook.plans.close import ARCHIVE_TABLES, DAY_OF, in_range
 
 # written with a mark for NULL, so that an empty text survives the round trip;
@@ -114,7 +115,8 @@ def merge_import(current: DataFrame, rows: DataFrame, table: str = "") -> DataFr
     """``current`` plus imported rows whose key it lacks.
 
     The key is ``id``; without one it is ``ref_no``, except for customer
-    payments, which then have no key and are all added.
+    payments, which then have no key and are all added. Of rows that repeat a
+    key the first in the order of their other columns is added.
     """
     if "id" in rows.columns:
         key = "id"
@@ -122,5 +124,7 @@ def merge_import(current: DataFrame, rows: DataFrame, table: str = "") -> DataFr
         key = "ref_no"
     else:
         return current.unionByName(rows, allowMissingColumns=True)
-    fresh = rows.join(current.select(key), key, "left_anti")
+    known = rows.where(F.col(key).isNotNull())
+    fresh = first_per_key(known, [key], *[F.col(c) for c in rows.columns if c != key]).join(current.select(key), key, "left_anti")
+    fresh = fresh.unionByName(rows.where(F.col(key).isNull()))
     return current.unionByName(fresh.select(*rows.columns), allowMissingColumns=True)

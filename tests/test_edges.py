@@ -512,3 +512,25 @@ def test_archived_and_live_equal_live_when_nothing_is_archived(books):
     live = {r.report_month: r for r in profit.live_months(books, dt.date(1996, 1, 1), dt.date(1996, 12, 31)).collect()}
     for r in profit.combined_months(bare, 1996).collect():
         assert r.source == "live" and r.total_sales == live[r.report_month].total_sales
+
+
+def test_repeated_edits_and_requests_change_a_row_once(spark):
+    """The later edit wins, a key asked for twice stays one row, and a merge adds a repeated id once."""
+    from tallybook.operators.keyed import upsert
+    from tallybook.sources.csv_io import merge_import
+
+    current = spark.createDataFrame([(1, 5), (2, 6)], "id long, amount long")
+    changes = spark.createDataFrame([(1, 7, 1), (1, 9, 2), (3, 1, 1), (3, 2, 1), (None, 4, 1), (None, 4, 1)], "id long, amount long, edit_no long")
+    got = upsert(current, changes, ["id"], update=["amount"], order=[F.desc("edit_no")])
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, 9), (2, 6), (3, 1), (None, 4), (None, 4)]
+    merged = merge_import(current, spark.createDataFrame([(2, 9), (4, 1), (4, 3)], "id long, amount long"))
+    assert sorted(map(tuple, merged.collect())) == [(1, 5), (2, 6), (4, 1)]
+
+
+def test_undated_rows_count_while_nothing_is_closed(spark, books):
+    open_books_ = books.replace(snapshots=books.snapshots.where("false"), supplier_payments=books.supplier_payments.withColumn("payment_date", F.lit(None).cast("date")))
+    from tallybook.plans.outstanding import supplier_positions
+
+    paid = supplier_positions(open_books_).agg(F.sum("paid")).first()[0]
+    want = books.supplier_payments.where("type <> 'opening_balance'").join(books.suppliers, F.col("supplier_id") == books.suppliers["id"]).where("not is_deleted").agg(F.sum("amount")).first()[0]
+    assert paid == want and paid > 0
