@@ -21,10 +21,12 @@ from tallybook.llm import common
 SHINGLE = 5
 # 26 bands of 5 samples: a pair at similarity 0.85 shares no band with probability 2e-7.
 BANDS, ROWS = 26, 5
-SKETCH_WORDS = 8  # of 64 bits
-SAMPLES = BANDS * ROWS
-# A pair at 0.85 has 19.5 +- 4.1 differing samples; sketches that show more than 52 (8 deviations) are dropped.
-MOST_DIFFERENT = 52
+SKETCH_WORDS = 16  # of 64 bits
+SAMPLES = 2 * BANDS * ROWS  # the bands use the first half, the sketch all
+# Of the samples of a pair at 0.85, 39 +- 5.8 differ; more than 75 do with probability 1e-7. Sketches that show
+# more than that, and 12 bits for their own error, are dropped.
+MOST_DIFFERENT = 75
+SKETCH_ERROR = 12
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +72,7 @@ def samples(values: np.ndarray) -> np.ndarray:
 
 
 def bands_of(low: np.ndarray) -> np.ndarray:
-    return common.mix((low.reshape(BANDS, ROWS) * FOLD).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    return common.mix((low[: BANDS * ROWS].reshape(BANDS, ROWS) * FOLD).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def odd_sketch(low: np.ndarray) -> np.ndarray:
@@ -116,7 +118,7 @@ def _promising(threshold: int) -> Column:
     bits = SKETCH_WORDS * 64
     # expected odd bits after 2 * MOST_DIFFERENT toggles
     most = bits / 2 * (1 - (1 - 2 / bits) ** (2 * MOST_DIFFERENT))
-    return (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (differ <= int(np.ceil(most)) + 12)
+    return (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (differ <= int(np.ceil(most)) + SKETCH_ERROR)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -141,11 +143,12 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
 
     Documents with equal shingle sets are one node. Each bucket of a band hands its members to one leader,
     another one in each band, so that a bucket of any size gives as many candidates as it has members.
-    Buckets whose members are then still in several components compare the members outside the leader's
-    component with the others of the bucket that belong elsewhere, in the first bucket that both share, if
-    their shingles that occur in any second document could make them similar enough. A null or blank text has
-    no shingles and is linked with nothing. A row without an id is linked with nothing, has no component and
-    is kept. Repeated rows get equal results. Empty tables give empty results.
+    Buckets whose members are then still in several components do so twice more, with leaders from outside
+    the first one's component. What is outside of it after that is compared with the others of the bucket that
+    belong elsewhere, in the first bucket that both share, if the shingles that occur in any second document
+    could make them similar enough. A null or blank text has no shingles and is linked with nothing. A row
+    without an id is linked with nothing, has no component and is kept. Repeated rows get equal results.
+    Empty tables give empty results.
     """
     sig = common.stored(signatures(docs), "minhash-signatures")
     same = ["k1", "k2", "n"]
@@ -171,28 +174,44 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     common.drop(links)
 
     root = groups.select(F.col("node").alias("doc_id"), "root")
-    led = root.select(F.col("doc_id").alias("leader"), F.col("root").alias("led"))
     placed = shared.join(root, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    placed = placed.join(mixed, "bucket", "left_semi").join(led, "leader", "left")
-    placed = common.stored(placed.select("bucket", "band", "doc_id", "root", (F.col("root") != F.coalesce("led", "leader")).alias("stray")), "minhash-mixed")
+    placed = common.stored(placed.join(mixed, "bucket", "left_semi").select("bucket", "band", "doc_id", "leader"), "minhash-mixed")
     sets = _sets_of(docs, placed)
     grams = sets.select("doc_id", F.explode("grams").alias("gram"))
     twice = grams.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
     known = grams.join(twice, "gram", "left_semi").groupBy("doc_id").agg(F.count("*").alias("known"))
     facts = slim.join(known, "doc_id").select("doc_id", "n", "sketch", "bands", "known").where(100 * F.col("known") >= threshold * F.col("n"))
-    placed = placed.join(facts, "doc_id")
-    named = lambda side, end: placed.select("bucket", "band", "stray", "root", *[F.col(c).alias(c[0] + end) for c in ("n", "sketch", "bands", "known")], F.col("doc_id").alias(end)).alias(side)
-    x, y = named("x", "a").where("stray"), named("y", "b")
+    placed = common.stored(placed.join(facts, "doc_id"), "minhash-placed")
     least = F.least("ka", "kb")
-    enough = 100 * least >= threshold * (F.col("na") + F.col("nb") - least)
-    first = F.array_position(F.zip_with("ba", "bb", lambda p, q: p == q), True) == F.col("x.band") + 1
-    once = ~F.col("y.stray") | (F.col("a") < F.col("b"))
-    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & once & enough & _promising(threshold) & first)
+    enough = (100 * least >= threshold * (F.col("na") + F.col("nb") - least)) & _promising(threshold)
+
+    def rooted(groups: DataFrame) -> DataFrame:
+        root = groups.select(F.col("node").alias("doc_id"), "root")
+        led = groups.select(F.col("node").alias("leader"), F.col("root").alias("led"))
+        now = placed.join(root, "doc_id", "left").join(led, "leader", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        return now.withColumn("stray", F.col("root") != F.coalesce("led", "leader"))
+
+    def side(rows: DataFrame, end: str) -> DataFrame:
+        return rows.select("bucket", "band", "stray", "root", *[F.col(c).alias(c[0] + end) for c in ("n", "sketch", "bands", "known")], F.col("doc_id").alias(end)).alias(end)
+
+    elsewhere = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.root") != F.col("b.root")) & enough
+    for turn in range(2):
+        # another leader from outside the first one's component: again as many candidates as members
+        now = rooted(groups)
+        heads = now.where("stray").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("doc_id", "band", F.lit(turn)).alias("h"), "doc_id", "band", "stray", "root", "n", "sketch", "bands", "known")).alias("x"))
+        stars = side(heads.select("bucket", "x.*"), "a").join(side(now, "b"), elsewhere).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = _confirmed(stars, sets, threshold).unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        before, groups = groups, common.stored(common.components(more, "minhash-stars"), "minhash-groups")
+        common.drop(before)
+    now = common.stored(rooted(groups), "minhash-rooted")
+    first = F.array_position(F.zip_with("ba", "bb", lambda p, q: p == q), True) == F.col("a.band") + 1
+    once = ~F.col("b.stray") | (F.col("a") < F.col("b"))
+    across = side(now.where("stray"), "a").join(side(now, "b"), elsewhere & once & first)
     more = common.stored(_confirmed(across.select("a", "b"), sets, threshold), "minhash-more")
     links = more.unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
     final = common.stored(common.components(links, "minhash-components"), "minhash-final")
-    common.drop(sets, more, groups, shared, slim)
+    common.drop(sets, more, groups, shared, slim, placed, now)
 
     roots = nodes.join(final, "node", "left").select(*same, F.coalesce("root", "node").alias("root"))
     out = keys.join(roots, same, "left")
