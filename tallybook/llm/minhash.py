@@ -27,6 +27,7 @@ SAMPLES = 2 * BANDS * ROWS  # the bands use the first half, the sketch all
 # more than that, and 12 bits for their own error, are dropped.
 MOST_DIFFERENT = 75
 SKETCH_ERROR = 12
+PARTS = 32  # of the range of shingle hashes, in which shingles known from other documents are counted
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +146,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     another one in each band, so that a bucket of any size gives as many candidates as it has members.
     Buckets whose members are then still in several components do so twice more, with leaders from outside
     the first one's component. What is outside of it after that is compared with the others of the bucket that
-    belong elsewhere, in the first bucket that both share, if the shingles that occur in any second document
-    could make them similar enough. A null or blank text has no shingles and is linked with nothing. A row
+    belong elsewhere, in the first bucket that both share, if the shingles that occur in any second document,
+    counted by parts of the hash range, could make them similar enough. A null or blank text has no shingles and is linked with nothing. A row
     without an id is linked with nothing, has no component and is kept. Repeated rows get equal results.
     Empty tables give empty results.
     """
@@ -180,11 +181,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     sets = _sets_of(docs, placed)
     grams = sets.select("doc_id", F.explode("grams").alias("gram"))
     twice = grams.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
-    known = grams.join(twice, "gram", "left_semi").groupBy("doc_id").agg(F.count("*").alias("known"))
-    facts = slim.join(known, "doc_id").select("doc_id", "n", "sketch", "bands", "known").where(100 * F.col("known") >= threshold * F.col("n"))
+    part = F.pmod(F.xxhash64("gram"), F.lit(PARTS)).cast("int").alias("part")
+    parts = grams.join(twice, "gram", "left_semi").groupBy("doc_id", part).agg(F.count("*").cast("int").alias("m"))
+    counts = F.map_from_entries(F.collect_list(F.struct("part", "m")))
+    known = parts.groupBy("doc_id").agg(F.sum("m").alias("known"), counts.alias("of"))
+    known = known.select("doc_id", "known", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.coalesce(F.col("of")[k], F.lit(0))).alias("parts"))
+    facts = slim.join(known, "doc_id").select("doc_id", "n", "sketch", "bands", "known", "parts").where(100 * F.col("known") >= threshold * F.col("n"))
     placed = common.stored(placed.join(facts, "doc_id"), "minhash-placed")
-    least = F.least("ka", "kb")
-    enough = (100 * least >= threshold * (F.col("na") + F.col("nb") - least)) & _promising(threshold)
+    # two documents share at most the smaller count of known shingles in each part of the hash range
+    most = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, m: t + m)
+    enough = _promising(threshold) & (100 * most >= threshold * (F.col("na") + F.col("nb") - most))
 
     def rooted(groups: DataFrame) -> DataFrame:
         root = groups.select(F.col("node").alias("doc_id"), "root")
@@ -193,13 +199,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
         return now.withColumn("stray", F.col("root") != F.coalesce("led", "leader"))
 
     def side(rows: DataFrame, end: str) -> DataFrame:
-        return rows.select("bucket", "band", "stray", "root", *[F.col(c).alias(c[0] + end) for c in ("n", "sketch", "bands", "known")], F.col("doc_id").alias(end)).alias(end)
+        return rows.select("bucket", "band", "stray", "root", *[F.col(c).alias(c[0] + end) for c in ("n", "sketch", "bands", "parts")], F.col("doc_id").alias(end)).alias(end)
 
     elsewhere = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.root") != F.col("b.root")) & enough
     for turn in range(2):
         # another leader from outside the first one's component: again as many candidates as members
         now = rooted(groups)
-        heads = now.where("stray").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("doc_id", "band", F.lit(turn)).alias("h"), "doc_id", "band", "stray", "root", "n", "sketch", "bands", "known")).alias("x"))
+        heads = now.where("stray").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("doc_id", "band", F.lit(turn)).alias("h"), "doc_id", "band", "stray", "root", "n", "sketch", "bands", "parts")).alias("x"))
         stars = side(heads.select("bucket", "x.*"), "a").join(side(now, "b"), elsewhere).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = _confirmed(stars, sets, threshold).unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
         before, groups = groups, common.stored(common.components(more, "minhash-stars"), "minhash-groups")
