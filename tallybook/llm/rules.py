@@ -40,11 +40,13 @@ def repeated_words(words: Column) -> Column:
     def count(w: Column) -> Column:
         # a power of two above the number of words
         room = F.pow(F.lit(2.0), F.ceil(F.log2(F.size(w) + F.lit(1.0)))).cast("long")
-        windows = F.zip_with(F.zip_with(w, F.slice(w, 2, F.size(w) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.slice(w, 3, F.size(w) - 2), lambda p, c: F.xxhash64(p["a"], p["b"], c))
-        numbers = F.transform(F.slice(windows, 1, F.size(w) - 2), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        # each word is hashed once; windows are hashes of those
+        pairs = lambda h: F.zip_with(h, F.slice(h, 2, F.size(h) - 1), lambda a, b: F.xxhash64(a, b))
+        threes = lambda h: F.zip_with(pairs(h), F.slice(h, 3, F.size(h) - 2), lambda a, b: F.xxhash64(a, b))
+        windows = bind(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.slice(threes(h), 1, F.size(h) - 2))
 
         def covered(m: Column) -> Column:
-            keyed = F.sort_array(F.transform(numbers, lambda x: x["h"].bitwiseAND(-m).bitwiseOR(x["i"].cast("long"))))
+            keyed = F.sort_array(F.transform(windows, lambda x, i: x.bitwiseAND(-m).bitwiseOR(i.cast("long"))))
             same = lambda x, y: x.bitwiseXOR(y) < m
 
             def places(s: Column) -> Column:
