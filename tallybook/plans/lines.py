@@ -258,7 +258,11 @@ def lines_tic(books: Books) -> DataFrame:
     def joined(column: str) -> Column:
         # a NULL element prints as an empty text between its separators
         texts = F.transform(listed(column, TEXTS), lambda x: F.coalesce(x, F.lit("")))
-        return F.coalesce(F.array_join(texts, ", "), F.lit(""))
+        start = F.ltrim(column)
+        # what is no list prints as it is, a JSON text without its quotes
+        quoted = F.when(start.startswith('"'), F.get_json_object(column, "$"))
+        plain = F.when(~start.startswith("{") & (start != "null"), F.coalesce(quoted, F.col(column)))
+        return F.coalesce(F.when(start.startswith("["), F.array_join(texts, ", ")).otherwise(plain), F.lit(""))
 
     info = _flight_info(joined("airline"), joined("flight_from"), joined("flight_to"))
     return _ticket_lines(active(books.ticketing), "qty", info, "pkr_rate")

@@ -534,3 +534,12 @@ def test_undated_rows_count_while_nothing_is_closed(spark, books):
     paid = supplier_positions(open_books_).agg(F.sum("paid")).first()[0]
     want = books.supplier_payments.where("type <> 'opening_balance'").join(books.suppliers, F.col("supplier_id") == books.suppliers["id"]).where("not is_deleted").agg(F.sum("amount")).first()[0]
     assert paid == want and paid > 0
+
+
+def test_ticket_routes_as_plain_text(spark):
+    columns = "adult_qty int, child_qty int, infant_qty int, adult_rate double, child_rate double, infant_rate double, pkr_rate double"
+    routes = [("Lahore", "Jeddah", "9 Air"), ('"Lahore"', '["Jeddah", "Medina"]', None), ("{}", "Jeddah", "null"), ("", "Jeddah", "PIA")]
+    rows = [(f"TIC-{k}", False, 2, 0, 0, 1.0, 1.0, 1.0, 70.0, *r) for k, r in enumerate(routes)]
+    schema = f"ref_no string, is_deleted boolean, {columns}, flight_from string, flight_to string, airline string"
+    found = lines.lines_tic(Books({"ticketing": spark.createDataFrame(rows, schema)})).orderBy("ref_no").collect()
+    assert [r["item"].partition(" - ")[2] for r in found] == ["9 Air | Lahore → Jeddah", "Lahore → Jeddah, Medina", "", "PIA"]
