@@ -93,6 +93,19 @@ SQL = {
         {"txn_date": EDIT_DAY, "type": "e.type", "amount": "e.a", "comment": "COALESCE(e.note, '')"},
         "",
     ),
+    "bank_edits": edited(
+        "fx_bank_txns",
+        "bank",
+        "FALSE",
+        {
+            "txn_date": EDIT_DAY,
+            "type": "e.type",
+            "amount": "e.a",
+            "comment": "COALESCE(e.note, '')",
+            "bank_profile_id": "CAST(e.bank_profile_id AS BIGINT)",
+        },
+        "",
+    ),
     "module_save": f"""
 WITH cur AS (SELECT o_orderkey AS k, {REF} AS ref_no, o_orderkey % 17 = 0 AS is_deleted, CAST(o_orderdate AS DATE) AS booking_date, any_value({RATE}) + 1 AS pkr_rate, CAST(sum({PERSONS}) AS BIGINT) AS persons,
  sum(CASE WHEN (o_orderkey + i) % 5 < 2 THEN 0 ELSE {PERSONS} * {PRICE} END) AS sar FROM {elements(2, active="true")} GROUP BY o_orderkey, o_orderdate)

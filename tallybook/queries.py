@@ -377,6 +377,13 @@ _plain(
     cash_edits=lambda b: intake.apply_edits(
         b.cash_txns, _edits(b, "cash"), "txn_date", ("txn_date", "type", "amount", "comment"), note="comment"
     ).drop("created_at"),
+    bank_edits=lambda b: intake.apply_edits(
+        b.bank_txns,
+        _edits(b, "bank"),
+        "txn_date",
+        ("txn_date", "type", "amount", "comment", "bank_profile_id"),
+        note="comment",
+    ).drop("created_at"),
 )
 
 
