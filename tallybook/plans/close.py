@@ -14,7 +14,7 @@ from tallybook.functions.coerce import EPOCH, MONEY, as_total, lowered, on_days,
 from tallybook.functions.modules import MODULES, module_value
 from tallybook.operators.keyed import first_per_key, remove
 from tallybook.operators.snapshots import before_day, field, latest_by_id
-from tallybook.plans.outstanding import customer_outstanding, supplier_outstanding
+from tallybook.plans.outstanding import customer_balances, supplier_balances
 from tallybook.plans.profit import MEASURES, live_months, month_spine, net_profit
 
 # which column dates the rows of a table, for export and purge
@@ -94,10 +94,10 @@ def next_snapshot_id(books: Books) -> Column:
     return field(books.snapshots, F.col("id"), 0) + F.lit(1)
 
 
-def snapshot_balances(books: Books, start: dt.date, end: dt.date) -> DataFrame:
+def snapshot_balances(books: Books, start: dt.date, end: dt.date, snapshot_id: Column | None = None) -> DataFrame:
     def shaped(rows: DataFrame, kind: str, code: str, name: str, status: str) -> DataFrame:
         return rows.select(
-            next_snapshot_id(books).cast("bigint").alias("snapshot_id"),
+            (next_snapshot_id(books) if snapshot_id is None else snapshot_id).cast("bigint").alias("snapshot_id"),
             F.lit(kind).alias("balance_type"),
             F.col(code).alias("code"),
             F.col(name).alias("name"),
@@ -105,12 +105,14 @@ def snapshot_balances(books: Books, start: dt.date, end: dt.date) -> DataFrame:
             F.col(status).alias("status"),
         )
 
-    customers = shaped(customer_outstanding(books, start, end), "CUSTOMER", "ref_no", "customer_name", "payment_status")
-    suppliers = shaped(supplier_outstanding(books, start, end), "SUPPLIER", "supplier_code", "supplier_name", "status")
+    customers = shaped(customer_balances(books, start, end), "CUSTOMER", "ref_no", "customer_name", "payment_status")
+    suppliers = shaped(supplier_balances(books, start, end), "SUPPLIER", "supplier_code", "supplier_name", "status")
     return customers.unionByName(suppliers)
 
 
-def snapshot_header(books: Books, start: dt.date, end: dt.date, balances: DataFrame | None = None) -> DataFrame:
+def snapshot_header(
+    books: Books, start: dt.date, end: dt.date, balances: DataFrame | None = None, snapshot_id: Column | None = None
+) -> DataFrame:
     """One row; each figure is a small aggregate, stacked and picked by name."""
     balances = snapshot_balances(books, start, end) if balances is None else balances
     figures = [
@@ -138,7 +140,7 @@ def snapshot_header(books: Books, start: dt.date, end: dt.date, balances: DataFr
         reduce(DataFrame.unionByName, figures)
         .agg(*picked)
         .select(
-            next_snapshot_id(books).cast("bigint").alias("id"),
+            (next_snapshot_id(books) if snapshot_id is None else snapshot_id).cast("bigint").alias("id"),
             F.lit(start).alias("date_from"),
             F.lit(end).alias("date_to"),
             *names,
@@ -170,6 +172,21 @@ def snapshot_profit(
     )
 
 
+def reserved_id(books: Books, start: dt.date, end: dt.date, root: str) -> int:
+    """The id of the next published close: above those of the books and of the manifest.
+
+    A range that was published after the books were opened keeps its id.
+    """
+    spark = books.sales.sparkSession
+    free = books.snapshots.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/manifest")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return free
+    again = (F.col("date_from") == F.lit(start)) & (F.col("date_to") == F.lit(end)) & (F.col("id") >= free)
+    known = spark.read.parquet(folder.toString()).agg(F.max(F.when(again, F.col("id"))), F.max("id")).first()
+    return known[0] or max(free, (known[1] or 0) + 1)
+
+
 def publish_snapshot(books: Books, start: dt.date, end: dt.date, root: str) -> str:
     """Write the three snapshot tables under ``root`` and return the run's folder.
 
@@ -177,16 +194,18 @@ def publish_snapshot(books: Books, start: dt.date, end: dt.date, root: str) -> s
     own and appends its header to the manifest last; that row is the commit
     point. A run that dies leaves no row, a repeated run adds a newer one, and
     nothing that was published is ever overwritten. The header's totals are
-    read back from the written balances, so they agree with them.
+    read back from the written balances, so they agree with them. Publish one
+    close at a time: two runs at once may reserve the same id.
     """
     spark = books.sales.sparkSession
     run = f"{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     folder = f"{root.rstrip('/')}/runs/{run}"
-    wanted = snapshot_balances(books, start, end)
+    number = F.lit(reserved_id(books, start, end, root))
+    wanted = snapshot_balances(books, start, end, number)
     wanted.write.parquet(f"{folder}/balances")
-    snapshot_profit(books, start, end).write.parquet(f"{folder}/profit_months")
+    snapshot_profit(books, start, end, number).write.parquet(f"{folder}/profit_months")
     balances = spark.read.schema(wanted.schema).parquet(f"{folder}/balances")
-    header = snapshot_header(books, start, end, balances).withColumn("run", F.lit(run))
+    header = snapshot_header(books, start, end, balances, number).withColumn("run", F.lit(run))
     header.write.mode("append").parquet(f"{root.rstrip('/')}/manifest")
     return folder
 

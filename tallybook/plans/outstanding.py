@@ -200,6 +200,10 @@ def purchase_payables_pending(books: Books) -> DataFrame:
 
 
 def customer_outstanding(books: Books, start: dt.date, end: dt.date) -> DataFrame:
+    return customer_balances(books, start, end).orderBy(F.desc("balance"), "ref_no")
+
+
+def customer_balances(books: Books, start: dt.date, end: dt.date) -> DataFrame:
     """Open sales booked in the range, less all payments up to its end."""
     received = (
         books.customer_payments.where(F.col("payment_date") <= F.lit(end))
@@ -220,11 +224,14 @@ def customer_outstanding(books: Books, start: dt.date, end: dt.date) -> DataFram
             as_total(or_zero("total_pkr") - or_zero("received")).alias("balance"),
         )
         .where("balance > 0")
-        .orderBy(F.desc("balance"), "ref_no")
     )
 
 
 def supplier_outstanding(books: Books, start: dt.date, end: dt.date) -> DataFrame:
+    return supplier_balances(books, start, end).orderBy(F.desc("balance"), "supplier_code")
+
+
+def supplier_balances(books: Books, start: dt.date, end: dt.date) -> DataFrame:
     """Balance of the previous close plus purchases less payments of any type in the range.
 
     An opening_balance payment counts as paid here, unlike in the supplier ledger.
@@ -257,5 +264,4 @@ def supplier_outstanding(books: Books, start: dt.date, end: dt.date) -> DataFram
         )
         .where("balance <> 0")
         .withColumn("status", outstanding_side(F.col("balance")))
-        .orderBy(F.desc("balance"), "supplier_code")
     )

@@ -68,6 +68,9 @@ def test_close_can_be_published_twice(spark, books):
     owed = balances.where("balance_type = 'CUSTOMER'").agg(F.sum("balance")).first()[0]
     assert first[0].total_customer_receivable == owed
     assert spark.read.parquet(f"{folder}/profit_months").count() == 3
+    close.publish_snapshot(books, dt.date(1997, 4, 1), dt.date(1997, 4, 30), root)
+    ids = {r.date_from: r.id for r in close.published(spark, root).collect()}
+    assert ids == {start: first[0].id, dt.date(1997, 4, 1): first[0].id + 1}
 
 
 def run(stream_df, spark, label):
