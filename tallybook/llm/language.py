@@ -100,7 +100,8 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, k: int = CENTROIDS) -> Mo
     each = max(4, max_train // len(sizes))
     shares = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in sizes.items()], "lang string, share double")
     chance = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30)) / float(1 << 30)
-    got = rows.join(shares, "lang").where(chance < F.col("share")).select("lang", "text", "doc_id").mapInArrow(_sparse, "lang string, at array<int>, n array<float>").toPandas()
+    # a row for each language; texts stay where they are unless there are very many
+    got = rows.join(common.small(shares), "lang").where(chance < F.col("share")).select("lang", "text", "doc_id").mapInArrow(_sparse, "lang string, at array<int>, n array<float>").toPandas()
     if not len(got):
         return Model()
     # the order in which tasks hand over their rows must not matter
