@@ -106,7 +106,8 @@ def _stretches(text: np.ndarray, marks: list[tuple[int, int, int, int]]) -> tupl
     """For marks (place, period, lo, hi) of one text: runs sure to repeat by their period, and windows to compare.
 
     In a stretch of period p and at least 400 + 2 p bytes every window repeats p bytes before or after. Windows of these marks that are not
-    inside such a stretch are compared by their bytes.
+    inside such a stretch are compared by their bytes, and so is one period of windows inside, each rotation of the phrase once: a shorter
+    stretch elsewhere may have its only equals there.
     """
     runs, asked, a, b, period = [], [], 0, 0, 0
     for place, p, lo, hi in marks:
@@ -118,6 +119,7 @@ def _stretches(text: np.ndarray, marks: list[tuple[int, int, int, int]]) -> tupl
                 b += 1
             if b - a >= WINDOW + 2 * p:
                 runs.append({"a": a, "b": b})
+                asked.append({"lo": a, "hi": a + p - 1})
         if b - a >= WINDOW + 2 * p:
             asked += [{"lo": x, "hi": y} for x, y in ((lo, min(hi, a - 1)), (max(lo, b - WINDOW + 1), hi)) if x <= y]
         else:

@@ -156,6 +156,18 @@ def test_suffix_overlaps_and_copies(spark):
         assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == want[x.doc_id], x.doc_id
 
 
+def test_suffix_short_stretches_against_long_ones(spark):
+    """A short periodic stretch whose only equals lie inside a long one, in any rotation, within one text too."""
+    line = "".join(random.Random(11).choices("abcdefghijklmnopqrstuvwxyz ", k=99)) + "\n"
+    wide = "".join(random.Random(12).choices("abcdefghijklmnopqrstuvwxyz ", k=129))
+    rows = [(1, (line * 5)[:450]), (2, line * 10), (3, "-" * 400), (4, "-" * 1500), (5, prose(80, 20) + (line * 6)[37:440] + prose(81, 20))]
+    rows += [(6, "=" * 401 + prose(82, 90) + "=" * 900), (7, (wide * 5)[60:500]), (8, prose(83, 9) + wide * 6), (9, (line * 5)[:399]), (10, "+" * 401)]
+    want = brute_repeats(rows)
+    assert all(want[k][1] for k in (1, 3, 5, 7)) and not want[9][1]
+    for x in suffix.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == want[x.doc_id], x.doc_id
+
+
 def test_suffix_ranks(spark):
     """The difference cover orders the suffixes of several sequences like a plain sort."""
     r = random.Random(5)
