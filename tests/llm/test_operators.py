@@ -247,6 +247,36 @@ def test_packing_bounds_are_optimal():
         assert waste(packing.bounds(lengths, counts, 3)) == least
 
 
+def test_packing_bounds_of_many_lengths():
+    """The search by levels finds what a plain dynamic programme finds."""
+    r = np.random.default_rng(6)
+    for m, buckets in ((1, 3), (2, 2), (3, 5), (40, 4), (300, 16)):
+        lengths, counts = np.sort(r.choice(np.arange(1, 2000), m, replace=False)), r.integers(1, 50, m)
+        n, t = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(counts * lengths))
+        least = [0] + [int(lengths[j - 1] * n[j] - t[j]) for j in range(1, m + 1)]
+        for _ in range(buckets - 1):
+            least = [0] + [min(int(least[i] + lengths[j - 1] * (n[j] - n[i]) - (t[j] - t[i])) for i in range(j)) for j in range(1, m + 1)]
+        tops = packing.bounds(lengths, counts, buckets)
+        assert len(tops) <= buckets and tops[-1] == lengths[-1]
+        assert int((counts * (tops[np.searchsorted(tops, lengths)] - lengths)).sum()) == least[m]
+
+
+def test_packing_with_a_very_long_text(spark):
+    """One long text changes the buckets of no other; it is alone and not padded, also if there is nothing else."""
+    r = random.Random(4)
+    sizes = [r.randint(1, 400) for _ in range(500)]
+    rows = [(k, "x " * n) for k, n in enumerate(sizes)]
+    pack = lambda rows: {x.doc_id: x for x in packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    plain, more, alone = pack(rows), pack([*rows, (1000, "x " * 100_000)]), pack([(1000, "x " * 100_000)])
+    lengths, counts = np.unique(sizes, return_counts=True)
+    tops = packing.bounds(lengths, counts, packing.BUCKETS)
+    for k, n in enumerate(sizes):
+        assert more[k] == plain[k] and plain[k].bucket_length == tops[np.searchsorted(tops, n)]
+    for x, bucket in ((more[1000], len(tops)), (alone[1000], 0)):
+        assert (x.n_tokens, x.bucket, x.bucket_length, x.place, x.padding, x.oversize) == (100_000, bucket, 100_000, 0, 0, True)
+    assert max(x.batch for x in plain.values()) < more[1000].batch
+
+
 def test_shards(docs):
     rows = shards.shard(docs, 5).collect()
     for r, d in zip(sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id)), documents()):
