@@ -22,14 +22,26 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(common.small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """One row of those that agree in id and text, the least by its other columns; rows without an id stay."""
+    ids = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again")
+    ids = common.stored(ids, "pipeline-again")
+    again = common.small(ids)
+    same = F.col("doc_id") == F.col("_again")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = docs.join(again, same, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *rest)).alias("_rest"))
+    one = one.select(*[F.col(f"_rest.{c}") if c in rest else F.col(c) for c in docs.columns])
+    return docs.join(again, same, "left_anti").unionByName(one)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     return quality.accepted(docs, common.read(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return _without(docs, minhash.near_duplicates(docs).where("not kept"))
+    """One document of each group of near duplicates, and one row of each document that is repeated."""
+    return _once(_without(docs, minhash.near_duplicates(docs).where("not kept")))
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
