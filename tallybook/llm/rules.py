@@ -33,31 +33,24 @@ def bind(value: Column, body) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words that stand in a 3-word window found twice or more in the list, the first one included.
 
-    Windows are numbers: a hash whose low bits give way to the place. Sorted, equal windows are neighbours.
-    A hash of 49 bits or more is left for a text of 32,000 words.
+    Windows are 64-bit hashes with their places. Sorted, equal windows are neighbours.
     """
 
     def count(w: Column) -> Column:
-        # a power of two above the number of words
-        room = F.pow(F.lit(2.0), F.ceil(F.log2(F.size(w) + F.lit(1.0)))).cast("long")
         # each word is hashed once; windows are hashes of those
         pairs = lambda h: F.zip_with(h, F.slice(h, 2, F.size(h) - 1), lambda a, b: F.xxhash64(a, b))
         threes = lambda h: F.zip_with(pairs(h), F.slice(h, 3, F.size(h) - 2), lambda a, b: F.xxhash64(a, b))
         windows = bind(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.slice(threes(h), 1, F.size(h) - 2))
 
-        def covered(m: Column) -> Column:
-            keyed = F.sort_array(F.transform(windows, lambda x, i: x.bitwiseAND(-m).bitwiseOR(i.cast("long"))))
-            same = lambda x, y: x.bitwiseXOR(y) < m
+        keyed = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("hash"), i.alias("at"))))
 
-            def places(s: Column) -> Column:
-                top = lambda x, y: F.coalesce((x.bitwiseXOR(y) >= 0) & same(x, y), F.lit(False))
-                twice = F.filter(s, lambda x, i: top(x, F.get(s, i - 1)) | top(x, F.get(s, i + 1)))
-                starts = F.transform(twice, lambda x: x.bitwiseAND(m - 1))
-                return F.size(F.array_distinct(F.concat(starts, F.transform(starts, lambda p: p + 1), F.transform(starts, lambda p: p + 2))))
+        def places(s: Column) -> Column:
+            same = lambda x, y: F.coalesce(x["hash"] == y["hash"], F.lit(False))
+            twice = F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
+            starts = F.transform(twice, lambda x: x["at"])
+            return F.size(F.array_distinct(F.concat(starts, F.transform(starts, lambda p: p + 1), F.transform(starts, lambda p: p + 2))))
 
-            return bind(keyed, places)
-
-        return bind(room, covered)
+        return bind(keyed, places)
 
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(bind(words, count)).cast("long")
 

@@ -337,6 +337,16 @@ def test_rules(docs):
         assert not (failed and r.kept)
 
 
+def test_rules_tell_windows_of_a_long_text_apart(spark):
+    """Two windows whose hashes agree in the upper 48 bits are two windows, also in a text of 40,000 words."""
+    filler = [f"f{k}" for k in range(40_000)]
+    alike, again = list(filler), list(filler)
+    alike[100:100], alike[30_000:30_000] = ["w375", "w344", "w26"], ["w38", "w92", "w194"]
+    again[100:100], again[30_000:30_000] = ["w375", "w344", "w26"], ["w375", "w344", "w26"]
+    got = {r.doc_id: r.n_repeat_words for r in rules.clean(spark.createDataFrame([(1, " ".join(alike)), (2, " ".join(again))], "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 6}
+
+
 def test_rules_remove_lines(spark):
     text = prose(1, 80) + ".\nHome | About | Contact | Help\nClick here to sign up\n" + prose(2, 40) + "."
     bars = "\n".join("aa | bb | cc | dd | ee | ff | gg | hh | ii | jj | kk" + str(k) for k in range(12))
