@@ -17,7 +17,7 @@ from tallybook.llm import common
 
 SHARDS = 40
 DIGIT = 12  # bits of a histogram's entries
-KEY_BITS = 60  # 12 of the dimension, then 24 of the text's hash and 24 of the id that order equal values
+KEY_BITS = 60  # 12 of the dimension, then 24 of the text's hash and 24 of the id's hash that order equal values
 CODES = 1 << DIGIT
 # An entry with less than this part of a shard's bytes is not divided further.
 CLOSE = 0.0005
@@ -113,19 +113,16 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Dimensions are the ranks of source and lang and the logarithm of the size; a null value is one of its own.
-    Rows of equal value are cut by a hash of the text and then by id, so equal texts mostly stay together and
+    Rows of equal value are cut by a hash of the text and then of the id, so equal texts mostly stay together and
     a value that holds most of the rows is still divided. Rows equal in text, metadata and id go to one
-    shard. A null text has size 16 and crc 0. A row without an id stands before all ids. The law is
+    shard. A null text has size 16 and crc 0. A row without an id has the hash 0. The law is
     ``bytes``: shards hold nearly equal sizes; grown_shard is null. Empty tables give empty results.
     """
     binary = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     rows = common.id_and_text(docs, F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
     rows = rows.select("doc_id", "source", "lang", (F.octet_length(binary) + 16).cast("long").alias("size"), F.crc32(binary).alias("crc"))
     rows = common.stored(rows, "shards-sizes")
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    within = (F.col("doc_id").cast("double") - float(low)) / (float(high) - float(low) + 1)
-    last = F.coalesce(F.least(F.floor(within * (1 << 24)), F.lit((1 << 24) - 1)), F.lit(0)).cast("long")
+    last = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24))).cast("long")
     text_hash = F.pmod(F.xxhash64("crc", "size"), F.lit(1 << 24))
     level = F.least(F.floor(F.log2(F.col("size").cast("double")) * 128), F.lit(CODES - 1)).cast("long")
     coded = _codes(_codes(rows, "source"), "lang")

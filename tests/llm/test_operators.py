@@ -296,6 +296,14 @@ def test_shards_of_one_hot_text(spark):
     assert len(sums) == 8 and max(sums) - min(sums) <= 0.02 * sum(sums) / 8 + 200
 
 
+def test_shards_of_copies_with_an_outlying_id(spark):
+    """One id far from all others does not keep a group of copies together."""
+    rows = [(k, "same text", "en", "s") for k in range(4000)] + [(10**15, prose(1, 5), "en", "s")]
+    got = shards.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 8).groupBy("shard").sum("size").collect()
+    sums = [r[1] for r in got]
+    assert len(sums) == 8 and max(sums) - min(sums) <= 0.02 * sum(sums) / 8 + 200
+
+
 def vectors():
     r = np.random.default_rng(4)
     rows, centre = [], {}
