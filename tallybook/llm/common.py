@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,6 +142,19 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray
     return hashes, np.searchsorted(offsets, start, "right") - 1, length
 
 
+_GAP = re.compile(rb"[ \t-\r]")
+
+
+def pieces(data: bytes, step: int = BLOCK_BYTES) -> Iterator[bytes]:
+    """``data`` in consecutive parts of about ``step`` bytes, cut at white space; a longer word stays whole."""
+    at = 0
+    while at < len(data):
+        gap = _GAP.search(data, at + step) if at + step < len(data) else None
+        end = gap.start() if gap else len(data)
+        yield data[at:end]
+        at = end
+
+
 def per_document(doc: np.ndarray, n: int) -> np.ndarray:
     """Bounds of each document in an array sorted by document."""
     return np.searchsorted(doc, np.arange(n + 1))

@@ -65,4 +65,36 @@ lines as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and enough as kept from failed
 """
 
-SQL = {"op4_minhash": MINHASH, "op6_embeddings": EMBEDDINGS, "op7_rules": RULES}
+# masks of failures per document, their counts per part, and every order of the five filters
+AUDIT = rf"""
+with recursive judged as (
+  select coalesce(lang, '') as part, doc_id, coalesce(text, '') as text, coalesce(regexp_extract_all(text, '{WORD}'), []) as w from documents
+), labelled as (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by doc_id),
+masked as (
+  select part, coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as toxic,
+    (len(w) < 100)::int + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::int + 4 * (100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * len(text))::int
+    + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * coalesce(doc_id > min(doc_id) over (partition by text), false)::int as mask
+  from judged left join labelled using (doc_id)
+), counts as (select part, mask, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from masked group by part, mask),
+filters as (select unnest(['A', 'B', 'C', 'D', 'E']) as name, unnest([1, 2, 4, 8, 16]) as bit),
+orders(filter_order, used) as (
+  select '', 0 union all select filter_order || name, used + bit from orders, filters where used & bit = 0
+), steps as (
+  select o.filter_order, k::int as step, f.bit,
+    (select coalesce(sum(g.bit), 0) from filters g where strpos(o.filter_order, g.name) < k)::int as before
+  from orders o, range(1, 6) r(k), filters f where len(o.filter_order) = 5 and f.name = o.filter_order[k]
+), done as (
+  select part, filter_order, step, bit,
+    coalesce(sum(n) filter (mask & (before | bit) = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter (mask & bit <> 0 and mask & before = 0), 0)::bigint as removed,
+    coalesce(sum(n) filter (mask & bit <> 0 and mask & before <> 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (mask & bit <> 0 and mask & before = 0), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (mask & bit <> 0 and mask & before = 0), 0)::bigint as toxic_lost
+  from counts, steps group by part, filter_order, step, bit
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) over (partition by part, bit)::bigint as shapley from done
+"""
+
+SQL = {"op11_audit": AUDIT, "op4_minhash": MINHASH, "op6_embeddings": EMBEDDINGS, "op7_rules": RULES}

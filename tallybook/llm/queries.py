@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import embeddings, language, minhash, mixing, packing, quality, rules, shards, suffix, toxicity
+from tallybook.llm import audit, embeddings, language, minhash, mixing, packing, quality, resampling, rules, shards, suffix, toxicity
 from tallybook.llm.common import read
 from tallybook.llm.oracles import SQL
 
@@ -55,6 +55,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,5 +81,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op11_audit": op11_audit,
+    "op13_resampling": op13_resampling,
     "pipeline": pipeline,
 }
