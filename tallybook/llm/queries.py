@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import audit, embeddings, language, minhash, mixing, packing, quality, resampling, rules, shards, suffix, toxicity
-from tallybook.llm.common import read
+from tallybook.llm import audit, edits, embeddings, language, minhash, mixing, packing, quality, resampling, rules, shards, suffix, toxicity
+from tallybook.llm.common import read, stored
 from tallybook.llm.oracles import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -59,6 +59,11 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = stored(edits.fingerprints(read(spark, sf_dir, "documents")), "op12")
+    return edits.near_copies(prints)
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_features", "weight", "score", "rank")
@@ -82,6 +87,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
     "op11_audit": op11_audit,
+    "op12_edits": op12_edits,
     "op13_resampling": op13_resampling,
     "pipeline": pipeline,
 }
