@@ -130,13 +130,10 @@ def failures(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     part = F.coalesce(F.col("lang").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.alias("part"), text.alias("data"))
-    heads = tries.heads_of(rows)
-    total, n = heads.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0))).first()
-    ranges = tries.planned_ranges(total, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    starts = tries.range_starts(rows.select("data"), heads, ranges, total)
-    # fewer than ``ranges`` texts have that many copies
-    hot = [r.hash for r in heads.where(F.col("copies") > max(64, n // ranges)).select("hash").distinct().collect()]
-    common.drop(heads)
+    starts = tries.range_starts(rows, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "audit")
+    # a text with so many copies would fill a range by itself; there are fewer such texts than ranges
+    copies = rows.groupBy(F.xxhash64("data").alias("hash")).agg(F.count("*").alias("copies"))
+    hot = [r.hash for r in copies.where(F.col("copies") > max(64, rows.count() // len(starts))).collect()]
     rows = rows.withColumn("hot", F.xxhash64("data").isin(hot) if hot else F.lit(False))
     found = rows.mapInArrow(_judged(starts), FOUND).repartition("key").sortWithinPartitions("text", "doc_id").mapInArrow(_flagged(starts), FOUND)
     found = common.stored(found, "audit-found")

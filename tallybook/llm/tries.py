@@ -1,27 +1,27 @@
 """Compressed tries over byte strings, and ranges of texts that are adaptive prefixes apart.
 
-A trie holds the least id at each terminal. Ranges are found by a routing trie: strings are weighed by the
-next two bytes after a common prefix; a cell that outweighs a range is cut again behind the prefix that all
-its strings share, light neighbours are put together.
+A trie holds the least id at each terminal. Ranges start at the shortest prefixes that tell a text from the
+one sorted before it: bounded lots of texts are sorted where they lie and cut into even parts, and the cuts of
+all lots, summed in their order, give the starts of even ranges. Lots of near copies are told apart by prefixes
+as long as that takes.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallybook.llm import common
+from tallybook.llm.suffix import cumulated
 
-# Bytes at the start of a text that its first ranges are told from; where they do not suffice, twice as many are read.
-HEAD = 64
-# Ranges are found on the driver: at most so many, each with the prefix it starts at.
+# Bytes of text that are sorted at once, and the parts that a lot is cut into.
+LOT_BYTES, PARTS = 16 << 20, 64
+# The starts of ranges are known to every task: at most so many.
 MOST_RANGES = 50_000
 RANGE_BYTES = 16 << 20
 
@@ -79,69 +79,37 @@ def terminals(root: Node) -> Iterator[Node]:
 # ---- ranges -------------------------------------------------------------------------------------------------
 
 
-def _cells(open_: list[bytes]):
-    """(prefix, key, weight, head) of the strings under one of the open prefixes; key is the next two bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for head, weight in zip(batch.column("head").to_pylist(), batch.column("weight").to_pylist()):
-                k = bisect_right(open_, head) - 1
-                if k >= 0 and head.startswith(open_[k]):
-                    rows.append((k, head[len(open_[k]) : len(open_[k]) + 2], weight, head))
-            if rows:
-                kinds = [pa.int32(), pa.binary(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["prefix", "key", "weight", "head"])
-
-    return run
-
-
-def range_starts(texts: DataFrame, heads: DataFrame, ranges: int, total: int) -> list[bytes]:
-    """Sorted strings at which ranges of about ``total / ranges`` bytes start; the first is empty.
-
-    ``texts`` has ``data``; ``heads`` has a row for each distinct text: its first HEAD bytes and its weight. A
-    level of the routing trie is one grouped pass over the heads; a prefix has at most 65,793 cells, and at
-    most ``ranges`` prefixes of a level are heavy. A single text that outweighs a range stays one range.
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(start, weight) of about PARTS even parts of each lot in sorted order; copies in a lot count once."""
+    for batch in batches:
+        texts = batch.column("data").cast(pa.large_binary())
+        for a, b, *_ in common.text_blocks(texts, LOT_BYTES):
+            lot = sorted({x.as_py() for x in texts.slice(a, b - a)})
+            weights = [len(x) + 16 for x in lot]
+            part = max(1, sum(weights) // PARTS)
+            starts, sums, held = [b""], [], 0
+            for k, (text, weight) in enumerate(zip(lot, weights)):
+                if held >= part:
+                    starts.append(text[: _agree(lot[k - 1], text, 0) + 1])
+                    sums.append(held)
+                    held = 0
+                held += weight
+            sums.append(held)
+            yield pa.RecordBatch.from_arrays([pa.array(starts, pa.binary()), pa.array(sums, pa.int64())], names=["start", "weight"])
+
+
+def range_starts(texts: DataFrame, partitions: int, label: str) -> list[bytes]:
+    """Sorted strings at which ranges of about RANGE_BYTES start, some for every shuffle partition; the first is empty.
+
+    ``texts`` has ``data``, not null. All texts are weighed, each lot's copies once, as they are dealt out. A
+    single text is never parted, so one that outweighs a range is a range.
     """
-    target, length, open_, starts = max(1, total // ranges), HEAD, [b""], {b""}
-    while open_:
-        cells = heads.mapInArrow(_cells(open_), "prefix int, key binary, weight long, head binary").groupBy("prefix", "key")
-        cells = cells.agg(F.sum("weight").alias("weight"), F.min("head").alias("least"), F.max("head").alias("most"), F.count("*").alias("n"))
-        heavy = (F.col("weight") > target) & (F.col("n") > 1)
-        along = W.partitionBy("prefix").orderBy("key")
-        light = F.sum(F.when(heavy, 0).otherwise(F.col("weight"))).over(along.rowsBetween(W.unboundedPreceding, -1))
-        part = F.floor(F.coalesce(light, F.lit(0)) / target)
-        cells = cells.select("*", heavy.alias("heavy"), part.alias("part"))
-        new = F.col("heavy") | F.coalesce(F.lag("heavy").over(along), F.lit(True)) | (F.col("part") != F.lag("part").over(along))
-        found = cells.withColumn("new", new).where("new").select("prefix", "key", "heavy", "least", "most").collect()
-        starts.update(open_[r.prefix] + bytes(r.key) for r in found)
-        deeper = sorted(commonprefix([bytes(r.least), bytes(r.most)]) for r in found if r.heavy)
-        open_ = [p for p in deeper if len(p) + 2 <= length]
-        if len(open_) < len(deeper):
-            # what these strings share is longer than the heads: read longer ones, of these texts only
-            wanted = sorted(deeper)
-            length *= 2
-            heads = heads_of(texts.mapInArrow(_under(wanted), "data binary"), length)
-            open_ = wanted
-    return sorted(starts)
-
-
-def _under(open_: list[bytes]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = batch.column("data").to_pylist()
-            places = [bisect_right(open_, x) - 1 for x in data]
-            kept = [x for x, k in zip(data, places) if k >= 0 and x.startswith(open_[k])]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary())], names=["data"])
-
-    return run
-
-
-def heads_of(texts: DataFrame, length: int = HEAD) -> DataFrame:
-    """(head, weight, hash, copies): a row for each distinct text, told apart by 64 bits of hash; for weighing only."""
-    slim = texts.select(F.substring("data", 1, length).alias("head"), (F.octet_length("data") + 16).cast("long").alias("weight"), F.xxhash64("data").alias("hash"))
-    grouped = slim.groupBy("head", "weight", "hash").agg(F.count("*").alias("copies"))
-    return common.stored(grouped, "tries-heads")
+    cuts = cumulated(texts.select("data").mapInArrow(_cuts, "start binary, weight long"), ["start"], {"weight": F.col("weight")}, label)
+    total = cuts.agg(F.coalesce(F.sum("n_weight"), F.lit(0))).first()[0]
+    ranges = planned_ranges(total, partitions)
+    first = cuts.groupBy(F.floor(F.col("weight") * ranges / max(1, total)).alias("range")).agg(F.min("start").alias("start")).collect()
+    common.drop(cuts)
+    return sorted({b"", *(bytes(r.start) for r in first)})
 
 
 def range_of(starts: list[bytes], text: bytes) -> int:
