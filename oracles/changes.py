@@ -163,8 +163,9 @@ WITH {SALE_REQUESTS} SELECT COALESCE(s.ref_no, r.ref_no) AS ref_no, CASE WHEN r.
     "intake_rejected": f"WITH {INTAKE} SELECT request_id, kind, reason FROM chk WHERE reason IS NOT NULL",
     "payment_feed": ACCEPTED,
     "daily_cash_flow": """
-SELECT CAST(ts AS DATE) AS day, source, CAST(sum(a) AS DECIMAL(20,2)) AS net, count(*) AS entries FROM (
+SELECT CAST(ts AS DATE) AS day, source, CAST(sum(a) AS DECIMAL(20,2)) AS net, count(*) AS entries,
+ CAST(ts AS DATE) + INTERVAL 1 DAY > (SELECT max(ts) FROM events) - INTERVAL 1 DAY AS is_open FROM (
  SELECT ts, CASE WHEN event_type IN ('purchase','signup') THEN 'customer' WHEN event_type = 'click' THEN 'supplier' WHEN event_type = 'view' THEN 'expense' WHEN event_id % 2 = 0 THEN 'deposit' ELSE 'withdraw' END AS source,
   CASE WHEN event_type IN ('purchase','signup') OR (event_type = 'error' AND event_id % 2 = 0) THEN 1 ELSE -1 END * CAST(value AS DECIMAL(18,2)) AS a FROM events) t
-WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2""",
+GROUP BY CAST(ts AS DATE), source""",
 }

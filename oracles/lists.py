@@ -1,5 +1,6 @@
 """Plain lists, counts, exports and imports."""
 
+from tallybook.functions.catalogue import ARCHIVE, BY_NAME, DATED
 from tallybook.functions.modules import MODULES
 
 
@@ -27,20 +28,30 @@ def counts(tables: dict[str, str]) -> str:
     )
 
 
-RANGE = {
-    "sales": "booking_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'",
-    "purchases": "CAST(created_at AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'",
-    "customer_payments": "payment_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'",
-    "supplier_payments": "payment_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'",
-    "expenses": "expense_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'",
-    "bank_txns": "CAST(created_at AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'",
-    "cash_txns": "CAST(created_at AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'",
-}
-ARCHIVE = ("snapshots", "balances", "profit_months", "logs")
-FULL = (
-    "sales purchases customer_payments supplier_payments purchase_payments expenses cash_txns bank_txns"
-    " suppliers customers banks"
-).split()
+def tables_counted(where: dict[str, str], others: tuple[str, ...]) -> str:
+    """(table_name, row_count) of module tables and the named tables; ``where`` by date column."""
+    day = where.get("booking_date", "true")
+    modules = [
+        f"SELECT '{m.table}' AS table_name, count(*) AS row_count FROM orders WHERE o_orderkey % 8 = {i} AND ({day.replace('booking_date', 'CAST(o_orderdate AS DATE)')})"
+        for i, m in enumerate(MODULES)
+    ]
+    dated = [
+        f"SELECT '{t.name}', count(*) FROM fx_{t.frame} WHERE {where.get(t.day, 'true')}" for t in DATED if t.day != "booking_date"
+    ]
+    return " UNION ALL ".join([*modules, *dated, *(f"SELECT '{BY_NAME[t].name}', count(*) FROM fx_{BY_NAME[t].frame}" for t in others)])
+
+
+def between(first: str, last: str, keep: str = "") -> dict[str, str]:
+    """The condition on each date column; ``keep`` inverts it, undated rows stay."""
+    out = {}
+    for column in ("booking_date", "created_at", "payment_date", "expense_date"):
+        value = f"CAST({column} AS DATE)"
+        test = f"{value} BETWEEN DATE '{first}' AND DATE '{last}'"
+        out[column] = f"NOT COALESCE({test}, false)" if keep else test
+    return out
+
+
+ARCHIVES = tuple(t.name for t in ARCHIVE)
 
 SQL = {
     "sales_unified": f"SELECT {label('table')} AS type, {SALES_COLUMNS} FROM fx_sales",
@@ -62,10 +73,12 @@ SELECT total_rows, round(CAST(120.0 AS DOUBLE) / total_rows * 1024, 2) AS avg_ro
     "manifest_expired": "SELECT 'backup-' || lpad(CAST(event_id AS VARCHAR), 12, '0') || '.zip' AS name, ts AS created_at FROM events WHERE ts < TIMESTAMP '2024-03-15 00:00:00' - INTERVAL 60 DAY",
     "manifest_list": "SELECT 'backup-' || lpad(CAST(event_id AS VARCHAR), 12, '0') || '.zip' AS name, ts AS created_at FROM events ORDER BY name DESC",
     "manifest_latest": "SELECT 'backup-' || lpad(CAST(event_id AS VARCHAR), 12, '0') || '.zip' AS name, ts AS created_at FROM events ORDER BY event_id DESC LIMIT 1",
-    "export_range": counts({t: f"WHERE {w}" for t, w in RANGE.items()} | dict.fromkeys(ARCHIVE, "")),
-    "export_full": counts(dict.fromkeys((*FULL, *ARCHIVE), ""))
-    + " UNION ALL SELECT 'visa', count(*) FROM orders WHERE o_orderkey % 8 = 2"
-    + " UNION ALL SELECT 'hotels', count(*) FROM orders WHERE o_orderkey % 8 = 1",
+    "export_range": tables_counted(between("1997-01-01", "1998-12-31"), ARCHIVES),
+    "export_full": tables_counted({}, ("purchase_payments", "banks", "suppliers", "customers", *ARCHIVES)),
+    "purge_range": tables_counted(between("1997-01-01", "1998-12-31", "keep"), ()),
+    # close 1 has not been purged, close 2 has
+    "purge_close": tables_counted(between("1996-01-01", "1996-12-31", "keep"), ()),
+    "purge_close_again": tables_counted({}, ()),
     "export_roundtrip": "SELECT * FROM fx_purchases",
     "import_normalize": """
 SELECT event_id AS id, CASE WHEN event_id % 7 > 1 THEN date_trunc('millisecond', ts) END AS sent_at,

@@ -117,15 +117,19 @@ FROM {elements(module, active="true")} GROUP BY o_orderkey"""
 
 
 SQL = {
+    "export_reopened": f"SELECT *, {PKR} FROM ({' UNION ALL '.join(LINES.values())}) l",
     **{f"purchase_lines_{m}": f"SELECT *, {PKR} FROM ({text}) l" for m, text in LINES.items()},
     "purchase_worksheet": f"""
 WITH l AS (SELECT *, {PKR} FROM ({" UNION ALL ".join(LINES.values())}) u),
- c AS (SELECT ref_no, CASE length(item) % 3 WHEN 0 THEN item WHEN 1 THEN {BASE} ELSE 'Other ' || item END AS item, max(CASE WHEN length(ref_no) + sale_rate = 85 THEN 0 ELSE sale_sar END) AS sar, max(sale_rate - 2) AS rate FROM l GROUP BY 1, 2),
- m AS (SELECT l.*, COALESCE(f.sar, b.sar) AS psar, COALESCE(f.rate, b.rate) AS prate FROM l LEFT JOIN c f ON f.ref_no = l.ref_no AND f.item = l.item LEFT JOIN c b ON b.ref_no = l.ref_no AND b.item = {BASE.replace('item', 'l.item')})
+ c AS (SELECT * FROM (SELECT ref_no, item, purchase_sar AS sar, purchase_rate AS rate, supplier_code AS code, supplier_name AS name,
+  row_number() OVER (PARTITION BY ref_no, item ORDER BY purchase_sar NULLS FIRST, purchase_rate NULLS FIRST, supplier_code NULLS FIRST, supplier_name NULLS FIRST) AS n FROM fx_purchases WHERE NOT is_deleted) p WHERE n = 1),
+ m AS (SELECT l.*, CASE WHEN f.item IS NOT NULL THEN f.sar ELSE b.sar END AS psar, CASE WHEN f.item IS NOT NULL THEN f.rate ELSE b.rate END AS prate,
+  CASE WHEN f.item IS NOT NULL THEN f.code ELSE b.code END AS code, CASE WHEN f.item IS NOT NULL THEN f.name ELSE b.name END AS name
+  FROM l LEFT JOIN c f ON f.ref_no = l.ref_no AND f.item = l.item LEFT JOIN c b ON b.ref_no = l.ref_no AND b.item = {BASE.replace('item', 'l.item')})
 SELECT ref_no, item, sale_sar, sale_rate, sale_pkr, CAST(CASE WHEN psar <> 0 AND prate <> 0 THEN psar END AS DECIMAL(18,2)) AS purchase_sar, CAST(CASE WHEN psar <> 0 AND prate <> 0 THEN prate END AS DECIMAL(18,2)) AS purchase_rate,
  CAST(CASE WHEN psar IS NULL THEN NULL WHEN psar = 0 OR prate = 0 THEN 0 ELSE psar * prate END AS DECIMAL(20,2)) AS purchase_pkr,
  CAST(CASE WHEN psar IS NULL THEN NULL WHEN psar = 0 OR prate = 0 THEN 0 ELSE sale_pkr - psar * prate END AS DECIMAL(20,2)) AS profit,
- COALESCE('SUP-' || CAST(CAST(psar AS DECIMAL(18,2)) AS VARCHAR), '') AS supplier_code, '' AS supplier_name FROM m""",
+ COALESCE(code, '') AS supplier_code, COALESCE(name, '') AS supplier_name FROM m""",
     "hotel_stays": stays("o_orderkey % 17 <> 0", False),
     "hotel_stays_deleted": stays("o_orderkey % 17 = 0", True),
     "hotel_voucher": f"""

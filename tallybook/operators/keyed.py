@@ -23,36 +23,38 @@ def upsert(
     force: Mapping[str, Column] | None = None,
     insert: bool = True,
     order: list[Column] | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """``current`` with ``update`` columns taken from the change of the same key.
 
     Of changes that repeat a key the first by ``order`` counts (of equal ones
     the one whose update columns sort first), so a key never multiplies; a change without a key is a new row.
-    ``force`` sets columns on every changed row. Unmatched changes are appended (``insert``), with NULL in columns they
-    lack. Both joins keep the changes on the side Spark may broadcast, so a
-    small batch does not shuffle the table.
+    ``unique`` says that changes repeat no key. ``force`` sets columns on every changed row. Unmatched changes are
+    appended (``insert``), with NULL in columns they lack.
+
+    Both inputs are read once: one full join puts known rows and new ones out together. Without ``insert`` it is a
+    left join, whose small side Spark may broadcast.
     """
     force = dict(force or {})
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or []), *[F.col(c) for c in update]))
-    keyless = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
-    changes = changes.withColumn("_rn", rank).where((F.col("_rn") == 1) | keyless).drop("_rn")
-    renamed = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in update], F.lit(True).alias("_hit"))
-    merged = current.join(renamed, keys, "left")
+    if not unique:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or []), *[F.col(c) for c in update]))
+        keyless = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+        changes = changes.withColumn("_rn", rank).where((F.col("_rn") == 1) | keyless).drop("_rn")
+    given = [c for c in current.columns if c in changes.columns]
+    renamed = changes.select(*[F.col(c).alias(f"_new_{c}") for c in given], F.lit(True).alias("_hit"))
+    same = [F.col(k) == F.col(f"_new_{k}") for k in keys]
+    merged = current.withColumn("_known", F.lit(True)).join(renamed, same, "full" if insert else "left")
     columns = []
     for c in current.columns:
+        new = F.col(f"_new_{c}") if c in given else F.lit(None)
         if c in force:
-            columns.append(F.when(F.col("_hit"), force[c]).otherwise(F.col(c)).alias(c))
+            value = F.when(F.col("_hit"), force[c]).otherwise(F.col(c))
         elif c in update:
-            columns.append(F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c))
+            value = F.when(F.col("_hit"), new).otherwise(F.col(c))
         else:
-            columns.append(F.col(c))
-    merged = merged.select(*columns)
-    if not insert:
-        return merged
-    known = current.join(changes.select(*keys), keys, "left_semi").select(*keys)
-    fresh = changes.join(known, keys, "left_anti").withColumns(force)
-    missing = {c: F.lit(None).cast(current.schema[c].dataType) for c in current.columns if c not in fresh.columns}
-    return merged.unionByName(fresh.withColumns(missing).select(*current.columns))
+            value = F.when(F.col("_known"), F.col(c)).otherwise(new)
+        columns.append(value.cast(current.schema[c].dataType).alias(c))
+    return merged.select(*columns)
 
 
 def set_flag(rows: DataFrame, keys: DataFrame, key: list[str], flag: str, value: bool) -> DataFrame:

@@ -5,14 +5,16 @@ one task, which is wrong for a ledger with few accounts or none, and for an
 account that holds a large share of the rows.
 
 So every account is cut into slices ``(day, block of ids)``; each slice is one
-window partition, and a slice starts from the sum of the slices before it. The
-range of ids is cut into as many blocks of equal width as there are times
-``block_rows`` rows, whether ids are serial numbers or hashes; rows without an id
-are a block of their own. The sums of earlier slices are taken in two steps, per
-day and per block within a day, so those windows are bounded by the calendar and
-by ``rows / block_rows``. Slice bounds depend on the data only (no sampling, no
-partition ids): a retried task computes the same ones. All accounts take this
-path, whatever their size.
+window partition, and a slice starts from the sum of the slices before it. Blocks
+hold about equal numbers of rows, whatever the ids are: one slim pass over the ids
+finds 1,023 of them that part the rows evenly, and neighbouring parts are joined
+until a block has ``block_rows`` rows; rows without an id are a block of their own.
+A block is never much larger than ``block_rows`` or a thousandth of the rows, but
+for rows that share an id. The sums of earlier slices are taken in two steps, per
+day and per block within a day, so those windows are bounded by the calendar and by
+the number of blocks. Slices depend on the data only (no sampling, no partition
+ids): a retried task computes the same ones. All accounts take this path, whatever
+their size.
 """
 
 from __future__ import annotations
@@ -23,18 +25,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1_000_000
+# evenly filled parts of the ids, a power of two, and the accuracy of their bounds
+PARTS, ACCURACY = 1024, 20_000
 _BEFORE = (Window.unboundedPreceding, -1)
 # rows without an id sort first, and so does their block
 _NO_ID = -1
 
 
-def _block(rows: DataFrame, order_id: str, block_rows: int) -> Column:
-    """The block of a row's id, from 0; the bounds come from one slim pass over the ids."""
-    ids = F.col(order_id).cast("double")
-    low = rows.agg(F.min(ids).alias("v")).scalar()
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)), F.lit(1))
-    width = rows.agg(((F.max(ids) - F.min(ids) + 1) / blocks).alias("v")).scalar()
-    return F.coalesce(F.floor((ids - low) / width).cast("bigint"), F.lit(_NO_ID).cast("bigint"))
+def _blocked(rows: DataFrame, order_id: str, block_rows: int) -> DataFrame:
+    """``rows`` with ``_block``, the block of a row's id, from 0."""
+    shares = [k / PARTS for k in range(1, PARTS)]
+    ids = F.col(order_id)
+    cuts = rows.agg(F.struct(F.count(ids).alias("n"), F.percentile_approx(ids, shares, ACCURACY).alias("at")).alias("v")).scalar()
+    blocks = F.least(F.ceil(F.col("_cuts.n") / F.lit(block_rows)), F.lit(PARTS))
+    # binary search: the number of cuts that are not above the id
+    halves = F.array(*[F.lit(PARTS >> k) for k in range(1, PARTS.bit_length())])
+    step = lambda at, half: at + F.when(F.get(F.col("_cuts.at"), at + half - 1) <= ids, half).otherwise(F.lit(0))
+    part = F.aggregate(halves, F.lit(0), step)
+    block = F.when(ids.isNull(), F.lit(_NO_ID)).when(blocks > 1, F.floor(part * blocks / PARTS)).otherwise(F.lit(0))
+    return rows.withColumn("_cuts", cuts).withColumn("_block", block.cast("bigint")).drop("_cuts")
 
 
 def running_total(
@@ -62,13 +71,8 @@ def running_total(
     # keys that are never NULL, so that the join and the window share one shuffle of the rows
     named = {f"_k{i}": F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for i, c in enumerate([*account, *before_id])}
     own, keys = list(named)[: len(account)], [*named, "_day", "_block"]
-    keyed = rows.withColumns(
-        {
-            **named,
-            "_amount": amount,
-            "_day": F.coalesce(F.col(day), F.lit(no_day)),
-            "_block": _block(rows, order_id, block_rows),
-        }
+    keyed = _blocked(rows, order_id, block_rows).withColumns(
+        {**named, "_amount": amount, "_day": F.coalesce(F.col(day), F.lit(no_day))}
     )
     order = [F.col("_day"), *map(F.col, before_id), F.col(order_id), *map(F.col, after_id)]
     window = Window.partitionBy(*keys).orderBy(*order)
@@ -97,7 +101,7 @@ def numbered(
 
     Blocks of ids are those of running_total; a row without an id comes first.
     """
-    keyed = rows.withColumn("_block", _block(rows, order_id, block_rows))
+    keyed = _blocked(rows, order_id, block_rows)
     blocks = keyed.groupBy(*group, "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_block").rowsBetween(*_BEFORE)
     starts = blocks.select(*group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -67,6 +67,7 @@ def purchase_upsert(books: Books, requests: DataFrame) -> DataFrame:
             "supplier_name",
         ],
         force={"is_deleted": F.lit(False)},
+        unique=True,
     )
 
 

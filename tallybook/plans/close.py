@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.books import Books
+from tallybook.functions.catalogue import ARCHIVE, DATED
 from tallybook.functions.coerce import EPOCH, MONEY, as_total, lowered, on_days, or_zero, total
 from tallybook.functions.modules import MODULES, module_value
 from tallybook.operators.keyed import first_per_key, remove
@@ -17,21 +18,19 @@ from tallybook.operators.snapshots import before_day, field, latest_by_id
 from tallybook.plans.outstanding import customer_balances, supplier_balances
 from tallybook.plans.profit import MEASURES, live_months, month_spine, net_profit
 
-# which column dates the rows of a table, for export and purge
-DAY_OF = {
-    "sales": "booking_date",
-    "purchases": "created_at",
-    "customer_payments": "payment_date",
-    "supplier_payments": "payment_date",
-    "expenses": "expense_date",
-    "bank_txns": "created_at",
-    "cash_txns": "created_at",
-}
-ARCHIVE_TABLES = ("snapshots", "balances", "profit_months", "logs")
-
-
-def in_range(table: str, start: dt.date, end: dt.date) -> Column:
-    day = DAY_OF[table]
+ARCHIVE_TABLES = tuple(t.frame for t in ARCHIVE)
+_DAYS = {"sales": "booking_date"} | {t.frame: t.day for t in DATED}
+# what a purge counts: the eight modules in one pass over the unified sales, then every other dated table
+_COUNTED = {"sales": None} | {t.frame: t.name for t in DATED if t.day != "booking_date"}
+
+
+def in_range(table: str, start: dt.date | Column, end: dt.date | Column) -> Column:
+    """Rows of a table of the books dated from ``start`` to ``end``; days are dates or date columns."""
+    day = _DAYS[table]
+    if isinstance(start, Column):
+        if day == "created_at":
+            return (F.col(day) >= start.cast("timestamp_ntz")) & (F.col(day) < F.date_add(end, 1).cast("timestamp_ntz"))
+        return (F.col(day) >= start) & (F.col(day) <= end)
     if day == "created_at":
         return on_days(day, start, end)
     return F.col(day).between(F.lit(start), F.lit(end))
@@ -291,20 +290,13 @@ def archive_log(books: Books, snapshot_id: int) -> DataFrame:
 
 def purge_counts(books: Books, start: dt.date, end: dt.date) -> DataFrame:
     """(table_name, purged): rows a purge of the range removes, 0 included."""
-    names = {"purchases": "purchase_entries", "expenses": "expense_ledger", "cash_txns": "cash_transactions"}
-    names["bank_txns"] = "bank_transactions"
     parts = [
-        books.sales.select(
-            module_value(F.col("prefix"), "table").alias("table_name"), in_range("sales", start, end).alias("hit")
+        getattr(books, frame).select(
+            (module_value(F.col("prefix"), "table") if name is None else F.lit(name)).alias("table_name"),
+            in_range(frame, start, end).alias("hit"),
         )
+        for frame, name in _COUNTED.items()
     ]
-    for table in DAY_OF:
-        if table != "sales":
-            parts.append(
-                getattr(books, table).select(
-                    F.lit(names.get(table, table)).alias("table_name"), in_range(table, start, end).alias("hit")
-                )
-            )
     return reduce(DataFrame.unionByName, parts).groupBy("table_name").agg(F.count_if("hit").alias("purged"))
 
 
@@ -328,10 +320,15 @@ def purge_log(books: Books, start: dt.date, end: dt.date) -> DataFrame:
 
 
 def purge_retained(books: Books, table: str, start: dt.date, end: dt.date) -> DataFrame:
-    """Rows that survive; an undated row is never purged."""
+    """Rows of any dated table that survive; an undated row is never purged."""
     return getattr(books, table).where(~F.coalesce(in_range(table, start, end), F.lit(False)))
 
 
+def purge_range(books: Books, start: dt.date, end: dt.date) -> Books:
+    """The books without the rows of the range, in every dated table."""
+    return books.replace(**{t.frame: purge_retained(books, t.frame, start, end) for t in DATED})
+
+
 def purgeable(books: Books, snapshot_id: int) -> DataFrame:
     """The close with this id, unless its purge has been logged already."""
     done = books.logs.select(F.col("snapshot_id").alias("id"))
@@ -340,6 +337,19 @@ def purgeable(books: Books, snapshot_id: int) -> DataFrame:
     )
 
 
+def purge_close(books: Books, snapshot_id: int) -> Books:
+    """The books without the rows of a close; all rows stay if it does not exist or has been purged before.
+
+    The bounds are scalar subqueries over the closes, so they reach the scans.
+    """
+    owner = purgeable(books, snapshot_id)
+    start, end = (owner.agg(F.max(c).alias("v")).scalar() for c in ("date_from", "date_to"))
+    kept = {}
+    for t in DATED:
+        kept[t.frame] = getattr(books, t.frame).where(~F.coalesce(in_range(t.frame, start, end), F.lit(False)))
+    return books.replace(**kept)
+
+
 def rearchive_profit(books: Books, start: dt.date, end: dt.date, snapshot_id: int) -> DataFrame:
     """The archive with the months of one close recomputed; sales count by booking date here."""
     fresh = snapshot_profit(books, start, end, F.lit(snapshot_id), sales_day="booking_date")

@@ -311,24 +311,21 @@ def purchase_worksheet(books: Books, lines: DataFrame | None = None) -> DataFram
     with no purchase at all has unknown (NULL) cost and profit.
     """
     lines = all_lines(books) if lines is None else lines
-    # one purchase for each item, so that no line multiplies
-    found = F.struct("purchase_sar", "purchase_rate", "supplier_code", "supplier_name")
-    cost = active(books.purchases).groupBy("ref_no", "item").agg(F.min(found).alias("x"))
     base = F.split_part("item", F.lit(" - "), F.lit(1))
-    # where the base is the whole item the first join decides; the second then gets a key without a match
-    keyed = lines.withColumn("base", F.when(base != F.col("item"), base).otherwise(F.concat(F.lit("\u0000"), "item")))
-    # the same frame on both right sides, so its shuffle is done once
-    looked_up = (
-        keyed.alias("l")
-        .join(cost.alias("f"), (F.col("l.ref_no") == F.col("f.ref_no")) & (F.col("l.item") == F.col("f.item")), "left")
-        .join(cost.alias("p"), (F.col("l.ref_no") == F.col("p.ref_no")) & (F.col("l.base") == F.col("p.item")), "left")
-        .select("l.*", F.coalesce("f.x", "p.x").alias("x"))
-    )
+    # the purchases of one base item of a sale are few, whatever the sale has
+    found = F.struct("purchase_sar", "purchase_rate", "supplier_code", "supplier_name")
+    bought = active(books.purchases).groupBy("ref_no", base.alias("base")).agg(F.collect_list(F.struct("item", found.alias("x"))).alias("bought"))
+
+    def of(item: str) -> Column:
+        """The least purchase of this very item."""
+        return F.array_min(F.transform(F.filter("bought", lambda p: p["item"] == F.col(item)), lambda p: p["x"]))
+
+    looked_up = lines.withColumn("base", base).join(bought, ["ref_no", "base"], "left").withColumn("x", F.coalesce(of("item"), of("base")))
     sar, rate = F.col("x.purchase_sar"), F.col("x.purchase_rate")
     cleared = (or_zero(sar) == 0) | (or_zero(rate) == 0)
     unknown = F.col("x").isNull()
     zero = F.lit(0).cast("decimal(20,2)")
-    bought = (sar * rate).cast("decimal(20,2)")
+    cost = (sar * rate).cast("decimal(20,2)")
 
     def when_costed(value: Column, if_cleared: Column | None) -> Column:
         return F.when(unknown, F.lit(None)).when(cleared, if_cleared).otherwise(value)
@@ -342,8 +339,8 @@ def purchase_worksheet(books: Books, lines: DataFrame | None = None) -> DataFram
         "sale_pkr",
         when_costed(sar, none).cast(MONEY).alias("purchase_sar"),
         when_costed(rate, none).cast(MONEY).alias("purchase_rate"),
-        when_costed(bought, zero).cast("decimal(20,2)").alias("purchase_pkr"),
-        when_costed(F.col("sale_pkr") - bought, zero).cast("decimal(20,2)").alias("profit"),
+        when_costed(cost, zero).cast("decimal(20,2)").alias("purchase_pkr"),
+        when_costed(F.col("sale_pkr") - cost, zero).cast("decimal(20,2)").alias("profit"),
         or_text("x.supplier_code", "").alias("supplier_code"),
         or_text("x.supplier_name", "").alias("supplier_name"),
     )

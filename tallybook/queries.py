@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.books import Books
+from tallybook.functions.catalogue import DATED
 from tallybook.functions.coerce import MONEY
 from tallybook.functions.modules import MODULES
 from tallybook.plans import balance, changes, close, intake, ledgers, lines, outstanding, profit, purchases, reports, sales
@@ -89,40 +90,35 @@ _plain(
     manifest_latest=lambda b: reports.manifest_latest(_manifest(b)),
 )
 
-FULL_TABLES = ["sales", "purchases", "customer_payments", "supplier_payments", "purchase_payments", "expenses"]
-FULL_TABLES += ["cash_txns", "bank_txns", "suppliers", "customers", "banks", "visa", "hotels"]
-FULL_TABLES += list(close.ARCHIVE_TABLES)
-
-
-def _counted_files(b: Books, spark: SparkSession, folder: str, tables: list[str]) -> DataFrame:
-    return reports.table_profile(
-        {t: csv_io.read_text(spark, f"{folder}/{t}", getattr(b, t).columns) for t in tables}
-    )
-
-
 @query("export_range")
 def _export_range(b: Books) -> DataFrame:
-    """Write the tables of a range as CSV, then count the rows of each file set."""
-    spark = b.sales.sparkSession
-    folder = scratch_path(spark, "export-range")
-    return _counted_files(b, spark, folder, csv_io.export_range(b, START, END, folder))
+    """Write the tables of a range as CSV; the rows of each, as the manifest has counted them."""
+    folder = scratch_path(b.sales.sparkSession, "export-range")
+    return csv_io.export_range(b, START, END, folder).select("table_name", "row_count")
 
 
 @query("export_full")
 def _export_full(b: Books) -> DataFrame:
+    folder = scratch_path(b.sales.sparkSession, "export-full")
+    return csv_io.export_full(b, folder).select("table_name", "row_count")
+
+
+@query("export_reopened")
+def _export_reopened(b: Books) -> DataFrame:
+    """The lines of all modules, read from a full export that is opened again."""
     spark = b.sales.sparkSession
-    folder = scratch_path(spark, "export-full")
-    return _counted_files(b, spark, folder, csv_io.export_full(b, FULL_TABLES, folder))
+    folder = scratch_path(spark, "export-reopened")
+    csv_io.export_full(b, folder, [m.table for m in MODULES])
+    return lines.all_lines(csv_io.open_export(spark, folder))
 
 
 @query("export_roundtrip")
 def _roundtrip(b: Books) -> DataFrame:
-    """The purchase table exported and imported again."""
+    """The purchase table exported and opened again."""
     spark = b.purchases.sparkSession
     folder = scratch_path(spark, "roundtrip")
-    csv_io.export_full(b, ["purchases"], folder)
-    rows = csv_io.read_text(spark, f"{folder}/purchases", b.purchases.columns)
-    return csv_io.import_typed(rows, b.purchases.schema, keep_empty=True)
+    csv_io.export_full(b, folder, ["purchase_entries"])
+    return csv_io.open_export(spark, folder).purchases
 
 
 IMPORT_SCHEMA = "id bigint, sent_at timestamp_ntz, amount decimal(18,2), is_deleted boolean, payload struct<k:int>, note string"
@@ -134,7 +130,9 @@ def _import_normalize(b: Books) -> DataFrame:
     spark = b.events.sparkSession
     folder = scratch_path(spark, "import")
     e = F.col("event_id")
-    millis = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
+    since = "ts - TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+    units = {"DAY": 86_400_000, "HOUR": 3_600_000, "MINUTE": 60_000, "SECOND": 1000}
+    millis = F.floor(sum((F.expr(f"CAST(extract({u} FROM {since}) AS DECIMAL(20,6))") * n for u, n in units.items()), F.lit(0))).cast("string")
     b.events.select(
         e.cast("string").alias("id"),
         F.when(e % 7 == 0, "").when(e % 7 == 1, "soon").otherwise(millis).alias("sent_at"),
@@ -227,29 +225,7 @@ for _module in lines.LINES:
     _plain(**{f"purchase_lines_{_module}": lambda b, m=_module: lines.purchase_lines(b, m)})
 
 
-def worksheet_costs(rows: DataFrame) -> DataFrame:
-    """Purchases for a third of the lines under their full item, a third under its base."""
-    size = F.length("item") % 3
-    base = F.split_part("item", F.lit(" - "), F.lit(1))
-    costed = rows.select(
-        "ref_no",
-        F.when(size == 0, F.col("item")).when(size == 1, base).otherwise(F.concat(F.lit("Other "), "item")).alias("item"),
-        F.when(F.length("ref_no") + F.col("sale_rate") == 85, 0).otherwise(F.col("sale_sar")).cast(MONEY).alias("purchase_sar"),
-        (F.col("sale_rate") - 2).cast(MONEY).alias("purchase_rate"),
-    )
-    return costed.groupBy("ref_no", "item").agg(
-        F.max("purchase_sar").alias("purchase_sar"),
-        F.max("purchase_rate").alias("purchase_rate"),
-        F.max(F.concat(F.lit("SUP-"), F.col("purchase_sar").cast("string"))).alias("supplier_code"),
-        F.lit("").alias("supplier_name"),
-        F.lit(False).alias("is_deleted"),
-    )
-
-
-@query("purchase_worksheet")
-def _worksheet(b: Books) -> DataFrame:
-    rows = lines.all_lines(b)
-    return lines.purchase_worksheet(b.replace(purchases=worksheet_costs(rows)), rows)
+_plain(purchase_worksheet=lines.purchase_worksheet)
 
 
 def _totals(b: Books) -> DataFrame:
@@ -265,6 +241,12 @@ _plain(
 
 # period close
 
+
+def _left_over(b: Books) -> DataFrame:
+    """Rows that a purge has left in each dated table."""
+    return reports.table_profile({t.name: getattr(b, t.frame) for t in DATED})
+
+
 _plain(
     opening_cash=lambda b: close.opening_cash(b, END),
     opening_bank=lambda b: close.opening_bank(b, END),
@@ -279,6 +261,9 @@ _plain(
     purge_counts=lambda b: close.purge_counts(b, START, END),
     purge_log=lambda b: close.purge_log(b, *CLOSED),
     purge_retained=lambda b: close.purge_retained(b, "purchases", START, END).select("ref_no", "item", "created_at"),
+    purge_range=lambda b: _left_over(close.purge_range(b, START, END)),
+    purge_close=lambda b: _left_over(close.purge_close(b, 1)),
+    purge_close_again=lambda b: _left_over(close.purge_close(b, 2)),
     rearchive_profit=lambda b: close.rearchive_profit(b, dt.date(1996, 1, 1), dt.date(1996, 12, 31), 1),
 )
 
@@ -501,23 +486,20 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payment_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The intake requests as a stream in which every request arrives twice."""
-    events = _event_stream(spark, sf_dir)
     text = fixtures.VIEWS["requests"].replace("SELECT ", "SELECT CAST(ts AS TIMESTAMP) AS sent_at, ", 1)
-    once = spark.sql(text, events=events)
+    once = spark.sql(text, events=_event_stream(spark, sf_dir))
     again = spark.sql(text, events=_event_stream(spark, sf_dir))
     books = fixtures.load(spark, sf_dir)
     folder = scratch_path(spark, "payment-feed")
-    feed.append_parquet(
-        feed.accepted_feed(once.unionByName(again), books.suppliers), f"{folder}/out", f"{folder}/checkpoint"
-    ).awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    feed.land_requests(once.unionByName(again), books.suppliers, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return feed.landed_requests(spark, f"{folder}/out").drop("sent_at", "late")
 
 
 def payment_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = fixtures.load(spark, sf_dir)
     stream = spark.sql(fixtures.VIEWS["customer_payments"], events=_event_stream(spark, sf_dir))
     folder = scratch_path(spark, "payment-status")
-    feed.follow_status(stream, books, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    feed.follow_status(stream, lambda: books.sales, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return feed.current_status(spark, f"{folder}/out")
 
 
@@ -537,10 +519,8 @@ def flows(events: DataFrame) -> DataFrame:
 
 def daily_cash_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "cash-flow")
-    feed.append_parquet(
-        feed.daily_cash_flow(flows(_event_stream(spark, sf_dir))), f"{folder}/out", f"{folder}/checkpoint"
-    ).awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    feed.follow_flow(flows(_event_stream(spark, sf_dir)), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return feed.current_flow(spark, f"{folder}/out")
 
 
 QUERIES["payment_feed"] = payment_feed

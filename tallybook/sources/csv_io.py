@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybook.books import Books
+from tallybook.functions.catalogue import ARCHIVE, BY_NAME, CATALOGUE, DATED
 from tallybook.functions.coerce import is_blank
+from tallybook.functions.modules import MODULES
 from tallybook.operators.keyed import first_per_key
-from tallybook.plans.close import ARCHIVE_TABLES, DAY_OF, in_range
+from tallybook.plans.close import in_range
+from tallybook.plans.sales import unify_sales
 
 # written with a mark for NULL, so that an empty text survives the round trip;
 # blanks at the ends of a text and line breaks inside it are kept
@@ -45,28 +49,66 @@ def as_text(frame: DataFrame, upper_flag: bool = False, fill_delete_flag: bool =
     return frame.select(*columns)
 
 
-def range_tables(books: Books, start: dt.date, end: dt.date) -> dict[str, DataFrame]:
-    """Rows dated in the range; archive tables whole."""
-    tables = {t: getattr(books, t).where(in_range(t, start, end)) for t in DAY_OF}
-    return tables | {t: getattr(books, t) for t in ARCHIVE_TABLES}
+MANIFEST = "table_name string, schema string, null_mark string, row_count bigint"
 
 
-def export_range(books: Books, start: dt.date, end: dt.date, path: str) -> list[str]:
-    for table, frame in range_tables(books, start, end).items():
-        as_text(frame, fill_delete_flag=True).write.options(**WRITE_OPTIONS).csv(f"{path}/{table}")
-    return [*DAY_OF, *ARCHIVE_TABLES]
+def _export(books: Books, frames: dict[str, DataFrame], path: str, **flags) -> DataFrame:
+    """One CSV folder per table and, last, the manifest, which is what makes the export one that can be opened."""
+    spark = next(iter(frames.values())).sparkSession
+    rows = []
+    for name, frame in frames.items():
+        as_text(frame, **flags).write.options(**WRITE_OPTIONS).csv(f"{path}/{name}")
+        written = read_text(spark, f"{path}/{name}", frame.columns)
+        rows.append((name, frame.schema.json(), CSV_OPTIONS["nullValue"], written.count()))
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
+    return manifest(spark, path)
 
 
-def export_full(books: Books, tables: list[str], path: str) -> list[str]:
-    for table in tables:
-        as_text(getattr(books, table), upper_flag=True).write.options(**WRITE_OPTIONS).csv(f"{path}/{table}")
-    return tables
+def export_range(books: Books, start: dt.date, end: dt.date, path: str) -> DataFrame:
+    """Write the rows dated in the range of every dated table, and the archive tables whole; returns the manifest."""
+    frames = {t.name: getattr(books, t.frame).where(in_range(t.frame, start, end)) for t in DATED}
+    return _export(books, frames | {t.name: getattr(books, t.frame) for t in ARCHIVE}, path, fill_delete_flag=True)
 
 
-def read_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def export_full(books: Books, path: str, tables: list[str] | None = None) -> DataFrame:
+    """Write every table of the books, or the named ones; returns the manifest."""
+    wanted = [BY_NAME[t] for t in tables] if tables else CATALOGUE
+    return _export(books, {t.name: getattr(books, t.frame) for t in wanted}, path, upper_flag=True)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(table_name, schema, null_mark, row_count) of an export; an export that died has none."""
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+
+
+def open_export(spark: SparkSession, path: str) -> Books:
+    """Books over an export of export_full() or export_range(), under the schemas of its manifest.
+
+    Every part file is a task of its own; nested columns come back as they were.
+    """
+    books = Books()
+    for row in manifest(spark, path).collect():
+        schema = T.StructType.fromJson(json.loads(row.schema))
+
+        def read(name: str = row.table_name, schema: T.StructType = schema, mark: str = row.null_mark) -> DataFrame:
+            return import_typed(read_text(spark, f"{path}/{name}", schema.names, mark), schema, keep_empty=True)
+
+        books.define(BY_NAME[row.table_name].frame, read)
+    if all(m.table in books for m in MODULES):
+        books.define("sales", lambda: unify_sales({m.table: getattr(books, m.table) for m in MODULES}))
+    return books
+
+
+def read_text(spark: SparkSession, path: str, columns: list[str], null_mark: str = CSV_OPTIONS["nullValue"]) -> DataFrame:
     """A CSV folder with every column as text, under a given schema."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).options(**READ_OPTIONS).csv(path)
+    return spark.read.schema(schema).options(**READ_OPTIONS).option("nullValue", null_mark).csv(path)
+
+
+def with_position(rows: DataFrame, name: str = "position") -> DataFrame:
+    """Rows of read_text() with their place in the import: by file, then within it."""
+    # the lower bits count the rows of a task, which reads a file with line breaks from its start
+    return rows.withColumn(name, F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row")))
 
 
 def _from_millis(millis: Column, kind: T.DataType) -> Column:
@@ -111,20 +153,23 @@ def import_typed(rows: DataFrame, schema: T.StructType, merge: bool = False, kee
     )
 
 
-def merge_import(current: DataFrame, rows: DataFrame, table: str = "") -> DataFrame:
+def merge_import(current: DataFrame, rows: DataFrame, table: str = "", position: str | None = None) -> DataFrame:
     """``current`` plus imported rows whose key it lacks.
 
     The key is ``id``; without one it is ``ref_no``, except for customer
     payments, which then have no key and are all added. Of rows that repeat a
-    key the first in the order of their other columns is added.
+    key the first by ``position`` (see with_position) is added, without one the
+    first in the order of their other columns.
     """
+    order = [F.col(position)] if position else []
+    given = [c for c in rows.columns if c != position]
     if "id" in rows.columns:
         key = "id"
     elif "ref_no" in rows.columns and table != "customer_payments":
         key = "ref_no"
     else:
-        return current.unionByName(rows, allowMissingColumns=True)
+        return current.unionByName(rows.select(*given), allowMissingColumns=True)
     known = rows.where(F.col(key).isNotNull())
-    fresh = first_per_key(known, [key], *[F.col(c) for c in rows.columns if c != key]).join(current.select(key), key, "left_anti")
+    fresh = first_per_key(known, [key], *order, *[F.col(c) for c in given if c != key]).join(current.select(key), key, "left_anti")
     fresh = fresh.unionByName(rows.where(F.col(key).isNull()))
-    return current.unionByName(fresh.select(*rows.columns), allowMissingColumns=True)
+    return current.unionByName(fresh.select(*given), allowMissingColumns=True)

@@ -62,6 +62,12 @@ _ITEM = (
     "'Item ' || CAST(l_linenumber AS STRING) || ' - part ' || CAST(l_partkey AS STRING) || ' of ' || CAST(l_suppkey AS STRING)"
     " || ', ' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || ' on ' || CAST(CAST(l_shipdate AS DATE) AS STRING)"
 )
+# a fifth of the lines is bought under the base of a sale's line (``Hotel 1``), another fifth under a full label
+_KIND = "CASE l_orderkey % 8 WHEN 1 THEN 'Hotel ' WHEN 2 THEN 'Visa ' WHEN 3 THEN 'Card ' WHEN 4 THEN 'Groups ' WHEN 7 THEN 'Ziyarat ' ELSE 'Transport ' END"
+_ITEM = (
+    f"CASE l_partkey % 5 WHEN 0 THEN {_KIND} || CAST(l_linenumber AS STRING)"
+    f" WHEN 1 THEN {_KIND} || CAST(l_linenumber AS STRING) || ' - D' || CAST(l_linenumber AS STRING) ELSE {_ITEM} END"
+)
 _FEED = f"""{_LINE_ID} AS id, {ref_sql("l_orderkey")} AS ref_no, {_ITEM} AS item, l_partkey, l_suppkey,
  CAST(l_quantity AS DECIMAL(18,2)) AS sale_sar, CAST(75.50 AS DECIMAL(18,2)) AS sale_rate,
  CASE WHEN l_returnflag = 'R' THEN CAST(0 AS DECIMAL(18,2)) ELSE CAST(l_quantity AS DECIMAL(18,2)) END AS purchase_sar,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tallybook.books import Books
+from tallybook.functions.catalogue import CATALOGUE
 from tallybook.functions.coerce import MONEY
 from tallybook.functions.modules import MODULES
 from tallybook.plans.sales import unify_sales
@@ -76,16 +77,7 @@ TABLES = {
     + ", deleted_at timestamp_ntz, archived_at timestamp_ntz, backup_file string",
 }
 # the name a table has in the books, where it differs
-IN_BOOKS = {
-    "purchase_entries": "purchases",
-    "expense_ledger": "expenses",
-    "cash_transactions": "cash_txns",
-    "bank_transactions": "bank_txns",
-    "archive_snapshots": "snapshots",
-    "archive_balances": "balances",
-    "archive_profit_monthly": "profit_months",
-    "archive_logs": "logs",
-}
+IN_BOOKS = {t.name: t.frame for t in CATALOGUE if t.name != t.frame}
 
 
 def schema_of(spark: SparkSession, table: str) -> T.StructType:
