@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallybook.session import scratch_path
+from tallybook.session import scratch_path, ship
 
 # Bytes of text that one vectorised step works on; a longer document is one step of its own.
 BLOCK_BYTES = 1 << 20
@@ -25,6 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -57,6 +58,24 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def packed(docs: DataFrame, name: str = "row") -> Column:
+    """Whole rows as one struct, so that no column can clash with the names an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, name: str = "row") -> DataFrame:
+    """The columns of ``docs`` back from packed() rows."""
+    return rows.select(*[F.col(f"{name}.`{c}`") for c in docs.columns])
+
+
 def id_crc(name: str = "doc_id") -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary"))
 

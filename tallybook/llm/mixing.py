@@ -108,10 +108,11 @@ def _settled(offers: pd.DataFrame) -> pd.DataFrame:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with _size in words, _crc of the text, and _key, which keeps a null source apart from an empty one."""
-    words = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit(common.WORD))).cast("long")
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    return docs.withColumns({"_size": words, "_crc": F.crc32(F.col("text").cast("binary")), "_key": key})
+    """(row, doc_id, _size, _crc, _key) of each row: words, crc of the text, and a key that keeps a null source apart from an empty one."""
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    words = F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(common.WORD))).cast("long")
+    key = F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+    return docs.select(common.packed(docs), F.col("doc_id").cast("long").alias("doc_id"), words.alias("_size"), F.crc32(text.cast("binary")).alias("_crc"), key.alias("_key"))
 
 
 def _counted(rows: DataFrame, plan: DataFrame, ceiling: int) -> DataFrame:
@@ -122,8 +123,8 @@ def _counted(rows: DataFrame, plan: DataFrame, ceiling: int) -> DataFrame:
 
 
 def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
-    """``docs`` with _size, source_size, target, rate and _copies; texts are not shuffled. See mix()."""
-    rows = common.stored(sized(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "_size", "_crc", "_key"), "mixing-sizes")
+    """(row, doc_id, _size, source_size, target, rate, _copies), ``row`` being the whole row of ``docs``; texts are not shuffled. See mix()."""
+    rows = common.stored(sized(docs).drop("row"), "mixing-sizes")
     cells = rows.groupBy(F.col("_key").alias("source_key"), F.col("_size").alias("size")).agg(F.count("*").alias("n"))
     cells = common.stored(cells, "mixing-cells")
     sums = cells.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("total")).limit(MAX_SOURCES + 1).collect()
@@ -160,10 +161,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEIL
     never above ``ceiling`` * size. Empty tables give empty results.
     """
     rows = planned(common.id_and_text(docs, F.col("source").cast("string").alias("source")), weights, ceiling)
-    return rows.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "rate", F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))
+    return rows.select("doc_id", "row.source", F.col("_size").alias("size"), "source_size", "target", "rate", F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
 def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
-    """Every row of ``docs`` as often as the mix takes it, with the columns as they are."""
+    """Every row of ``docs`` as often as the mix takes it, with the columns as they are, whatever they are called."""
     rows = planned(docs, weights, ceiling).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    rows = rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return common.unpacked(rows, docs)

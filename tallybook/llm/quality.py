@@ -204,8 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_train: int = MAX_T
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``_score``, found by its features; all rows and columns pass through."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
+    """``docs`` with a last column, the score found by its features, called by common.unused(); all rows and columns pass through."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(common.unused(docs, "score"), T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,9 +225,10 @@ def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, thr
     (0.5 without any). Of repeated labels the largest counts. Empty tables give empty results.
     """
     result = scored(common.id_and_text(docs), train(docs, labels, "quality", max_train))
-    return result.select("doc_id", common.held_out(5, 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    return result.select("doc_id", common.held_out(5, 0).alias("held_out"), F.col("score"), (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that classify() predicts 1 for, in one pass and with the columns as they are."""
-    return scored(docs, train(docs, labels, "quality", max_train)).where(F.col("_score") >= threshold).drop("_score")
+    """The rows of ``docs`` that classify() predicts 1 for, in one pass and with the columns as they are, whatever they are called."""
+    rows = scored(docs, train(docs, labels, "quality", max_train))
+    return rows.where(F.col(rows.columns[-1]) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

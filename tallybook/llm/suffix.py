@@ -1,14 +1,14 @@
 """Repeated byte strings by a distributed difference-cover suffix sort.
 
-Texts become sequences of symbols: of every 129 consecutive 272-byte strings the one
-with the least hash is marked, so that any 400-byte string holds a mark and equal
-strings are marked alike. A symbol is a mark's hash and the distance to the next
+Strings of 400 bytes (or another window) are looked for. Texts become sequences of
+symbols: of every 161 consecutive 240-byte strings the one with the least hash is
+marked, so that any 400-byte string holds a mark and equal strings are marked alike. A symbol is a mark's hash and the distance to the next
 mark. Marks that occur once end a sequence, because nothing repeats across them.
 
 The suffixes of all sequences are ordered by the difference cover modulo 3: triples
 at places 1 and 2 are sorted and named, the names are sorted by recursion, and the
 suffixes at place 0 are merged in. Adjacent suffixes share the longest prefixes; a
-shared prefix of 400 bytes settles whole runs. Only windows at the ends of runs, whose
+shared prefix of a window settles whole runs. Only windows at the ends of runs, whose
 first and last bytes lie outside the marks, are compared by a hash of all their bytes.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,23 @@ from pyspark.sql import functions as F
 from tallybook.llm import common
 
 WINDOW = 400
-GRAM = 272
-SPAN = WINDOW - GRAM + 1
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Bytes of the strings looked for, of the strings that marks are chosen among, and how many of these a window starts with."""
+
+    window: int = WINDOW
+
+    @property
+    def span(self) -> int:
+        return 2 * self.window // 5 + 1
+
+    @property
+    def gram(self) -> int:
+        return self.window - self.span + 1
+
+
 # Places of a mark whose surroundings one task compares; the windows of a mark with more are dealt out one by one.
 HOT_MARK = 1_000
 # Window starts that one vectorised step marks; a longer text takes several steps.
@@ -56,21 +72,21 @@ def rolling(data: np.ndarray, size: int, start: int) -> np.ndarray:
     return common.mix(out[:n])
 
 
-def _marks(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+def _marks(data: np.ndarray, offsets: np.ndarray, size: Sizes = Sizes()) -> list[np.ndarray]:
     """Marks of texts that stand one after the other: place, hash, first and last window start they are the mark of."""
-    n = len(data) - WINDOW + 1
+    n = len(data) - size.window + 1
     if n <= 0:
         return [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
-    hashes = rolling(data, GRAM, 40)
+    hashes = rolling(data, size.gram, 40)
     low_bits = np.uint64((1 << len(data).bit_length()) - 1)
     least = (hashes & ~low_bits) | (low_bits - np.arange(len(hashes), dtype=np.uint64))  # of equal hashes the last
     width = 1
-    while 2 * width <= SPAN:
+    while 2 * width <= size.span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    least = np.minimum(least[:n], least[SPAN - width : SPAN - width + n])
+    least = np.minimum(least[:n], least[size.span - width : size.span - width + n])
     ends = np.zeros(len(data) + 1, dtype=np.int64)
-    a, b = offsets[:-1], offsets[1:] - WINDOW + 1
+    a, b = offsets[:-1], offsets[1:] - size.window + 1
     ok = b > a
     np.add.at(ends, a[ok], 1)
     np.add.at(ends, b[ok], -1)
@@ -83,60 +99,60 @@ def _marks(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [places[at], hashes[places[at]], starts[at], starts[last]]
 
 
-def _period(gram: bytes) -> int:
-    """A period below SPAN of a 272-byte string, as the nearest return of the 16 bytes in its middle shows it; else 0."""
-    at = gram.rfind(gram[SPAN : SPAN + 16], 0, SPAN + 15)
-    p = SPAN - at
+def _period(gram: bytes, span: int) -> int:
+    """A period below ``span`` of a string, as the nearest return of the 16 bytes in its middle shows it; else 0."""
+    at = gram.rfind(gram[span : span + 16], 0, span + 15)
+    p = span - at
     return p if at >= 0 and gram[p:] == gram[:-p] else 0
 
 
-def _returns(data: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Which marks have 16 bytes in their middle that also stand up to SPAN bytes before."""
+def _returns(data: np.ndarray, places: np.ndarray, size: Sizes) -> np.ndarray:
+    """Which marks have 16 bytes in their middle that also stand up to a span before."""
     found = np.zeros(len(places), dtype=bool)
     for k in range(0, len(places), 4096):
         part = places[k : k + 4096]
-        some = rolling(data[part[0] : part[-1] + GRAM], 16, 70)
-        middle = part - part[0] + SPAN
-        for back in range(1, SPAN + 1):
+        some = rolling(data[part[0] : part[-1] + size.gram], 16, 70)
+        middle = part - part[0] + size.span
+        for back in range(1, size.span + 1):
             found[k : k + 4096] |= some[middle - back] == some[middle]
     return found
 
 
-def _stretches(text: np.ndarray, marks: list[tuple[int, int, int, int]]) -> tuple[list, list]:
+def _stretches(text: bytes, marks: list[tuple[int, int, int, int]], size: Sizes) -> tuple[list, list]:
     """For marks (place, period, lo, hi) of one text: runs sure to repeat by their period, and windows to compare.
 
-    In a stretch of period p and at least 400 + 2 p bytes every window repeats p bytes before or after. Windows of these marks that are not
+    In a stretch of period p and at least a window and 2 p bytes every window repeats p bytes before or after. Windows of these marks that are not
     inside such a stretch are compared by their bytes, and so is one period of windows inside, each rotation of the phrase once: a shorter
     stretch elsewhere may have its only equals there.
     """
     runs, asked, a, b, period = [], [], 0, 0, 0
     for place, p, lo, hi in marks:
-        if p != period or place + GRAM > b:
-            period, a, b = p, place, place + GRAM
+        if p != period or place + size.gram > b:
+            period, a, b = p, place, place + size.gram
             while a > 0 and text[a - 1] == text[a - 1 + p]:
                 a -= 1
             while b < len(text) and text[b] == text[b - p]:
                 b += 1
-            if b - a >= WINDOW + 2 * p:
+            if b - a >= size.window + 2 * p:
                 runs.append({"a": a, "b": b})
                 asked.append({"lo": a, "hi": a + p - 1})
-        if b - a >= WINDOW + 2 * p:
-            asked += [{"lo": x, "hi": y} for x, y in ((lo, min(hi, a - 1)), (max(lo, b - WINDOW + 1), hi)) if x <= y]
+        if b - a >= size.window + 2 * p:
+            asked += [{"lo": x, "hi": y} for x, y in ((lo, min(hi, a - 1)), (max(lo, b - size.window + 1), hi)) if x <= y]
         else:
             asked.append({"lo": lo, "hi": hi})
     return runs, asked
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marked(batches: Iterator[pa.RecordBatch], size: Sizes = Sizes()) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in common.text_blocks(batch.column("text"), STEP):
             if len(data) <= 2 * STEP:
-                places, hashes, lo, hi = _marks(data, offsets)
+                places, hashes, lo, hi = _marks(data, offsets, size)
             else:  # one long text, marked in steps of window starts
                 parts = []
                 for s in range(0, len(data), STEP):
-                    part = data[s : s + STEP + WINDOW - 1]
-                    p, h, x, y = _marks(part, np.array([0, len(part)]))
+                    part = data[s : s + STEP + size.window - 1]
+                    p, h, x, y = _marks(part, np.array([0, len(part)]), size)
                     parts.append((s + p, h, s + x, s + y))
                 places, hashes, lo, hi = (np.concatenate(c) for c in zip(*parts))
                 places, at = np.unique(places, return_index=True)
@@ -145,13 +161,13 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = pa.array(common.per_document(doc, b - a), pa.int32())
             base = offsets[doc]
             periods, runs, asked = {}, [[] for _ in range(b - a)], [[] for _ in range(b - a)]
-            for k in np.flatnonzero(_returns(data, places)):
-                if p := _period(data[places[k] : places[k] + GRAM].tobytes()):
+            for k in np.flatnonzero(_returns(data, places, size)):
+                if p := _period(data[places[k] : places[k] + size.gram].tobytes(), size.span):
                     periods.setdefault(int(doc[k]), []).append((int(places[k]), p, int(lo[k]), int(hi[k])))
                     hashes[k] = 0
             for d, found in periods.items():
                 own = int(offsets[d])
-                runs[d], asked[d] = _stretches(data[own : int(offsets[d + 1])].tobytes(), [(x - own, p, y - own, z - own) for x, p, y, z in found])
+                runs[d], asked[d] = _stretches(data[own : int(offsets[d + 1])].tobytes(), [(x - own, p, y - own, z - own) for x, p, y, z in found], size)
             lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int64))) for x in (places - base, hashes.view(np.int64), lo - base, hi - base)]
             kinds = [pa.list_(pa.struct([(x, pa.int64()), (y, pa.int64())])) for x, y in (("a", "b"), ("lo", "hi"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *lists, pa.array(runs, kinds[0]), pa.array(asked, kinds[1])], names=["doc_id", "pos", "mark", "lo", "hi", "runs", "asked"])
@@ -212,18 +228,18 @@ def suffix_ranks(text: DataFrame, symbols: int, label: str) -> DataFrame:
 # ---- repeated strings ---------------------------------------------------------------------------------------
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_hashes(batches: Iterator[pa.RecordBatch], size: Sizes) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans").to_pylist()):
             data = np.frombuffer(text.as_py().encode(), dtype=np.uint8)
             for lo, hi in _merged([(s["lo"], s["hi"] + 1) for s in spans]):
                 for a in range(lo, hi, STEP):
-                    part = data[a : min(hi, a + STEP) + WINDOW - 1]
-                    one, two = rolling(part, WINDOW, 50).view(np.int64), rolling(part, WINDOW, 60).view(np.int64)
+                    part = data[a : min(hi, a + STEP) + size.window - 1]
+                    one, two = rolling(part, size.window, 50).view(np.int64), rolling(part, size.window, 60).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), doc)), pa.array(np.arange(a, a + len(one))), pa.array(one), pa.array(two)], names=["d", "s", "h1", "h2"])
 
 
-def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _surroundings(batches: Iterator[pa.RecordBatch], size: Sizes) -> Iterator[pa.RecordBatch]:
     """(mark, d, pos, lo, hi, left, right): the bytes before a mark, backwards, and after it that its windows hold."""
     for batch in batches:
         rows = []
@@ -231,32 +247,32 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             data = text.as_py().encode()
             for x in places:
                 pos, lo, hi = x["pos"], x["lo"], x["hi"]
-                rows.append((x["mark"], doc, pos, lo, hi, data[lo:pos][::-1], data[pos + GRAM : hi + WINDOW]))
+                rows.append((x["mark"], doc, pos, lo, hi, data[lo:pos][::-1], data[pos + size.gram : hi + size.window]))
         if rows:
             kinds = [pa.int64()] * 5 + [pa.binary()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["mark", "d", "pos", "lo", "hi", "left", "right"])
 
 
-def _prefix_hashes(column: pa.Array) -> np.ndarray:
-    """Hashes of the first 0 to SPAN - 1 bytes of each value."""
+def _prefix_hashes(column: pa.Array, span: int) -> np.ndarray:
+    """Hashes of the first 0 to span - 1 bytes of each value."""
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"\0", dtype=np.uint8)
-    out = np.ones((len(column), SPAN), dtype=np.uint64)
-    for k in range(1, SPAN):
+    out = np.ones((len(column), span), dtype=np.uint64)
+    for k in range(1, span):
         byte = data[np.minimum(offsets[:-1] + k - 1, len(data) - 1)]
         out[:, k] = (out[:, k - 1] + common.BYTE_VALUE[byte]) * np.uint64(0x9E3779B97F4A7C15)
     return out
 
 
-def _equal_windows(rows: pa.Table) -> pa.RecordBatch:
+def _equal_windows(rows: pa.Table, size: Sizes) -> pa.RecordBatch:
     """(d, s) of windows that another place of the same mark has at the same distance."""
     mark, d, pos, lo, hi = (rows.column(c).to_numpy() for c in ("mark", "d", "pos", "lo", "hi"))
-    left, right = (_prefix_hashes(rows.column(c).combine_chunks()) for c in ("left", "right"))
-    back = np.arange(SPAN)
+    left, right = (_prefix_hashes(rows.column(c).combine_chunks(), size.span) for c in ("left", "right"))
+    back = np.arange(size.span)
     own, o = np.nonzero((back[None, :] <= (pos - lo)[:, None]) & (back[None, :] >= (pos - hi)[:, None]))
     c = common.seeds(4, 80)
-    key = common.mix(left[own, o] * c[0] + right[own, SPAN - 1 - o] * c[1] + o.astype(np.uint64) * c[2] + mark[own].view(np.uint64) * c[3])
+    key = common.mix(left[own, o] * c[0] + right[own, size.span - 1 - o] * c[1] + o.astype(np.uint64) * c[2] + mark[own].view(np.uint64) * c[3])
     order = np.argsort(key, kind="stable")
     own, o, key = own[order], o[order], key[order]
     same = (key[1:] == key[:-1]) & (o[1:] == o[:-1]) & (mark[own[1:]] == mark[own[:-1]])
@@ -266,7 +282,7 @@ def _equal_windows(rows: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(d[own[twin]]), pa.array((pos[own] - o)[twin])], names=["d", "s"])
 
 
-def _twins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _twins(batches: Iterator[pa.RecordBatch], size: Sizes) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by mark; those of the last mark of a batch wait for the next batch."""
     held = None
     for batch in batches:
@@ -276,10 +292,10 @@ def _twins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = rows.column("mark").to_numpy()
         cut = int(np.searchsorted(marks, marks[-1]))
         if cut:
-            yield _equal_windows(rows.slice(0, cut))
+            yield _equal_windows(rows.slice(0, cut), size)
         held = rows.slice(cut)
     if held is not None:
-        yield _equal_windows(held)
+        yield _equal_windows(held, size)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,8 +311,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _packed(_window_hashes(batches))
+def _hashed(batches: Iterator[pa.RecordBatch], size: Sizes) -> Iterator[pa.RecordBatch]:
+    yield from _packed(_window_hashes(batches, size))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -309,12 +325,12 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], size: Sizes) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text, runs, starts in zip(batch.column("text"), batch.column("runs").to_pylist(), batch.column("starts").to_pylist()):
             data = text.as_py().encode()
-            spans = _merged([(r["a"], r["b"]) for r in runs or []] + [(s, s + WINDOW) for s in starts or []])
+            spans = _merged([(r["a"], r["b"]) for r in runs or []] + [(s, s + size.window) for s in starts or []])
             kept, at = [], 0
             for a, b in spans:
                 kept.append(data[at:a])
@@ -341,22 +357,22 @@ def _symbols(reps: DataFrame, label: str) -> DataFrame:
     return common.stored(shifted.join(twice, "mark", "left_semi"), label)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, sha, n_bytes, whole, spans, n_removed, kept_sha, left_text), one row per row of ``docs``.
 
-    ``spans`` are the maximal byte runs covered by a 400-byte string that also starts elsewhere, in the same
-    text or another. ``whole`` marks texts of 400 bytes or more of which there are copies: nothing is left of
+    ``spans`` are the maximal byte runs covered by a string of ``window`` bytes that also starts elsewhere, in the same
+    text or another. ``whole`` marks texts of ``window`` bytes or more of which there are copies: nothing is left of
     them. ``spans`` and what follows are null where nothing is removed or the text is ``whole``. ``left_text``
     drops the halves of characters that a cut leaves. A null text is empty. A row without an id takes no part
     and loses nothing. Repeated rows are copies of each other. Empty tables give empty results.
     """
-    label = "suffix"
+    label, size = "suffix", Sizes(window)
     rows = common.id_and_text(docs)
     binary = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     base = common.stored(rows.select("doc_id", F.octet_length(binary).cast("long").alias("n_bytes"), F.sha2(binary, 256).alias("sha")), label)
     copies = base.where("doc_id is not null").groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.max("n_bytes").alias("n"))
-    copies = common.stored(copies.where(F.col("n") >= WINDOW), label)
-    sampled = common.stored(rows.where("doc_id is not null").mapInArrow(_marked, SAMPLE).where(F.size("pos") > 0), label)
+    copies = common.stored(copies.where(F.col("n") >= size.window), label)
+    sampled = common.stored(rows.where("doc_id is not null").mapInArrow(lambda batches: _marked(batches, size), SAMPLE).where(F.size("pos") > 0), label)
     reps = sampled.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = common.stored(reps, label)
     common.drop(sampled)
@@ -366,7 +382,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     gap = F.when(F.lead("i").over(by_doc) == F.col("i") + 1, F.lead("pos").over(by_doc) - F.col("pos")).otherwise(0)
     runs = kept.select("*", gap.alias("gap"), (F.col("i") - F.row_number().over(by_doc)).cast("long").alias("r"))
     # what follows a mark far enough to settle every window that starts up to two spans later
-    follow = W.partitionBy("d", "r").orderBy("pos").rangeBetween(0, 5 * (SPAN - 1) + 2)
+    follow = W.partitionBy("d", "r").orderBy("pos").rangeBetween(0, 5 * (size.span - 1) + 2)
     inside = W.partitionBy("d", "r").orderBy("i")
     ahead = F.transform(F.collect_list(F.struct("pos", "mark")).over(follow), lambda x: F.struct((x["pos"] - F.col("pos")).alias("at"), x["mark"].alias("mark")))
     runs = runs.select("d", "r", (F.row_number().over(inside) - 1).cast("long").alias("k"), "pos", "mark", "gap", "lo", "hi", ahead.alias("ahead"))
@@ -390,11 +406,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     matched = F.when(F.col("m") > 1, F.size("ahead")).otherwise(F.least("s", F.size("ahead")))
     found = suffixes.join(best, "rank").withColumn("f", matched)
     # [pos, pos + reach) also stands elsewhere; windows lo..hi have this mark, and those between open_lo and open_hi are in no such run
-    reach = F.when(F.col("f") > 0, F.get("ahead", F.col("f") - 1)["at"] + GRAM).otherwise(0)
+    reach = F.when(F.col("f") > 0, F.get("ahead", F.col("f") - 1)["at"] + size.gram).otherwise(0)
     found = found.select("d", "pos", "mark", "lo", "hi", reach.alias("reach"))
     along = W.partitionBy("d").orderBy("pos")
-    near = F.collect_list(F.struct("pos", (F.col("pos") + F.col("reach") - WINDOW).alias("to"))).over(along.rangeBetween(-SPAN + 1, 0))
-    far = F.max(F.col("pos") + F.col("reach") - WINDOW).over(along.rangeBetween(W.unboundedPreceding, -SPAN))
+    near = F.collect_list(F.struct("pos", (F.col("pos") + F.col("reach") - size.window).alias("to"))).over(along.rangeBetween(-size.span + 1, 0))
+    far = F.max(F.col("pos") + F.col("reach") - size.window).over(along.rangeBetween(W.unboundedPreceding, -size.span))
     found = found.select("*", near.alias("near"), far.alias("far"))
     to = F.greatest(F.coalesce("far", F.lit(-1)), F.coalesce(F.array_max(F.transform(F.filter("near", lambda x: x["pos"] <= F.col("lo")), lambda x: x["to"])), F.lit(-1)))
     since = F.array_min(F.transform(F.filter("near", lambda x: (x["pos"] > F.col("lo")) & (x["to"] >= F.col("hi"))), lambda x: x["pos"]))
@@ -412,27 +428,27 @@ def repeats(docs: DataFrame) -> DataFrame:
     spans = asked.join(hot, "mark", "left_semi").select("d", "lo", "hi").unionByName(periodic)
     spans = common.stored(spans.groupBy("d").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), label)
     periodic = reps.select(F.col("doc_id").alias("d"), F.explode("runs").alias("x")).select("d", "x.*")
-    settled = found.where(F.col("reach") >= WINDOW).select("d", F.col("pos").alias("a"), (F.col("pos") + F.col("reach")).alias("b")).unionByName(periodic)
+    settled = found.where(F.col("reach") >= size.window).select("d", F.col("pos").alias("a"), (F.col("pos") + F.col("reach")).alias("b")).unionByName(periodic)
     settled = settled.groupBy("d").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     settled = common.stored(settled, label)
     common.drop(reps, kept, runs, suffixes, prefixes, order, met, ranks, found)
     wanted = common.stored(places.select("d").unionByName(spans.select("d")).unionByName(settled.select("d")).distinct().withColumnRenamed("d", "doc_id"), label)
     held = common.stored(rows.join(common.small(wanted), "doc_id", "left_semi"), label)
     texts = held.dropDuplicates(["doc_id"])
-    around = texts.join(places.withColumnRenamed("d", "doc_id"), "doc_id").mapInArrow(_surroundings, "mark long, d long, pos long, lo long, hi long, left binary, right binary")
-    twins = around.repartition("mark").sortWithinPartitions("mark").mapInArrow(_twins, "d long, s long")
-    windows = texts.join(spans.withColumnRenamed("d", "doc_id"), "doc_id").mapInArrow(_hashed, "d long, s long, h1 long, h2 long")
+    around = texts.join(places.withColumnRenamed("d", "doc_id"), "doc_id").mapInArrow(lambda batches: _surroundings(batches, size), "mark long, d long, pos long, lo long, hi long, left binary, right binary")
+    twins = around.repartition("mark").sortWithinPartitions("mark").mapInArrow(lambda batches: _twins(batches, size), "d long, s long")
+    windows = texts.join(spans.withColumnRenamed("d", "doc_id"), "doc_id").mapInArrow(lambda batches: _hashed(batches, size), "d long, s long, h1 long, h2 long")
     windows = common.stored(windows, label)
     equal = windows.groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1").select("h1", "h2")
     starts = windows.join(equal, ["h1", "h2"], "left_semi").select("d", "s").unionByName(twins)
     starts = common.stored(starts.groupBy("d").agg(F.collect_list("s").alias("starts")), label)
     both = settled.join(starts, "d", "full").withColumnRenamed("d", "doc_id")
-    cut = texts.join(both, "doc_id").mapInArrow(_cut, "doc_id long, spans array<struct<start:long,end:long>>, n_removed long, sha string, left_text string")
+    cut = texts.join(both, "doc_id").mapInArrow(lambda batches: _cut(batches, size), "doc_id long, spans array<struct<start:long,end:long>>, n_removed long, sha string, left_text string")
     cut = common.stored(cut, label)
     common.drop(windows, asked, places, spans, starts, settled, held, wanted)
 
     many = base.join(copies.where("copies > 1").select("sha", "copies"), "sha", "left")
-    whole = F.col("doc_id").isNotNull() & F.col("copies").isNotNull() & (F.col("n_bytes") >= WINDOW)
+    whole = F.col("doc_id").isNotNull() & F.col("copies").isNotNull() & (F.col("n_bytes") >= size.window)
     many = many.select("doc_id", "sha", "n_bytes", whole.alias("whole"))
     cut = cut.select("doc_id", "spans", "n_removed", F.col("sha").alias("kept_sha"), "left_text", F.lit(False).alias("whole"))
     return many.join(cut, ["doc_id", "whole"], "left")
@@ -450,9 +466,14 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated strings cut out of ``text`` and ``n_chars`` counted again; all rows and columns stay."""
-    found = repeats(docs).where(F.col("whole") | (F.col("n_removed") > 0)).select(F.col("doc_id").alias("_id"), F.when(F.col("whole"), "").otherwise(F.col("left_text")).alias("_left")).dropDuplicates(["_id"])
-    joined = docs.join(found, F.col("doc_id") == F.col("_id"), "left")
-    text = F.coalesce("_left", "text")
-    return joined.withColumns({"text": text, "n_chars": F.when(F.col("_left").isNotNull(), F.length("_left").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with repeated strings of ``window`` bytes cut out of ``text`` and ``n_chars``, if there, counted again.
+
+    All rows and columns stay, whatever the others are called; see repeats().
+    """
+    found = repeats(docs, window).where(F.col("whole") | (F.col("n_removed") > 0))
+    found = found.select(F.col("doc_id").alias("id"), F.when(F.col("whole"), "").otherwise(F.col("left_text")).alias("left")).dropDuplicates(["id"])
+    rows = docs.select(common.packed(docs)).join(found, F.col("row.doc_id") == F.col("id"), "left")
+    cut = F.col("left").isNotNull()
+    new = {"text": F.when(cut, F.col("left")), "n_chars": F.when(cut, F.length("left").cast("long"))}
+    return rows.select(*[F.coalesce(new[c], F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])

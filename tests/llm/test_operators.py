@@ -115,15 +115,15 @@ def test_odd_sketch_estimates():
         assert abs(estimate - (x != y).sum()) <= 12
 
 
-def brute_repeats(rows):
+def brute_repeats(rows, n=400):
     data = {i: (t or "").encode() for i, t in rows}
-    seen = Counter(b[k : k + 400] for b in data.values() for k in range(len(b) - 399))
+    seen = Counter(b[k : k + n] for b in data.values() for k in range(len(b) - n + 1))
     out = {}
     for i, b in data.items():
         mark = bytearray(len(b))
-        for k in range(len(b) - 399):
-            if seen[b[k : k + 400]] > 1:
-                mark[k : k + 400] = b"\1" * 400
+        for k in range(len(b) - n + 1):
+            if seen[b[k : k + n]] > 1:
+                mark[k : k + n] = b"\1" * n
         spans = sum(1 for k in range(len(b)) if mark[k] and (k == 0 or not mark[k - 1]))
         out[i] = (len(b), sum(mark), spans, hashlib.sha256(bytes(c for c, m in zip(b, mark) if not m)).hexdigest())
     return out
