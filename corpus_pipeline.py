@@ -1,7 +1,11 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
 
 Every stage works on all rows that its predecessor kept. All but the last return the columns of
-``documents``; the last one returns the batches.
+``documents``, extra ones of any name included; the last one returns the batches. An empty table passes
+all stages. A null text is an empty one: the classifier judges it like one, and it has left after the stage
+that removes repeats, like any text without a word. Of repeated rows (same id and text) one is left after the
+near-duplicate stage; rows without an id are never compared with others. Ties: the smaller id stays. Very long
+texts are read whole and become batches of their own.
 """
 
 from __future__ import annotations
@@ -16,22 +20,26 @@ from tallybook.llm import common, minhash, mixing, packing, quality, suffix
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+# A passage of more than 50 words has at least this many bytes, but for words of less than four letters on average.
+PASSAGE = 240
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows whose id is not in ``gone``; rows without an id stay."""
-    gone = common.stored(gone.select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-gone")
-    return docs.join(common.small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = common.stored(gone.select(F.col("doc_id").alias("gone")).distinct(), "pipeline-gone")
+    rows = docs.select(common.packed(docs)).join(common.small(gone), F.col("row.doc_id") == F.col("gone"), "left_anti")
+    return common.unpacked(rows, docs)
 
 
 def _once(docs: DataFrame) -> DataFrame:
     """One row of those that agree in id and text, the least by its other columns; rows without an id stay."""
-    ids = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again")
+    rows = docs.select(common.packed(docs))
+    ids = rows.where("row.doc_id is not null").groupBy(F.col("row.doc_id").alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again")
     ids = common.stored(ids, "pipeline-again")
     again = common.small(ids)
-    same = F.col("doc_id") == F.col("_again")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = docs.join(again, same, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *rest)).alias("_rest"))
-    one = one.select(*[F.col(f"_rest.{c}") if c in rest else F.col(c) for c in docs.columns])
-    return docs.join(again, same, "left_anti").unionByName(one)
+    same = F.col("row.doc_id") == F.col("again")
+    one = rows.join(again, same, "left_semi").groupBy(F.col("row.doc_id").alias("id"), F.col("row.text").alias("text")).agg(F.min("row").alias("row"))
+    return common.unpacked(rows.join(again, same, "left_anti").unionByName(one.select("row")), docs)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +53,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings that repeat; documents with no word left go."""
-    cut = suffix.cleaned(docs)
+    """Texts without the passages that repeat; documents with no word left go."""
+    cut = suffix.cleaned(docs, PASSAGE)
     return cut.where(F.col("text").rlike(common.WORD))
 
 
