@@ -1,7 +1,7 @@
 """Upserts, deletes, reference numbers, intake and streams."""
 
 from oracles.ledgers import WALKIN_STATUS
-from oracles.nested import PERSONS, PRICE, RATE, REF, elements
+from oracles.nested import NIGHTS, PERSONS, PRICE, RATE, REF, ROOMS, elements
 from tallybook.sources.fixtures import prefix_sql
 
 PREFIX = prefix_sql("event_id")
@@ -58,6 +58,25 @@ SELECT p.id, {kept}{picks} FROM {table} p LEFT JOIN e ON e.request_id = p.id"""
 EDIT_BANK = "CASE WHEN e.payment_method = 'Bank' THEN CAST(e.bank_profile_id AS BIGINT) END"
 EDIT_DAY = "CAST(e.entry_date AS DATE)"
 
+LABEL_SAR = "CASE WHEN o_custkey % 6 = 0 THEN 0 ELSE 50 + (o_custkey * i) % 90 END"
+
+
+def new_ref(prefix: str, key: str) -> str:
+    """The next references of a module, one for each supplier."""
+    no = f"(SELECT max({key}) FROM cur) + row_number() OVER (ORDER BY s_suppkey)"
+    return f"'{prefix}' || CASE WHEN {no} > 99999 THEN CAST({no} AS VARCHAR) ELSE lpad(CAST({no} AS VARCHAR), 5, '0') END"
+
+
+def row_saves(module: int, prefix: str, sar: str, persons: bool = True) -> str:
+    """Sales with one list of rows saved at another rate, and new ones with one row."""
+    own = f"CAST(sum({PERSONS}) AS BIGINT) AS persons, " if persons else ""
+    return f"""
+WITH cur AS (SELECT o_orderkey AS k, {REF} AS ref_no, o_orderkey % 17 = 0 AS is_deleted, CAST(o_orderdate AS DATE) AS booking_date, any_value({RATE}) + 1 AS pkr_rate, {own}
+ sum({sar.format(p=PERSONS, q=PRICE)}) AS sar FROM {elements(module, active="true")} GROUP BY o_orderkey, o_orderdate)
+SELECT ref_no, is_deleted, booking_date, CAST(pkr_rate AS DECIMAL(18,2)) AS pkr_rate, {"persons, " if persons else ""}CAST(sar AS DECIMAL(20,2)) AS total_sar, CAST(sar * pkr_rate AS DECIMAL(20,2)) AS total_pkr FROM cur
+UNION ALL SELECT {new_ref(prefix, "k")}, false, DATE '2001-09-01', 70, {"2, " if persons else ""}CAST(s_suppkey AS DECIMAL(18,2)), CAST(s_suppkey * 70 AS DECIMAL(18,2)) FROM supplier"""
+
+
 SQL = {
     "expense_edits": edited(
         "fx_expenses",
@@ -106,11 +125,37 @@ SQL = {
         },
         "",
     ),
-    "module_save": f"""
-WITH cur AS (SELECT o_orderkey AS k, {REF} AS ref_no, o_orderkey % 17 = 0 AS is_deleted, CAST(o_orderdate AS DATE) AS booking_date, any_value({RATE}) + 1 AS pkr_rate, CAST(sum({PERSONS}) AS BIGINT) AS persons,
- sum(CASE WHEN (o_orderkey + i) % 5 < 2 THEN 0 ELSE {PERSONS} * {PRICE} END) AS sar FROM {elements(2, active="true")} GROUP BY o_orderkey, o_orderdate)
-SELECT ref_no, is_deleted, booking_date, CAST(pkr_rate AS DECIMAL(18,2)) AS pkr_rate, persons, CAST(sar AS DECIMAL(20,2)) AS total_sar, CAST(sar * pkr_rate AS DECIMAL(20,2)) AS total_pkr FROM cur
-UNION ALL SELECT 'VISA-' || lpad(CAST((SELECT max(k) FROM cur) + row_number() OVER (ORDER BY s_suppkey) AS VARCHAR), 5, '0'), false, DATE '2001-09-01', 70, 2, CAST(s_suppkey AS DECIMAL(18,2)), CAST(s_suppkey * 70 AS DECIMAL(18,2)) FROM supplier""",
+    "module_save": row_saves(2, "VISA-", "CASE WHEN (o_orderkey + i) % 5 < 2 THEN 0 ELSE {p} * {q} END"),
+    "module_save_card": row_saves(3, "CARD-", "CASE WHEN (o_orderkey + i) % 5 < 2 THEN 0 ELSE {p} * {q} END"),
+    "module_save_groups": row_saves(4, "GRP-", "CASE WHEN (o_orderkey + i) % 5 < 2 THEN 0 ELSE {p} * {q} END"),
+    "module_save_transport": row_saves(6, "TRN-", LABEL_SAR, persons=False),
+    "module_save_ziyarat": row_saves(7, "ZIY-", LABEL_SAR, persons=False),
+    "module_save_hotels": f"""
+WITH cur AS (SELECT o_orderkey AS k, any_value(o_orderdate) AS d, any_value({RATE}) + 1 AS rate, sum({ROOMS} * {NIGHTS} * 55) AS total, count(*) AS n FROM {elements(1, active="true")} GROUP BY o_orderkey)
+SELECT {REF.replace("o_orderkey", "k")} AS ref_no, k % 17 = 0 AS is_deleted, CAST(d AS DATE) AS booking_date, CAST(rate AS DECIMAL(18,2)) AS sar_rate, CAST(total AS DECIMAL(20,2)) AS hotels_total, CAST(total * rate AS DECIMAL(20,2)) AS total_pkr, CAST(n AS INT) AS n_rows FROM cur
+UNION ALL SELECT {new_ref("HOT-", "k")}, false, DATE '2001-09-01', 70, s_suppkey, s_suppkey * 70, 1 FROM supplier""",
+    "module_save_ticketing": f"""
+WITH cur AS (SELECT o_orderkey AS k, o_orderdate AS d, {RATE} + 1 AS rate, o_custkey % 4 * 900 + o_custkey % 3 * 700 + o_custkey % 2 * 200 AS total FROM orders WHERE o_orderkey % 8 = 5)
+SELECT {REF.replace("o_orderkey", "k")} AS ref_no, k % 17 = 0 AS is_deleted, CAST(d AS DATE) AS booking_date, CAST(rate AS DECIMAL(18,2)) AS pkr_rate, CAST(total AS DECIMAL(20,2)) AS total_sar, CAST(total * rate AS DECIMAL(20,2)) AS total_pkr, CAST(1 + k % 3 AS INT) AS n_rows FROM cur
+UNION ALL SELECT {new_ref("TIC-", "k")}, false, DATE '2001-09-01', 70, 2 * s_suppkey, 140 * s_suppkey, 1 FROM supplier""",
+    "module_save_bookings": f"""
+WITH o AS (SELECT o_orderkey AS k, o_orderdate AS d, o_custkey AS c, {RATE} + 1 AS rate, o_custkey % 4 * 900 + o_custkey % 3 * 700 + o_custkey % 2 * 200 AS fares FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 8 = 0),
+ h AS (SELECT o_orderkey AS k, sum({ROOMS} * {NIGHTS} * 55) AS hotels, sum({LABEL_SAR}) AS transport FROM {elements(0, active="true")} GROUP BY o_orderkey),
+ z AS (SELECT o_orderkey AS k, sum({LABEL_SAR}) AS ziyarat FROM {elements(0, "1 + o_custkey % 2", active="true")} GROUP BY o_orderkey), cur AS (SELECT * FROM o JOIN h USING (k) JOIN z USING (k))
+SELECT {REF.replace("o_orderkey", "k")} AS ref_no, k % 17 = 0 AS is_deleted, CAST(d AS DATE) AS booking_date, CAST(rate AS DECIMAL(18,2)) AS visa_sar_rate, CAST(fares AS DECIMAL(20,2)) AS flight_total, CAST(hotels AS DECIMAL(20,2)) AS hotels_total,
+ CAST(transport AS DECIMAL(20,2)) AS transport_total, CAST(ziyarat AS DECIMAL(20,2)) AS ziyarat_total, CAST(CASE WHEN c % 5 <> 0 THEN 1 + k % 3 ELSE 0 END AS INT) AS n_rows FROM cur
+UNION ALL SELECT {new_ref("PKG-", "k")}, false, DATE '2001-09-01', 70, 900, 0, s_suppkey, 0, 0 FROM supplier""",
+    "customer_save": """
+WITH r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 <> 0 THEN upper(c_name) END AS name, '0300' || CAST(c_custkey AS VARCHAR) AS contact_no, CASE WHEN c_custkey % 5 <> 0 THEN 'a@example.org' ELSE '' END AS email FROM customer)
+SELECT c.id, c.customer_code, CASE WHEN r.k IS NULL THEN c.name ELSE r.name END AS name, COALESCE(r.contact_no, c.contact_no) AS contact_no, COALESCE(r.email, c.email) AS email, c.is_deleted FROM fx_customers c LEFT JOIN r ON r.k = c.id AND r.k % 3 = 0
+UNION ALL SELECT m + n, 'CUST-' || CASE WHEN m + n > 99999 THEN CAST(m + n AS VARCHAR) ELSE lpad(CAST(m + n AS VARCHAR), 5, '0') END, name, contact_no, email, false
+FROM (SELECT *, row_number() OVER (ORDER BY k) AS n, (SELECT max(id) FROM fx_customers) AS m FROM r WHERE k % 3 = 1 AND name IS NOT NULL) x""",
+    "supplier_save": """
+WITH r AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 7 <> 0 THEN upper(s_name) ELSE '' END AS name FROM supplier)
+SELECT c.id, c.supplier_code, CASE WHEN r.k IS NULL THEN c.supplier_name ELSE r.name END AS supplier_name, CASE WHEN r.k IS NULL THEN c.category ELSE 'Changed' END AS category, CASE WHEN r.k IS NULL THEN c.contact_no ELSE '0' END AS contact_no, c.is_deleted
+FROM fx_suppliers c LEFT JOIN r ON 2 * r.k = c.id AND r.k % 3 = 0
+UNION ALL SELECT m + n, 'SUP-' || CASE WHEN m + n > 9999 THEN CAST(m + n AS VARCHAR) ELSE lpad(CAST(m + n AS VARCHAR), 4, '0') END, name, 'Changed', '0', false
+FROM (SELECT *, row_number() OVER (ORDER BY k) AS n, (SELECT max(id) FROM fx_suppliers) AS m FROM r WHERE k % 3 = 1 AND name <> '') x""",
     "purchase_upsert": f"""
 WITH {CLEANED} SELECT COALESCE(p.ref_no, c.ref_no) AS ref_no, COALESCE(p.item, c.item) AS item, {", ".join(f"CASE WHEN c.ref_no IS NOT NULL THEN c.{x} ELSE p.{x} END AS {x}" for x in NEW)},
  CASE WHEN p.ref_no IS NOT NULL THEN p.created_at ELSE c.created_at END AS created_at, CASE WHEN p.ref_no IS NOT NULL THEN p.id ELSE c.id END AS id, CASE WHEN c.ref_no IS NOT NULL THEN false ELSE p.is_deleted END AS is_deleted

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallybook.books import Books
 from tallybook.functions.coerce import MONEY, is_blank, is_named, number, or_text, padded, total, total_if
-from tallybook.functions.modules import SUPPLIER_PREFIX, module_prefix
+from tallybook.functions.modules import CUSTOMER_PREFIX, MODULES, SUPPLIER_PREFIX, module_prefix
 from tallybook.functions.status import costing_status
 from tallybook.operators.keyed import first_per_key, remove, set_flag, upsert
 from tallybook.operators.running import numbered
-from tallybook.plans.lines import with_totals
+from tallybook.plans.lines import LABELLED, STAY, STAY_COLUMNS, TEXTS, with_totals
 from tallybook.plans.outstanding import status_of_paid_refs, status_of_refs
 from tallybook.plans.sales import active, of_module
 
@@ -252,13 +253,144 @@ def sales_upsert(books: Books, requests: DataFrame) -> DataFrame:
     )
 
 
-def module_save(current: DataFrame, requests: DataFrame, prefix: str, **sizes) -> DataFrame:
-    """A visa, card or group table with requests saved; totals come from the rows sent.
+def master_save(
+    current: DataFrame, requests: DataFrame, *, code: str, prefix: str, width: int, name: str, fields: dict[str, Column], **sizes
+) -> DataFrame:
+    """Master data with requests (request_id, id, fields) saved.
 
-    A request without a ref_no gets the next number of the module, in
-    request_id order. An empty customer code is stored as NULL.
+    A request with an id changes the row of that id, if there is one; of several the first counts. One without an
+    id is a new row, if it is named: ids and codes go on above the highest in use, in request_id order.
     """
-    asked = with_totals(requests).withColumn("prefix", F.lit(prefix))
+    given = requests.select("request_id", "id", *[v.alias(c) for c, v in fields.items()])
+    changed = upsert(current, given.where("id is not null"), ["id"], update=list(fields), insert=False, order=[F.col("request_id")])
+    last = current.agg(F.struct(F.coalesce(F.max("id"), F.lit(0)).alias("id"), F.coalesce(F.max(digits(code)), F.lit(0)).alias("no")).alias("v")).scalar()
+    new = given.where(F.col("id").isNull() & is_named(name)).withColumn("prefix", F.lit(prefix))
+    new = numbered(new, "_n", group=["prefix"], order_id="request_id", **sizes).withColumn("_last", last)
+    new = new.select(
+        (F.col("_last.id") + F.col("_n")).alias("id"),
+        F.concat("prefix", padded(F.col("_last.no") + F.col("_n"), width)).alias(code),
+        *fields,
+        F.lit(False).alias("is_deleted"),
+    )
+    return changed.unionByName(new.select(*current.columns))
+
+
+def customer_save(books: Books, requests: DataFrame, **sizes) -> DataFrame:
+    """Customers changed by id, new ones under the next code; contact fields are trimmed."""
+    fields = {"name": F.col("name"), "contact_no": _trimmed("contact_no"), "email": _trimmed("email")}
+    return master_save(books.customers, requests, code="customer_code", prefix=CUSTOMER_PREFIX, width=5, name="name", fields=fields, **sizes)
+
+
+def supplier_save(books: Books, requests: DataFrame, **sizes) -> DataFrame:
+    fields = {c: F.col(c) for c in ("supplier_name", "category", "contact_no")}
+    return master_save(books.suppliers, requests, code="supplier_code", prefix=SUPPLIER_PREFIX, width=4, name="supplier_name", fields=fields, **sizes)
+
+
+# sales of a module with their nested rows
+
+
+def _as_list(rows: DataFrame, column: str) -> Column:
+    """Nested rows as they are stored: the JSON text of the whole list; none is an empty list."""
+    if isinstance(rows.schema[column].dataType, T.ArrayType):
+        return F.coalesce(F.to_json(column), F.lit("[]"))
+    return or_text(column, "[]")
+
+
+def _folded(text: Column, shape: str, field: str) -> Column:
+    """Sum of a field over a stored list; unreadable numbers are 0."""
+    start = F.lit(0).cast("decimal(28,2)")
+    parsed = F.when(F.ltrim(text).startswith("["), F.from_json(text, shape))
+    return F.coalesce(F.aggregate(parsed, start, lambda total, x: (total + number(x[field])).cast("decimal(28,2)")), start)
+
+
+def _travellers(rows: DataFrame, count: str) -> Column:
+    """Fares of adults, children and infants."""
+    out = F.lit(0).cast("decimal(28,2)")
+    for t in ("adult", "child", "infant"):
+        out = (out + number(F.col(f"{t}_{count}").cast("string")) * number(F.col(f"{t}_rate").cast("string"))).cast("decimal(28,2)")
+    return out
+
+
+def _priced(rows: DataFrame, totals: dict[str, Column], rate: str | None) -> DataFrame:
+    """``rows`` with totals: as sent, or folded from the lines where a request leaves them out; PKR by the rate."""
+    sent = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    first = next(iter(totals))
+    rows = rows.withColumns({c: F.coalesce(sent(c), v).cast("decimal(20,2)") for c, v in totals.items()})
+    if rate is None:
+        return rows
+    pkr = F.col(first).cast(MONEY) * number(F.col(rate).cast("string"))
+    return rows.withColumn("total_pkr", F.coalesce(sent("total_pkr"), pkr).cast("decimal(20,2)"))
+
+
+def _nested_bookings(rows: DataFrame) -> DataFrame:
+    lists = ("flights", "hotels", "visa", "transport", "ziyarat")
+    rows = rows.withColumns({c: _as_list(rows, c) for c in lists if c in rows.columns})
+    totals = {
+        "flight_total": _travellers(rows, "count"),
+        "hotels_total": _folded(F.col("hotels"), STAY, "total"),
+        "transport_total": _folded(F.col("transport"), LABELLED, "amount"),
+        "ziyarat_total": _folded(F.col("ziyarat"), LABELLED, "amount"),
+    }
+    return _priced(rows, totals, None)
+
+
+def _nested_hotels(rows: DataFrame) -> DataFrame:
+    """Stays come as one list and are stored as parallel lists, one for each field."""
+    if "hotels" in rows.columns:
+        stays = F.coalesce("hotels", F.array().cast(rows.schema["hotels"].dataType))
+        # the field of an array of structs is the array of that field
+        lists = {column: F.to_json(stays[field]) for field, column in STAY_COLUMNS.items()}
+        rows = rows.withColumns(lists).drop("hotels")
+    start = F.lit(0).cast("decimal(28,2)")
+    stored = F.from_json("hotel_total", TEXTS)
+    total = F.coalesce(F.aggregate(stored, start, lambda t, x: (t + number(x)).cast("decimal(28,2)")), start)
+    return _priced(rows, {"hotels_total": total}, "sar_rate")
+
+
+def _nested_ticketing(rows: DataFrame) -> DataFrame:
+    if "flights" in rows.columns:
+        flights = F.coalesce("flights", F.array().cast(rows.schema["flights"].dataType))
+        lists = {
+            "flight_from": F.transform(flights, lambda x: x["from"]),
+            "flight_to": F.transform(flights, lambda x: x["to"]),
+            "flight_date": F.transform(flights, lambda x: x["date"]),
+            "airline": F.transform(flights, lambda x: F.coalesce(x["airline"], F.lit(""))),
+        }
+        rows = rows.withColumns({c: F.to_json(v) for c, v in lists.items()}).drop("flights")
+    return _priced(rows, {"total_sar": _travellers(rows, "qty")}, "pkr_rate")
+
+
+def _nested_labelled(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("rows", _as_list(rows, "rows"))
+    return _priced(rows, {"total_sar": _folded(F.col("rows"), LABELLED, "sar")}, "pkr_rate")
+
+
+NESTED = {
+    "bookings": _nested_bookings,
+    "hotels": _nested_hotels,
+    "visa": with_totals,
+    "card": with_totals,
+    "groups": with_totals,
+    "ticketing": _nested_ticketing,
+    "transport": _nested_labelled,
+    "ziyarat": _nested_labelled,
+}
+
+
+def with_module_totals(rows: DataFrame, table: str) -> DataFrame:
+    """A module table, or requests for it, with stored lists and totals."""
+    return NESTED[table](rows)
+
+
+def module_save(current: DataFrame, requests: DataFrame, table: str, **sizes) -> DataFrame:
+    """A module table with requests saved; the lists of a request replace those of the sale as a whole.
+
+    Totals are folded from the rows sent: always for visa, card and groups, elsewhere where a request leaves
+    them out. A request without a ref_no gets the next number of the module, in request_id order. An empty
+    customer code is stored as NULL. A save does not bring a deleted sale back.
+    """
+    prefix = next(m.prefix for m in MODULES if m.table == table)
+    asked = with_module_totals(requests, table).withColumn("prefix", F.lit(prefix))
     if "customer_code" in asked.columns:
         asked = asked.withColumn("customer_code", F.nullif(F.col("customer_code"), F.lit("")))
     last = current.agg(F.coalesce(F.max(digits("ref_no")), F.lit(0)).alias("v")).scalar()

@@ -372,24 +372,119 @@ _plain(
 )
 
 
-@query("module_save")
-def _module_save(b: Books) -> DataFrame:
-    """Every visa sale saved again at another rate, and a new one for every supplier."""
-    again = b.visa.select(
+def _module_requests(b: Books, table: str, rate: str, nested: dict, new: dict) -> DataFrame:
+    """Every sale of a module saved again at another rate, and a new one for every supplier."""
+    again = getattr(b, table).select(
         F.lit(None).cast("bigint").alias("request_id"),
         "ref_no",
         "booking_date",
-        "rows",
-        (F.col("pkr_rate") + 1).cast(MONEY).alias("pkr_rate"),
+        (F.col(rate) + 1).cast(MONEY).alias(rate),
+        *[v.alias(c) for c, v in nested.items()],
     )
-    new = b.supplier.select(
+    fresh = b.supplier.select(
         F.col("s_suppkey").alias("request_id"),
         F.lit("").alias("ref_no"),
         F.lit(dt.date(2001, 9, 1)).alias("booking_date"),
-        F.concat(F.lit('[{"persons":2,"total":"'), F.col("s_suppkey").cast("string"), F.lit('"}]')).alias("rows"),
-        F.lit(70).cast(MONEY).alias("pkr_rate"),
+        F.lit(70).cast(MONEY).alias(rate),
+        *[v.cast(again.schema[c].dataType).alias(c) for c, v in new.items()],
     )
-    return changes.module_save(lines.with_totals(b.visa), again.unionByName(new), "VISA-").drop("rows")
+    return again.unionByName(fresh)
+
+
+def _saved(b: Books, table: str, rate: str, nested: dict, new: dict) -> DataFrame:
+    current = changes.with_module_totals(getattr(b, table), table)
+    return changes.module_save(current, _module_requests(b, table, rate, nested, new), table)
+
+
+SAVED = ("ref_no", "is_deleted", "booking_date")
+
+
+def _rows_saved(table: str, field: str) -> Callable[[Books], DataFrame]:
+    """Saves of a module with one list of rows; the new sale has one row worth the supplier's key."""
+
+    def saved(b: Books) -> DataFrame:
+        key = F.col("s_suppkey").cast("string")
+        row = F.concat(F.lit('[{"persons":2,"description":"new","' + field + '":"'), key, F.lit('"}]'))
+        return _saved(b, table, "pkr_rate", {"rows": F.col("rows")}, {"rows": row}).drop("rows")
+
+    return saved
+
+
+def _hotel_saves(b: Books) -> DataFrame:
+    """Stays sent as one list of structs and stored as parallel lists."""
+    own = {f: lines.listed(c, lines.TEXTS) for f, c in lines.STAY_COLUMNS.items()}
+    stays = F.transform(own["hotel"], lambda _, i: F.struct(*[F.get(v, i).alias(f) for f, v in own.items()]))
+    key = F.col("s_suppkey").cast("string")
+    one = F.array(F.struct(*[(key if f == "total" else F.lit("new")).alias(f) for f in own]))
+    saved = _saved(b, "hotels", "sar_rate", {"hotels": stays}, {"hotels": one})
+    n = F.size(lines.listed("hotel_name", lines.TEXTS)).alias("n_rows")
+    return saved.select(*SAVED, "sar_rate", "hotels_total", "total_pkr", n)
+
+
+def _ticket_saves(b: Books) -> DataFrame:
+    start, end, airline = (lines.listed(c, lines.TEXTS) for c in ("flight_from", "flight_to", "airline"))
+    date = F.lit("1997-01-01").alias("date")
+    flights = F.transform(start, lambda x, i: F.struct(x.alias("from"), F.get(end, i).alias("to"), date, F.get(airline, i).alias("airline")))
+    fares = [f"{t}_{k}" for t in ("adult", "child", "infant") for k in ("qty", "rate")]
+    one = F.array(F.struct(F.lit("LHE").alias("from"), F.lit("JED").alias("to"), date, F.lit(None).cast("string").alias("airline")))
+    new = {"flights": one} | {c: F.col("s_suppkey") if c == "adult_rate" else F.lit(2 if c == "adult_qty" else 0) for c in fares}
+    b = b.replace(ticketing=b.ticketing.withColumn("flight_date", F.lit("[]")))
+    saved = _saved(b, "ticketing", "pkr_rate", {"flights": flights} | {c: F.col(c) for c in fares}, new)
+    n = F.size(lines.listed("flight_date", lines.TEXTS)).alias("n_rows")
+    return saved.select(*SAVED, "pkr_rate", "total_sar", "total_pkr", n)
+
+
+def _booking_saves(b: Books) -> DataFrame:
+    """Five lists at once; a sale without flights stores an empty list."""
+    fares = [f"{t}_{k}" for t in ("adult", "child", "infant") for k in ("count", "rate")]
+    lists = ("flights", "hotels", "visa", "transport", "ziyarat")
+    key = F.col("s_suppkey").cast("string")
+    new = {c: F.lit(None) for c in lists} | {c: F.lit(0) for c in fares}
+    new |= {"transport": F.concat(F.lit('[{"text":"new","amount":"'), key, F.lit('"}]')), "adult_count": F.lit(1), "adult_rate": F.lit(900)}
+    saved = _saved(b, "bookings", "visa_sar_rate", {c: F.col(c) for c in (*lists, *fares)}, new)
+    n = F.size(F.from_json("flights", lines.FLIGHT)).alias("n_rows")
+    return saved.select(*SAVED, "visa_sar_rate", "flight_total", "hotels_total", "transport_total", "ziyarat_total", n)
+
+
+_plain(
+    module_save=_rows_saved("visa", "total"),
+    module_save_card=_rows_saved("card", "total"),
+    module_save_groups=_rows_saved("groups", "total"),
+    module_save_transport=_rows_saved("transport", "sar"),
+    module_save_ziyarat=_rows_saved("ziyarat", "sar"),
+    module_save_hotels=_hotel_saves,
+    module_save_ticketing=_ticket_saves,
+    module_save_bookings=_booking_saves,
+)
+
+
+def _customer_saves(b: Books) -> DataFrame:
+    """A third of the customers changed by id, a third entered anew without a code; a seventh has no name."""
+    key = F.col("c_custkey")
+    return b.customer.where(key % 3 < 2).select(
+        key.alias("request_id"),
+        F.when(key % 3 == 0, key).alias("id"),
+        F.when(key % 7 != 0, F.upper("c_name")).alias("name"),
+        F.concat(F.lit(" 0300"), key.cast("string")).alias("contact_no"),
+        F.when(key % 5 != 0, F.lit("a@example.org ")).alias("email"),
+    )
+
+
+def _supplier_saves(b: Books) -> DataFrame:
+    key = F.col("s_suppkey")
+    return b.supplier.where(key % 3 < 2).select(
+        key.alias("request_id"),
+        F.when(key % 3 == 0, key * 2).alias("id"),
+        F.when(key % 7 != 0, F.upper("s_name")).otherwise("").alias("supplier_name"),
+        F.lit("Changed").alias("category"),
+        F.lit("0").alias("contact_no"),
+    )
+
+
+_plain(
+    customer_save=lambda b: changes.customer_save(b, _customer_saves(b)),
+    supplier_save=lambda b: changes.supplier_save(b, _supplier_saves(b)),
+)
 
 
 def _settled(b: Books) -> DataFrame:
