@@ -6,6 +6,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallybook.operators import running
 from tallybook.operators.running import numbered, running_total
 from tallybook.plans import ledgers
 
@@ -113,3 +114,10 @@ def test_closing_balance_is_credits_less_debits(books):
     totals = {r[0]: r[1] for r in rows.groupBy("customer_code").agg(F.sum(F.col("credit") - F.col("debit"))).collect()}
     closing = {r[0]: r[1] for r in ledgers.registered_closing(books).collect()}
     assert totals == closing
+
+
+def test_blocks_hold_equal_counts_with_an_outlying_id(spark):
+    """One id far from all others leaves the blocks of the others even."""
+    rows = spark.range(5000).selectExpr("id").unionByName(spark.createDataFrame([(10**15,), (None,)], "id bigint"))
+    sizes = {r["_block"]: r["count"] for r in running._blocked(rows, "id", 100).groupBy("_block").count().collect()}
+    assert sizes.pop(-1) == 1 and len(sizes) >= 45 and max(sizes.values()) <= 150
