@@ -316,7 +316,7 @@ def vectors():
     return rows + copies + odd
 
 
-@pytest.mark.parametrize("sizes", [(500, 1000), (20, 30)])
+@pytest.mark.parametrize("sizes", [(500, 1000), (20, 30), (100, 4096)])
 def test_embeddings(spark, monkeypatch, sizes):
     monkeypatch.setattr(embeddings, "CELL", sizes[0])
     monkeypatch.setattr(embeddings, "BLOCK", sizes[1])
@@ -334,6 +334,23 @@ def test_embeddings(spark, monkeypatch, sizes):
         assert (r.n_links, r.component_id, r.kept) == (n[i], root[i], root[i] == i)
 
 
+def grouped_vectors(groups, each, dim, noise):
+    r = np.random.default_rng(8)
+    centre = r.normal(size=(groups, dim))
+    x = np.repeat(centre, each, axis=0) + r.normal(size=(groups * each, dim)) * noise
+    return [(k, "s", v.tolist()) for k, v in enumerate(x)]
+
+
+@pytest.mark.parametrize("rows, most", [(grouped_vectors(30, 60, 32, 0.1), 130), (grouped_vectors(1800, 1, 32, 0.0), 1800)])
+def test_embedding_cells(spark, monkeypatch, rows, most):
+    """Groups get cells of their own; vectors without structure stay in one cell instead of visiting all others."""
+    monkeypatch.setattr(embeddings, "CELL", 100)
+    frame = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    nodes = frame.selectExpr("label", "size(embedding) dim", "vec_id rep", "1L copies", "embedding")
+    sizes = Counter(r.cell for r in embeddings.cells(nodes).select("cell").collect())
+    assert max(sizes.values()) <= most and sum(sizes.values()) <= 1.2 * len(rows)
+
+
 def test_rules(docs):
     for r, d in zip(sorted(rules.clean(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id)), documents()):
         w = WORD.findall(d[1] or "")
