@@ -2,77 +2,71 @@
 
 Document rates w minimise the token-weighted entropy sum(size * (w log w - w + 1))
 under one token constraint per source and a ceiling on w. The optimum is an
-exponential tilt, w = min(ceiling, exp(dual of the source)). Newton steps on the
-convex dual are grouped sums over the documents' cells; the rates are then rounded
-into whole copies, and what rounding leaves over is settled with single documents.
+exponential tilt, w = min(ceiling, exp(dual of the source)). All a Newton step on the
+convex dual needs of the documents is the tokens of each source, one grouped sum; the
+steps then run side by side in the table of sources, which stays in Spark whatever the
+number of sources. The rates are rounded into whole copies, and what rounding leaves
+over is settled with single documents.
 """
 
 from __future__ import annotations
 
 import math
-from fractions import Fraction
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm import common
+from tallybook.llm import common, suffix
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3
-# Sources are what a person lists in a mix: their sums, targets and duals pass the driver.
-MAX_SOURCES = 100_000
 # Documents of a source and size class that may settle what rounding leaves over.
 SETTLERS = 16
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> dict[str | None, Fraction]:
-    """Target tokens of each source: shares by weight, stopped at ``ceiling`` times the size, the excess shared again."""
-    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
-    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
-    left, out, open_ = Fraction(sum(sizes.values())), {}, list(names)
-    while open_:
-        unit = left / sum(weight[s] for s in open_)
-        over = [s for s in open_ if weight[s] * unit > ceiling * sizes[s]]
-        if not over:
-            return out | {s: weight[s] * unit for s in open_}
-        for s in over:
-            out[s] = Fraction(ceiling * sizes[s])
-            left -= out[s]
-        open_ = [s for s in open_ if s not in out]
-    return out
-
-
-def balance(cells: DataFrame, goal: DataFrame, ceiling: float = CEILING, steps: int = 60, exact: float = 1e-12) -> DataFrame:
-    """(source_key, dual, rate): Newton's method on the dual, every step one grouped aggregate over all cells.
-
-    ``cells`` holds (source_key, size, n): documents of a size in a source. The gradient is target tokens
-    minus tilted tokens, the curvature the tilted tokens below the ceiling. A source without tokens keeps
-    dual 0; one whose target reaches its ceiling gets a dual at which the ceiling holds.
+def goals(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
+    """(_key, source_size, target) from (_key, tokens): shares by weight, stopped at ``ceiling`` times the size, the excess shared again.
+
+    Sources weigh in the order of their code points, a null one last. Each round of sharing is one sum over the
+    sources; the driver holds what is left to share and the weight of the sources that it is shared among.
     """
-    duals = {r.source_key: 0.0 for r in goal.select("source_key").collect()}
-    aim = {r.source_key: r.target for r in goal.select("source_key", "target").collect()}
-    spark, schema = cells.sparkSession, "source_key string, dual double"
-    for _ in range(steps):
-        dual = spark.createDataFrame(list(duals.items()), schema)
-        tilt = F.exp("dual")
-        grown = cells.join(dual, "source_key").withColumn("tokens", F.col("size") * F.col("n"))
-        sums = grown.groupBy("source_key").agg(
-            F.sum(F.least(tilt, F.lit(float(ceiling))) * F.col("tokens")).alias("got"),
-            F.sum(F.when(tilt < ceiling, tilt * F.col("tokens")).otherwise(0.0)).alias("bend"),
-        )
-        off = 0.0
-        for r in sums.collect():
-            miss = aim[r.source_key] - r.got
-            if abs(miss) <= exact * max(1.0, aim[r.source_key]) or not r.got:
-                continue
-            off = max(off, abs(miss))
-            # at the ceiling the dual is flat: come back from just below it
-            duals[r.source_key] = duals[r.source_key] + max(-2.0, min(2.0, miss / r.bend)) if r.bend else math.log(ceiling) - 1e-9
-        if not off:
+    ranked = suffix.cumulated(sources.select((F.col("_key") == "n").alias("last"), "_key", "tokens"), ["last", "_key"], {"place": F.lit(1), "tokens": F.col("tokens")}, "mixing-sources")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    ranked = ranked.select("_key", F.col("n_tokens").alias("source_size"), weight.alias("weight"))
+    most = F.lit(ceiling) * F.col("source_size")
+    total, among = (x or 0 for x in ranked.agg(F.sum("source_size"), F.sum("weight")).first())
+    left = total
+    while True:
+        over = F.col("weight").cast("decimal(10,0)") * F.lit(Decimal(left)) > F.col("source_size").cast("decimal(19,0)") * F.lit(Decimal(ceiling * among))
+        stopped, open_ = (x or 0 for x in ranked.agg(F.sum(F.when(over, most)), F.sum(F.when(~over, F.col("weight")))).first())
+        if (total - stopped, open_) == (left, among):
             break
-    return spark.createDataFrame([(k, d, min(float(ceiling), math.exp(d))) for k, d in duals.items()], schema + ", rate double")
+        left, among = total - stopped, open_
+    share = F.col("weight").cast("double") * float(left) / float(max(among, 1))
+    return ranked.select("_key", "source_size", F.when(over, most.cast("double")).otherwise(share).alias("target"))
+
+
+def balance(goal: DataFrame, ceiling: float = CEILING, steps: int = 60, exact: float = 1e-12) -> DataFrame:
+    """(_key, source_size, target, dual, rate): Newton's method on the dual, for all sources side by side.
+
+    The gradient is target tokens minus tilted tokens, the curvature the tilted tokens below the ceiling. A
+    source without tokens keeps dual 0; one whose target reaches its ceiling gets a dual at which the ceiling holds.
+    """
+    tokens, top = F.col("source_size").cast("double"), F.lit(float(ceiling))
+
+    def step(dual: Column) -> Column:
+        tilt = F.exp(dual)
+        miss = F.col("target") - F.least(tilt, top) * tokens
+        done = (F.abs(miss) <= exact * F.greatest(F.lit(1.0), F.col("target"))) | (tokens == 0)
+        # at the ceiling the dual is flat: come back from just below it
+        moved = dual + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), miss / (tilt * tokens)))
+        return F.when(done, dual).when(tilt < top, moved).otherwise(math.log(ceiling) - 1e-9)
+
+    dual = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), lambda dual, _: step(dual))
+    return goal.withColumn("dual", dual).withColumn("rate", F.least(top, F.exp("dual")))
 
 
 def _settled(offers: pd.DataFrame) -> pd.DataFrame:
@@ -125,18 +119,10 @@ def _counted(rows: DataFrame, plan: DataFrame, ceiling: int) -> DataFrame:
 def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
     """(row, doc_id, _size, source_size, target, rate, _copies), ``row`` being the whole row of ``docs``; texts are not shuffled. See mix()."""
     rows = common.stored(sized(docs).drop("row"), "mixing-sizes")
-    cells = rows.groupBy(F.col("_key").alias("source_key"), F.col("_size").alias("size")).agg(F.count("*").alias("n"))
-    cells = common.stored(cells, "mixing-cells")
-    sums = cells.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("total")).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {(r.source_key[1:] if r.source_key[0] == "s" else None): int(r.total) for r in sums}
-    goals = [("n" if s is None else "s" + s, sizes[s], float(t)) for s, t in targets(sizes, weights, ceiling).items()]
-    goal = docs.sparkSession.createDataFrame(goals, "source_key string, source_size long, target double")
-    rates = balance(cells, goal, ceiling)
-    plan = common.stored(goal.join(rates, "source_key").select(F.col("source_key").alias("_key"), "source_size", "target", "rate"), "mixing-plan")
-    # bounded by MAX_SOURCES rows
-    rounded = _counted(rows, F.broadcast(plan), ceiling)
+    sources = common.stored(rows.groupBy("_key").agg(F.sum("_size").alias("tokens")), "mixing-tokens")
+    plan = common.stored(balance(goals(sources, weights, ceiling), ceiling).drop("dual"), "mixing-plan")
+    known = common.small(plan)
+    rounded = _counted(rows, known, ceiling)
     got = rounded.groupBy("_key").agg(F.sum(F.col("_copies") * F.col("_size")).alias("got"))
     gap = got.join(plan, "_key").select("_key", (F.round("target").cast("long") - F.col("got")).alias("left"))
     # in each class of sizes, the documents with the smallest hashes may be moved up or down
@@ -146,8 +132,8 @@ def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int =
     offers = able.groupBy("_key", level.alias("level"), slot.alias("slot")).agg(offer).join(gap, "_key").where("left <> 0")
     offers = offers.select("_key", "left", "offer.doc_id", F.col("offer._size").alias("words"), F.col("offer._copies").alias("copies"), F.lit(ceiling).alias("most"))
     moved = common.stored(offers.groupBy("_key").applyInPandas(_settled, "_moved long, _more long"), "mixing-moves")
-    common.drop(rows, cells)
-    out = _counted(sized(docs), F.broadcast(plan), ceiling)
+    common.drop(rows, sources)
+    out = _counted(sized(docs), known, ceiling)
     out = out.join(common.small(moved), F.col("doc_id") == F.col("_moved"), "left")
     return out.withColumn("_copies", F.col("_copies") + F.coalesce("_more", F.lit(0))).drop("_moved", "_more", "_crc", "_key")
 

@@ -7,9 +7,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallybook.llm import common, embeddings, language, minhash, mixing, packing, quality, rules, shards, suffix, toxicity
 
@@ -204,7 +206,7 @@ def test_mixing(docs):
     sizes = Counter()
     for r in documents():
         sizes[r[3]] += len(WORD.findall(r[1] or ""))
-    want = mixing.targets(dict(sizes))
+    want = plain_targets(dict(sizes))
     assert abs(float(sum(want.values())) - sum(sizes.values())) < 1e-6
     taken = Counter()
     for r in rows:
@@ -216,10 +218,42 @@ def test_mixing(docs):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs).collect()))
 
 
-def test_targets_reshare():
-    got = {k: float(v) for k, v in mixing.targets({"a": 10, "b": 1000, "c": 1000, None: 0}).items()}
+def plain_targets(sizes, weights=(5, 2, 1), ceiling=3):
+    """Shares by weight in the order of code points, null last; stopped sources drop out until none is above."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    stopped = set()
+    while True:
+        rest = Fraction(sum(sizes.values()) - sum(ceiling * sizes[s] for s in stopped))
+        among = sum(weight[s] for s in names if s not in stopped)
+        over = {s for s in names if s not in stopped and weight[s] * rest > ceiling * sizes[s] * among}
+        if not over:
+            return {s: ceiling * sizes[s] if s in stopped else weight[s] * rest / among for s in names}
+        stopped |= over
+
+
+def spark_targets(spark, sizes):
+    rows = [("n" if s is None else "s" + s, n) for s, n in sizes.items()]
+    found = mixing.goals(spark.createDataFrame(rows, "_key string, tokens long")).collect()
+    return {None if r._key == "n" else r._key[1:]: r.target for r in found}
+
+
+def test_targets_reshare(spark):
     # a stops at 30; b and c share the rest 2 to 1; a null source is last and has weight 5 and no words
-    assert got == {"a": 30.0, "b": pytest.approx(1980 * 2 / 3), "c": pytest.approx(660.0), None: 0.0}
+    assert spark_targets(spark, {"a": 10, "b": 1000, "c": 1000, None: 0}) == {"a": 30.0, "b": pytest.approx(1980 * 2 / 3), "c": pytest.approx(660.0), None: 0.0}
+    assert spark_targets(spark, {"a": 0, "": 0}) == {"a": 0.0, "": 0.0}
+
+
+def test_targets_and_rates_of_many_sources(spark):
+    r = random.Random(6)
+    sizes = {f"{r.choice(['site', 'é', 'Z', '😀', '｡'])}{k}": int(r.paretovariate(0.7)) - r.choice([0, 1]) for k in range(30_000)} | {None: 77}
+    want = plain_targets(sizes)
+    assert spark_targets(spark, sizes) == {s: float(x) for s, x in want.items()}
+    # more sources than any list in the driver was meant for
+    many = spark.range(200_000).selectExpr("concat('s', id) as _key", "1 + id % 1000 as tokens")
+    off = F.abs(F.col("rate") * F.col("source_size") - F.col("target")) > 1e-6 * F.col("target")
+    plan = mixing.balance(mixing.goals(many)).agg(F.count("*"), F.sum("target"), F.sum("source_size"), F.sum(off.cast("int"))).first()
+    assert plan[0] == 200_000 and plan[1] == pytest.approx(plan[2]) and plan[3] == 0
 
 
 def test_packing(docs):
