@@ -466,6 +466,74 @@ def test_quality_learns(spark):
     assert len(held) > 40 and np.mean([r.predicted == (r.doc_id % 3 != 0) for r in held]) > 0.97
 
 
+@pytest.fixture(scope="module")
+def toy(spark):
+    """Documents in two alphabets, some with a bad sentence, some with signs between the words, and odd ones."""
+    r = random.Random(12)
+    rows, marks = [], []
+    for k in range(240):
+        parts = [prose(k * 17 + j, r.randint(3, 12)) + "." for j in range(r.randint(1, 8))]
+        if k % 4 == 0:
+            parts[r.randrange(len(parts))] = f"you {r.choice(['zorgish', 'blarg'])} thing."
+        text = " ".join(parts) if k % 3 else " ".join(w + "***" for w in " ".join(parts).split())
+        lang = ["en", "ru"][k % 2]
+        rows.append((k, text if lang == "en" else text + " " + " ".join(r.choices("при что ого ть ни".split(), k=30)), lang))
+        marks.append((k, int(k % 3 > 0), int(k % 4 == 0)))
+    rows += [(900, None, "en"), (901, "", "ru"), (902, "1 2 ...", None), (903, "blarg! " * 4000, None), (None, "you blarg.", "en"), (5, rows[5][1], "en")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), rows
+
+
+def test_toxicity_is_a_plain_noisy_or(toy):
+    frame, marks, rows = toy
+    model = toxicity.train(frame, marks)
+    assert max(model.weights.values()) > 1
+    weights = {f: x for f, x in model.weights.items() if abs(x) > 1e-3}
+
+    def plain(text):
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]+", text or ""):
+            words = re.findall(r"[^\W\d_]+", sentence.lower())
+            known = {w for w in words} | {"^" + w[:k] for w in words for k in (4, 5, 6) if len(w) > k}
+            z = model.bias + sum(weights.get(f, 0.0) for f in known)
+            clean *= 1 - 1 / (1 + np.exp(-z)) if words else 1
+        return 1 - clean
+
+    want = sorted((str(i), round(plain(t), 6)) for i, t, _ in rows)
+    assert want == sorted((str(r.doc_id), round(r.score, 6)) for r in toxicity.detect(frame, marks).collect())
+
+
+def test_quality_is_a_plain_sum_of_tables(toy):
+    frame, marks, rows = toy
+    model = quality.train(frame, marks, "quality")
+    assert model.tables and model.pairs
+    found = quality.feature_table(frame).collect()
+    assert len(found) == len(rows)
+    want = []
+    for r in found:
+        z = model.bias + sum(t[sum(c <= v for c in cuts)] for t, cuts, v in zip(model.tables, model.cuts, r.x))
+        for i, j, first, second, table in model.pairs:
+            z += table[sum(c <= r.x[i] for c in first)][sum(c <= r.x[j] for c in second)]
+        want.append((str(r.doc_id), round(1 / (1 + np.exp(-z)), 6)))
+    assert sorted(want) == sorted((str(r.doc_id), round(r.score, 6)) for r in quality.classify(frame, marks).collect())
+
+
+def test_language_is_a_plain_cosine(toy):
+    frame, _, rows = toy
+    model = language.train(frame)
+    assert len(model.langs) > 2
+    text = {str(i): t for i, t, _ in rows}
+    for r in language.identify(frame).collect():
+        counts = language.gram_counts(text[str(r.doc_id)] or "")
+        if counts is None:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        x = [np.log1p(n) * w for n, w in zip(counts, model.idf)]
+        length = sum(v * v for v in x) ** 0.5
+        cosines = [sum(a * b for a, b in zip(x, c) if a) / max(length, 1e-12) for c in model.centroids.tolist()]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert r.lang_pred == model.langs[best] and abs(r.score - cosines[best]) < 1e-6 and r.rejected == (cosines[best] < model.least[best])
+
+
 def test_quality_tables_learn_interactions():
     """Neither feature tells anything by itself; their pair table does."""
     r = np.random.default_rng(0)
