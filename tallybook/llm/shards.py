@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm import common
+from tallybook.llm import common, suffix
 
 SHARDS = 40
 DIGIT = 12  # bits of a histogram's entries
@@ -34,14 +34,13 @@ class Node:
 
 
 def _codes(rows: DataFrame, column: str) -> DataFrame:
-    """A column ``column``_code of 12 bits: the rank of the value, null last; a hash if there are more than 4096 values."""
-    values = rows.select(column).distinct().limit(CODES + 1).collect()
-    if len(values) > CODES:
-        return rows.withColumn(f"{column}_code", F.coalesce(F.shiftright(F.crc32(F.col(column).cast("binary")), 32 - DIGIT), F.lit(0)))
-    ordered = sorted((v[0] for v in values if v[0] is not None))
-    table = [("s" + v, k * CODES // len(values)) for k, v in enumerate(ordered)] + [("n", CODES - 1)]
-    names = rows.sparkSession.createDataFrame(table, f"_key string, {column}_code long")
-    return rows.withColumn("_key", F.coalesce(F.concat(F.lit("s"), column), F.lit("n"))).join(names, "_key", "left").drop("_key")
+    """A column ``column``_code of 12 bits: the rank of the value, null last; neighbours share a code if there are more than 4096 values."""
+    key = F.coalesce(F.concat(F.lit("s"), column), F.lit("n"))
+    values = rows.select((key == "n").alias("last"), key.alias("_key")).distinct()
+    ranked = suffix.cumulated(values, ["last", "_key"], {"place": F.lit(1)}, "shards-codes")
+    n = ranked.count()
+    code = F.when(F.col("last"), F.lit(CODES - 1)).otherwise(F.floor(F.col("place") * CODES / F.lit(max(n, 1)))).cast("long")
+    return rows.withColumn("_key", key).join(common.small(ranked.select("_key", code.alias(f"{column}_code"))), "_key").drop("_key")
 
 
 def _leaf(tree: Node, ids: dict[int, int]) -> Column:

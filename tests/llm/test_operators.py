@@ -323,6 +323,14 @@ def test_shards(docs):
         assert sorted(r.slot for r in own) == list(range(len(own)))
 
 
+def test_codes_of_many_values(spark):
+    """Codes follow the order of the values whatever their number; null is last."""
+    for n in (3, 9_000):
+        rows = [(f"v{k:05d}",) for k in range(n)] + [("v00001",), (None,)]
+        got = shards._codes(spark.createDataFrame(rows, "source string"), "source").collect()
+        assert sorted((r.source or "~", r.source_code) for r in got) == sorted((v[0] or "~", int(v[0][1:]) * 4096 // (n + 1) if v[0] else 4095) for v in rows)
+
+
 def test_shards_of_one_hot_text(spark):
     rows = [(k, "same text", "en", "s") for k in range(4000)] + [(k, prose(k, 5), "en", "s") for k in range(4000, 4500)]
     got = shards.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 8).groupBy("shard").sum("size").collect()
