@@ -17,10 +17,15 @@ from tallybook.llm import common, suffix
 
 SHARDS = 40
 DIGIT = 12  # bits of a histogram's entries
+ID_BITS = 24
 KEY_BITS = 60  # 12 of the dimension, then 24 of the text's hash and 24 of the id's hash that order equal values
 CODES = 1 << DIGIT
 # An entry with less than this part of a shard's bytes is not divided further.
 CLOSE = 0.0005
+# Equal texts are divided only if a cut beside them would miss by more than this part of a shard's bytes.
+WHOLE = 0.01
+# Texts with more rows than this are joined apart from the others.
+HOT = 10_000
 
 
 @dataclass
@@ -58,7 +63,7 @@ def grow(rows: DataFrame, shards: int) -> Node:
     """The tree over (keys array<long>, size): level by level, one histogram of all nodes after the other."""
     tree = Node(0, shards)
     total = rows.agg(F.sum("size")).first()[0] or 0
-    near = CLOSE * total / shards
+    near, whole = CLOSE * total / shards, WHOLE * total / shards
     while open_ := [x for x in _leaves(tree) if x.n > 1]:
         ids = {id(x): k for k, x in enumerate(_leaves(tree))}
         at = rows.withColumn("node", _leaf(tree, ids))
@@ -87,7 +92,8 @@ def grow(rows: DataFrame, shards: int) -> Node:
                     if below + w >= want or digit == max(now[k]):
                         break
                     below += w
-                if w <= near or not shift:
+                off = min(abs(below - want), abs(below + w - want))
+                if w <= near or not shift or (shift == ID_BITS and off <= whole):
                     side = digit + (abs(below + w - want) < abs(below - want))
                     x.cut = ((prefix << DIGIT) + side) << shift
                     x.left, x.right = Node(x.first, x.n // 2), Node(x.first + x.n // 2, x.n - x.n // 2)
@@ -108,24 +114,41 @@ def grow(rows: DataFrame, shards: int) -> Node:
     return tree
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows with one source and one lang for all rows of a text: the least of them, null if one is null."""
+    one = lambda c: F.when(F.count(c) == F.count("*"), F.min(c)).alias(f"one_{c}")
+    unlike = lambda c: (F.min(c) != F.max(c)) | ((F.count(c) > 0) & (F.count(c) < F.count("*")))
+    mixed = F.coalesce(unlike("source"), F.lit(False)) | F.coalesce(unlike("lang"), F.lit(False))
+    texts = rows.groupBy("text_id").agg(F.count("*").alias("n"), mixed.alias("mixed"), one("source"), one("lang"))
+    texts = common.stored(texts.where("mixed").select(F.col("text_id").alias("of"), "n", "one_source", "one_lang"), "shards-mixed")
+    # a hot text would end in one task of a shuffle, and few texts are hot
+    for part in (texts.where(F.col("n") > HOT), texts.where(F.col("n") <= HOT)):
+        own = lambda c: F.when(F.col("of").isNull(), F.col(c)).otherwise(F.col(f"one_{c}")).alias(c)
+        rows = rows.join(common.small(part), F.col("text_id") == F.col("of"), "left").select("doc_id", own("source"), own("lang"), "size", "crc", "text_id")
+    return rows
+
+
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Dimensions are the ranks of source and lang and the logarithm of the size; a null value is one of its own.
-    Rows of equal value are cut by a hash of the text and then of the id, so equal texts mostly stay together and
-    a value that holds most of the rows is still divided. Rows equal in text, metadata and id go to one
-    shard. A null text has size 16 and crc 0. A row without an id has the hash 0. The law is
-    ``bytes``: shards hold nearly equal sizes; grown_shard is null. Empty tables give empty results.
+    Equal texts count as of one source and lang, the least among them (null if one is null), and rows of equal value
+    are cut by a hash of the text and only then of the id: equal texts stay in one shard, unless a cut beside them
+    would miss its place by more than a hundredth of a shard's bytes, as with copies that hold most of the rows. Rows
+    equal in text and id go to one shard. A null text has size 16 and crc 0, like an empty one. A row without an
+    id has the hash 0. The law is ``bytes``: shards hold nearly equal sizes, but for a text that is as large as a
+    shard; grown_shard is null. Ties in a slot's order do not matter. Extra columns are not read. Empty tables give
+    empty results.
     """
     binary = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     rows = common.id_and_text(docs, F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.select("doc_id", "source", "lang", (F.octet_length(binary) + 16).cast("long").alias("size"), F.crc32(binary).alias("crc"))
+    rows = rows.select("doc_id", "source", "lang", (F.octet_length(binary) + 16).cast("long").alias("size"), F.crc32(binary).alias("crc"), F.xxhash64(binary).alias("text_id"))
     rows = common.stored(rows, "shards-sizes")
-    last = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24))).cast("long")
-    text_hash = F.pmod(F.xxhash64("crc", "size"), F.lit(1 << 24))
+    last = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS))).cast("long")
+    text_hash = F.pmod(F.col("text_id"), F.lit(1 << 24))
     level = F.least(F.floor(F.log2(F.col("size").cast("double")) * 128), F.lit(CODES - 1)).cast("long")
-    coded = _codes(_codes(rows, "source"), "lang")
-    key = lambda code: (code.cast("long") * (1 << 48) + text_hash * (1 << 24) + last)
+    coded = _codes(_codes(_shared(rows), "source"), "lang")
+    key = lambda code: (code.cast("long") * (1 << 48) + text_hash * (1 << ID_BITS) + last)
     keyed = coded.select("doc_id", "size", "crc", F.array(key(F.col("source_code")), key(F.col("lang_code")), key(level)).alias("keys"))
     keyed = common.stored(keyed, "shards-keys")
     tree = grow(keyed, shards)

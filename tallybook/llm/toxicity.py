@@ -7,6 +7,7 @@ the likelihood of the document labels. The sentences that score highest then sho
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,11 +22,11 @@ from tallybook.llm import common
 
 # Labelled documents that are learned from at most; chosen by a hash of the id.
 MAX_TRAIN = 20_000
-# Features that the sentence model knows at most: those whose presence goes with the label most clearly.
-VOCABULARY = 400
+# The sentence model knows every feature whose presence goes with the label this clearly: the log of how much likelier
+# the counts of both kinds of documents are than without a link. By chance alone about one feature in ten thousand gets there.
+CLEAR = 7.0
 # A word has itself and its first letters, as many as these, as features.
 PREFIXES = (4, 5, 6)
-MIN_DOCUMENTS = 5
 SENTENCE = re.compile(r"[^.!?\n]+")
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -146,8 +147,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     seen, share = F.col("pos") + F.col("neg"), (F.col("pos") + F.col("neg")) / float(total)
     clear = term(F.col("pos"), F.lit(float(n_pos)), share) + term(F.col("neg"), F.lit(float(n_neg)), share)
     clear += term(n_pos - F.col("pos"), F.lit(float(n_pos)), 1 - share) + term(n_neg - F.col("neg"), F.lit(float(n_neg)), 1 - share)
-    least = min(MIN_DOCUMENTS, max(1, int(n_pos) // 4))
-    names = [r.word for r in counts.where((seen >= least) & (F.col("pos") * n_neg > F.col("neg") * n_pos)).orderBy(F.desc(F.round(clear, 6)), "word").limit(VOCABULARY).collect()]
+    # a few toxic documents cannot be that clear: then what all of a quarter of them would reach is enough
+    alone = (int(n_pos) / 4) * math.log(total / n_pos)
+    # few words pass, as all come from max_train texts
+    names = [r.word for r in counts.where((clear >= min(CLEAR, alone)) & (F.col("pos") * n_neg > F.col("neg") * n_pos)).orderBy("word").collect()]
     bags = rows.mapInArrow(_bags({w: k for k, w in enumerate(names)}), "doc_id long, label int, plain long, words array<int>, lengths array<int>").toPandas().sort_values("doc_id")
     flat = lambda c: np.concatenate([np.zeros(0, np.int64), *bags[c]]).astype(np.int64)
     doc = np.repeat(np.arange(len(bags)), [len(x) for x in bags["lengths"]])

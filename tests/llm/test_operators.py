@@ -338,6 +338,64 @@ def test_shards_of_one_hot_text(spark):
     assert len(sums) == 8 and max(sums) - min(sums) <= 0.02 * sum(sums) / 8 + 200
 
 
+def test_equal_texts_share_a_shard(spark):
+    """Copies of unlike source and lang lie together, unless they hold more than fits; shards are even all the same."""
+    r = random.Random(8)
+    texts = [prose(k, r.randint(5, 60)) for k in range(1500)]
+    source, lang = ["a", "b", "c", None], ["en", "de", None]
+    rows = [(k, texts[k % 1500], r.choice(source), r.choice(lang)) for k in range(3000)] + [(k, "hot text " * 20, r.choice(source), r.choice(lang)) for k in range(3000, 4500)]
+    rows += [(5000, None, "a", "en"), (5001, "", "b", None)]
+    got = shards.shard(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), 8).collect()
+    of, sums = {}, Counter()
+    for x in got:
+        of.setdefault((x.text_crc32, x["size"]), set()).add(x.shard)
+        sums[x.shard] += x["size"]
+    split = [k for k, v in of.items() if len(v) > 1]
+    hot = "hot text " * 20
+    assert split == [(zlib.crc32(hot.encode()), len(hot) + 16)]
+    even = sum(sums.values()) / 8
+    assert len(sums) == 8 and all(abs(x - even) <= 0.03 * even for x in sums.values())
+
+
+def test_shards_equal_plain_medians(spark):
+    """Against a k-d tree in plain Python that sorts the rows of each node."""
+    r = random.Random(9)
+    rows = [(k, prose(k, r.randint(1, 200)), r.choice("abc"), r.choice(["en", "de"])) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {x.doc_id: x.shard for x in shards.shard(df, 6).collect()}
+    hashes = {x.doc_id: (x.t, x.i) for x in df.select("doc_id", F.pmod(F.xxhash64(F.col("text").cast("binary")), F.lit(1 << 24)).alias("t"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)).alias("i")).collect()}
+    ranks = [{v: k * 4096 // n for k, v in enumerate(sorted({x[c] for x in rows}))} for c, n in ((2, 3), (3, 2))]
+    items = []
+    for k, text, source, lang in rows:
+        size = len(text.encode()) + 16
+        codes = ranks[0][source], ranks[1][lang], min(int(np.log2(size) * 128), 4095)
+        items.append((k, size, [(c, *hashes[k]) for c in codes]))
+    total = sum(x[1] for x in items)
+
+    def split(part, first, n):
+        if n == 1:
+            for k, size, keys in part:
+                seen[k] = first
+            return
+        spread = [max(x[2][d][0] for x in part) - min(x[2][d][0] for x in part) for d in range(3)]
+        d = spread.index(max(spread))
+        part = sorted(part, key=lambda x: x[2][d])
+        want, below, at = sum(x[1] for x in part) * (n // 2) / n, 0, 0
+        while at < len(part) and below + part[at][1] < want:
+            below += part[at][1]
+            at += 1
+        at += abs(below + part[at][1] - want) < abs(below - want)
+        split(part[:at], first, n // 2)
+        split(part[at:], first + n // 2, n - n // 2)
+
+    seen = {}
+    split(items, 0, 6)
+    sums = Counter()
+    for k, size, _ in items:
+        sums[got[k]] += size
+    assert seen == got and max(sums.values()) - min(sums.values()) <= 0.1 * total / 6
+
+
 def test_shards_of_copies_with_an_outlying_id(spark):
     """One id far from all others does not keep a group of copies together."""
     rows = [(k, "same text", "en", "s") for k in range(4000)] + [(10**15, prose(1, 5), "en", "s")]
