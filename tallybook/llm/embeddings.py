@@ -200,7 +200,8 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     Only vectors of equal label and length are compared. Equal vectors of a label are one node and linked with
     each other. Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
     label, link with nothing. A row without an id takes no part: no component, and kept. Repeated rows are
-    copies of each other. Empty tables give empty results.
+    copies of each other. A cosine of exactly the threshold links. Texts are not read, nor are extra columns. Empty
+    tables give empty results.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))

@@ -20,7 +20,8 @@ from tallybook.llm import common
 
 DIMENSIONS = 4096
 CENTROIDS = 3
-# Training texts of all languages together at most, dealt evenly; at least 4 of each language.
+# Training texts of all languages together at most, dealt evenly. With more than a quarter as many languages, those with
+# the most texts are learned, so that each has about 4.
 MAX_TRAIN = 6_000
 UNKNOWN = "und"
 _LETTER: list[np.ndarray] = []
@@ -91,13 +92,18 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, max_train: int = MAX_TRAIN, k: int = CENTROIDS) -> Model:
-    """Learn from texts with a language that are not held out: a share of each language, by a hash of the id."""
+    """Learn from texts with a language that are not held out: a share of each language, by a hash of the id.
+
+    Languages without a text that has a letter are not learned; of more than ``max_train / 4`` languages those with
+    the most texts are, ties by name.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(~common.held_out(5, 0)).where("lang is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+    sizes = {r.lang: r.n for r in counts.limit(max(1, max_train // 4)).collect()}
     if not sizes:
         return Model()
-    each = max(4, max_train // len(sizes))
+    each = max_train // len(sizes)
     shares = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in sizes.items()], "lang string, share double")
     chance = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30)) / float(1 << 30)
     # a row for each language; texts stay where they are unless there are very many
@@ -105,13 +111,13 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, k: int = CENTROIDS) -> Mo
     if not len(got):
         return Model()
     # the order in which tasks hand over their rows must not matter
-    got = got.assign(o=[(a, hash((tuple(i), tuple(n)))) for a, i, n in zip(got["lang"], got["at"], got["n"])]).sort_values("o")
+    got = got.assign(o=[(a, np.asarray(i, np.int32).tobytes(), np.asarray(n, np.float32).tobytes()) for a, i, n in zip(got["lang"], got["at"], got["n"])]).sort_values("o").drop(columns="o")
     x = np.zeros((len(got), DIMENSIONS), dtype=np.float32)
     for row, (at, n) in enumerate(zip(got["at"], got["n"])):
         x[row, at] = np.log1p(n)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
     x *= idf
-    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-12)
     langs, centres, least = [], [], []
     for lang in sorted(set(got["lang"])):
         own = x[(got["lang"] == lang).to_numpy()]
@@ -132,7 +138,8 @@ def identify(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     ``lang_pred`` is the language of the nearest centroid, ``score`` the cosine; ``rejected`` says that it lies
     below what 99 % of the centroid's training texts reach, less a fifth. A null text, or one without a letter,
     and any text if nothing was learned, is ``und`` with score 0, rejected. A row without an id is held out.
-    Repeated rows get equal results; a null lang is not learned from. Empty tables give empty results.
+    Repeated rows get equal results; a null lang is not learned from. Centroids at equal distance: the language first by
+    name. A very long text is read whole, in slices. Extra columns are not read. Empty tables give empty results.
     """
     model = train(docs, max_train)
 

@@ -144,7 +144,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEIL
     Size is the number of words, 0 for a null or blank text; such a row has 0 taken. A null source is a
     source of its own, the last in order. The whole part of a rate is taken always, the rest if a hash of id
     and text falls below it, so reruns agree and equal ids are taken alike. ``taken`` is copies * size and
-    never above ``ceiling`` * size. Empty tables give empty results.
+    never above ``ceiling`` * size. A very long text counts whole; where one is too large for the rest of a source's
+    target, smaller ones settle it. Extra columns are not read. Empty tables give empty results.
     """
     rows = planned(common.id_and_text(docs, F.col("source").cast("string").alias("source")), weights, ceiling)
     return rows.select("doc_id", "row.source", F.col("_size").alias("size"), "source_size", "target", "rate", F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))

@@ -222,7 +222,8 @@ def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, thr
     Labels are learned from ids whose crc32 leaves a remainder other than 0 by 5. A null or empty text has
     all features 0 and gets the score learned for that; a row without an id is held out and scored. Repeated
     rows each get the same score. Without labels of both kinds every score is the smoothed share of label 1
-    (0.5 without any). Of repeated labels the largest counts. Empty tables give empty results.
+    (0.5 without any). Of repeated labels the largest counts. Ties do not arise: each row is judged alone. A very
+    long text is read whole. Extra columns are not read. Empty tables give empty results.
     """
     result = scored(common.id_and_text(docs), train(docs, labels, "quality", max_train))
     return result.select("doc_id", common.held_out(5, 0).alias("held_out"), F.col("score"), (F.col("score") >= threshold).cast("int").alias("predicted"))

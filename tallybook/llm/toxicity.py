@@ -166,7 +166,8 @@ def detect(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, thres
     are learned from ids whose crc32 leaves a remainder other than 1 by 3; of repeated labels the largest
     counts, and labels of unknown documents are ignored. A row without an id is held out and scored. Repeated
     rows get equal results. Without labels of both kinds the score comes from the share of label 1 alone.
-    Empty tables give empty results.
+    Ties do not arise: each row is judged alone. A very long text is read whole, sentence by sentence. Extra columns
+    are not read. Empty tables give empty results.
     """
     model = train(docs, labels, max_train)
     # a word that changes nothing is not looked up

@@ -498,6 +498,20 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 and r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def test_language_of_very_many_values(spark):
+    """The sample bounds what is learned: of thousands of values of lang those with the most texts."""
+    r = random.Random(3)
+    alphabets = {"en": "the of and ing ion", "de": "der ung sch ein ich", "ru": "при что ого ть ни"}
+    rows = [(k, " ".join("".join(r.choices(a.split(), k=2)) for _ in range(20)), lang) for k, (lang, a) in enumerate(list(alphabets.items()) * 40)]
+    rows += [(1000 + k, prose(k, 8), f"rare{k // 2}") for k in range(6000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(frame, 120)
+    assert len(set(model.langs)) <= 30 and {"en", "de", "ru"} <= set(model.langs) and len(model.centroids) <= 90
+    got = {x.doc_id: x for x in language.identify(frame, 120).collect()}
+    assert len(got) == len(rows) and {x.lang_pred for x in got.values()} <= set(model.langs)
+    assert np.mean([got[k].lang_pred == rows[k][2] for k in range(120) if got[k].held_out]) > 0.9
+
+
 def test_toxicity_learns_from_document_labels(spark):
     r = random.Random(2)
     rows, marks = [], []
