@@ -353,7 +353,8 @@ def _symbols(reps: DataFrame, label: str) -> DataFrame:
     ).select("d", "i", "x.*")
     # a mark of 0 lies in a periodic stretch, which is settled apart
     shifted = shifted.where("mark <> 0")
-    twice = shifted.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    # a table of its own, so that the join shuffles apart from the sums and Spark can split a mark with very many places
+    twice = common.stored(shifted.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), label)
     return common.stored(shifted.join(twice, "mark", "left_semi"), label)
 
 
@@ -419,6 +420,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     # windows at the ends of runs, and those of the same mark and distance that they may equal
     open_ = found.where("open_lo <= open_hi").groupBy("mark").agg(F.min(F.col("pos") - F.col("open_hi")).alias("near"), F.max(F.col("pos") - F.col("open_lo")).alias("far"))
+    open_ = common.stored(open_, label)  # as in _symbols
     asked = found.where("lo <= hi").join(open_, "mark").select("d", "mark", "pos", F.greatest("lo", F.col("pos") - F.col("far")).alias("lo"), F.least("hi", F.col("pos") - F.col("near")).alias("hi")).where("lo <= hi")
     asked = common.stored(asked, label)
     hot = common.small(common.stored(asked.groupBy("mark").agg(F.count("*").alias("m")).where(F.col("m") > HOT_MARK).select("mark"), label))
@@ -445,7 +447,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     both = settled.join(starts, "d", "full").withColumnRenamed("d", "doc_id")
     cut = texts.join(both, "doc_id").mapInArrow(lambda batches: _cut(batches, size), "doc_id long, spans array<struct<start:long,end:long>>, n_removed long, sha string, left_text string")
     cut = common.stored(cut, label)
-    common.drop(windows, asked, places, spans, starts, settled, held, wanted)
+    common.drop(windows, open_, asked, places, spans, starts, settled, held, wanted)
 
     many = base.join(copies.where("copies > 1").select("sha", "copies"), "sha", "left")
     whole = F.col("doc_id").isNotNull() & F.col("copies").isNotNull() & (F.col("n_bytes") >= size.window)
