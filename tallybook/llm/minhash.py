@@ -163,6 +163,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     # the leader of a bucket has the smallest hash of id and band
     ticket = F.struct(F.xxhash64("doc_id", "band").alias("h"), "doc_id")
     buckets = members.groupBy("bucket").agg(F.min(ticket)["doc_id"].alias("leader"), F.count("*").alias("m")).where("m > 1")
+    # tables of their own, here and below, so that the joins shuffle apart from the sums and Spark can split a large bucket
+    buckets = common.stored(buckets, "minhash-buckets")
     shared = common.stored(members.join(buckets.select("bucket", "leader"), "bucket").select("bucket", "band", "doc_id", "leader"), "minhash-members")
     stars = shared.where("doc_id <> leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
     a = slim.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -177,6 +179,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     root = groups.select(F.col("node").alias("doc_id"), "root")
     placed = shared.join(root, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    mixed = common.stored(mixed, "minhash-mixed-buckets")
     placed = common.stored(placed.join(mixed, "bucket", "left_semi").select("bucket", "band", "doc_id", "leader"), "minhash-mixed")
     sets = _sets_of(docs, placed)
     grams = sets.select("doc_id", F.explode("grams").alias("gram"))
@@ -206,10 +209,11 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
         # another leader from outside the first one's component: again as many candidates as members
         now = rooted(groups)
         heads = now.where("stray").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("doc_id", "band", F.lit(turn)).alias("h"), "doc_id", "band", "stray", "root", "n", "sketch", "bands", "parts")).alias("x"))
+        heads = common.stored(heads, "minhash-heads")
         stars = side(heads.select("bucket", "x.*"), "a").join(side(now, "b"), elsewhere).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = _confirmed(stars, sets, threshold).unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
         before, groups = groups, common.stored(common.components(more, "minhash-stars"), "minhash-groups")
-        common.drop(before)
+        common.drop(before, heads)
     now = common.stored(rooted(groups), "minhash-rooted")
     first = F.array_position(F.zip_with("ba", "bb", lambda p, q: p == q), True) == F.col("a.band") + 1
     once = ~F.col("b.stray") | (F.col("a") < F.col("b"))
@@ -217,7 +221,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     more = common.stored(_confirmed(across.select("a", "b"), sets, threshold), "minhash-more")
     links = more.unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
     final = common.stored(common.components(links, "minhash-components"), "minhash-final")
-    common.drop(sets, more, groups, shared, slim, placed, now)
+    common.drop(sets, more, groups, buckets, shared, mixed, slim, placed, now)
 
     roots = nodes.join(final, "node", "left").select(*same, F.coalesce("root", "node").alias("root"))
     out = keys.join(roots, same, "left")
