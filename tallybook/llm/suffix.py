@@ -441,13 +441,13 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     twins = around.repartition("mark").sortWithinPartitions("mark").mapInArrow(lambda batches: _twins(batches, size), "d long, s long")
     windows = texts.join(spans.withColumnRenamed("d", "doc_id"), "doc_id").mapInArrow(lambda batches: _hashed(batches, size), "d long, s long, h1 long, h2 long")
     windows = common.stored(windows, label)
-    equal = windows.groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1").select("h1", "h2")
+    equal = common.stored(windows.groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1").select("h1", "h2"), label)
     starts = windows.join(equal, ["h1", "h2"], "left_semi").select("d", "s").unionByName(twins)
     starts = common.stored(starts.groupBy("d").agg(F.collect_list("s").alias("starts")), label)
     both = settled.join(starts, "d", "full").withColumnRenamed("d", "doc_id")
     cut = texts.join(both, "doc_id").mapInArrow(lambda batches: _cut(batches, size), "doc_id long, spans array<struct<start:long,end:long>>, n_removed long, sha string, left_text string")
     cut = common.stored(cut, label)
-    common.drop(windows, open_, asked, places, spans, starts, settled, held, wanted)
+    common.drop(windows, equal, open_, asked, places, spans, starts, settled, held, wanted)
 
     many = base.join(copies.where("copies > 1").select("sha", "copies"), "sha", "left")
     whole = F.col("doc_id").isNotNull() & F.col("copies").isNotNull() & (F.col("n_bytes") >= size.window)
