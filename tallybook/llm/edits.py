@@ -6,7 +6,8 @@ differ by few edits fall into step again, so the strings written down differ in
 
 A fingerprint keeps one bit of the character at sampled steps. The steps sampled for a walk of up to 2 ** k
 steps are nested in those for shorter ones, so that fingerprints of texts of any lengths can be held against
-each other. Bands of the bits propose near copies, which the whole fingerprints confirm.
+each other. Bands of the bits propose near copies, which the whole fingerprints confirm: every two that share
+a band are compared or already known to be joined.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallybook.llm import common, tries
@@ -36,6 +38,8 @@ LOT_CHARS, LOT_TEXTS = 1 << 23, 8_000
 BANDS, BAND_BITS = 32, 40
 NEAR = 0.9
 ROUNDS = 3
+# Fingerprints on each side of one comparison of all with all; a band with more is dealt to several tasks.
+CELL = 2_048
 
 
 @cache
@@ -322,21 +326,125 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("leader"), pa.array(near, pa.float64())], names=["rep", "leader", "near"])
 
 
+def _alike(own: list[tuple[int, np.ndarray]], other: list[tuple[int, np.ndarray]], near: float) -> np.ndarray:
+    """Whether likeness() is ``near`` or more, for each of the first fingerprints with each of the second."""
+
+    def signs(prints: list[tuple[int, np.ndarray]], upper: int) -> tuple[np.ndarray, np.ndarray]:
+        out, sizes = np.zeros((len(prints), len(sampled(upper))), np.float32), np.zeros(len(prints), np.int64)
+        for k, (steps, bits) in enumerate(prints):
+            bits = bits if _level(steps) == upper else bits[_still(_level(steps), upper)[: len(bits)]]
+            out[k, : len(bits)], sizes[k] = 1 - 2 * bits.astype(np.float32), len(bits)
+        return out, sizes
+
+    alike = np.zeros((len(own), len(other)), dtype=bool)
+    rows, columns = (np.array([_level(p[0]) for p in prints], dtype=np.int64) for prints in (own, other))
+    for x in np.unique(rows):
+        for y in np.unique(columns):
+            i, j = np.flatnonzero(rows == x), np.flatnonzero(columns == y)
+            (a, m), (b, n) = signs([own[k] for k in i], max(x, y)), signs([other[k] for k in j], max(x, y))
+            # steps that only one walk takes are 0 in the other; sums of so few ones are exact
+            alike[np.ix_(i, j)] = (a @ b.T).astype(np.float64) / np.maximum(np.maximum.outer(m, n), 1) >= near
+    return alike
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """So many of the links of a square as join the same members."""
+    new, links = np.ones(len(linked), dtype=bool), []
+    for k in range(len(linked)):
+        reached = [k] if new[k] else []
+        new[k] = False
+        while reached:
+            i = reached.pop()
+            for j in np.flatnonzero(linked[i] & new).tolist():
+                new[j] = False
+                links.append((i, j))
+                reached.append(j)
+    return links
+
+
+def _compared(near: float):
+    """(a, b): joined roots of cells (band, i, j); rows come sorted by cell and side, those of the last cell of a batch wait for the next."""
+
+    def links(cell: pa.Table) -> list[tuple[int, int]]:
+        prints, root, n = [read(x) for x in cell.column("fingerprint").to_pylist()], cell.column("root").to_pylist(), cell.num_rows
+        cut = int(np.searchsorted(cell.column("side").to_numpy(), 1))
+        if cut in (0, n):
+            linked = _alike(prints, prints, near)
+        else:
+            linked = np.zeros((n, n), dtype=bool)
+            linked[:cut, cut:] = _alike(prints[:cut], prints[cut:], near)
+            linked[cut:, :cut] = linked[:cut, cut:].T
+        return [(root[x], root[y]) for x, y in _forest(linked) if root[x] != root[y]]
+
+    def found(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        pairs = [x for a, b in zip(starts, np.append(starts[1:], rows.num_rows)) for x in links(rows.slice(a, b - a))]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = np.column_stack([rows.column(c).to_numpy() for c in ("band", "i", "j")])
+            starts = np.append(0, 1 + np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)))
+            if len(starts) > 1:
+                yield found(rows.slice(0, starts[-1]), starts[:-1])
+            held = rows.slice(starts[-1])
+        if held is not None:
+            yield found(held, np.zeros(1, np.int64))
+
+    return run
+
+
+def _cells(members: DataFrame, label: str) -> DataFrame:
+    """(band, i, j, side, rep, root): every two members (rep, band, root) of a band that differ in root meet in a cell.
+
+    The members of a band that no cell holds are dealt to parts, those of a root that fills a cell to parts of their
+    own, and each two parts are a cell, unless all their members have one root.
+    """
+    bands = members.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "n")
+    bands = common.small(common.stored(bands, label))
+    one = members.join(bands.where(F.col("n") <= CELL), "band").select("band", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "rep", "root")
+    many = common.stored(members.join(bands.where(F.col("n") > CELL), "band"), label)
+    alone = common.stored(many.groupBy("band", "root").agg(F.count("*").alias("own")).where(F.col("own") >= CELL), label)
+    others = bands.where(F.col("n") > CELL).join(alone.groupBy("band").agg(F.sum("own").alias("apart")), "band", "left").select("band", (F.col("n") - F.coalesce("apart", F.lit(0))).alias("others"))
+    dealt = many.drop("n").join(common.small(alone), ["band", "root"], "left").join(common.small(common.stored(others, label)), "band")
+    size = F.ceil(F.coalesce("own", "others") / CELL)
+    part = F.struct(F.when(F.col("own").isNotNull(), F.col("root")).alias("of"), F.pmod(F.xxhash64("rep", F.lit(3)), size).alias("slot"))
+    dealt = common.stored(dealt.select("band", "rep", "root", part.alias("part")), label)
+    parts = dealt.select("band", "part").distinct().select("band", "part", F.row_number().over(W.partitionBy("band").orderBy("part")).alias("k"))
+    parts = common.stored(parts, label)
+    two = parts.select("band", F.col("k").alias("i"), F.col("part.of").alias("x")).join(parts.select("band", F.col("k").alias("j"), F.col("part.of").alias("y")), "band")
+    two = two.where("i <= j and not coalesce(x = y, false)").select("band", "i", "j")
+    sides = two.select("*", F.col("i").alias("k"), F.lit(0).alias("side")).unionByName(two.where("i < j").select("*", F.col("j").alias("k"), F.lit(1).alias("side")))
+    placed = dealt.join(parts, ["band", "part"]).join(sides, ["band", "k"])
+    return one.unionByName(placed.select("band", "i", "j", "side", "rep", "root"))
+
+
 def near_copies(prints: DataFrame, rounds: int = ROUNDS, near: float = NEAR) -> DataFrame:
     """``prints`` (doc_id, fingerprint, ...) with component_id, the smallest id that near copies lead to.
 
     Documents of equal fingerprints are one. In each band the smallest id leads; every member is held against
-    its leader by the whole fingerprints, never against all others; members unlike it choose another leader
-    in the next round. Likenesses of ``near`` or more join components. A pair whose bits agree at 97 % of the
-    steps shares a band with a probability of 0.99999, one at 95 % (likeness 0.9) of 0.98. A row without an id has no component.
+    its leader by the whole fingerprints, and members unlike it choose another leader in the next round. After
+    ``rounds`` rounds, which settle large groups of copies with one comparison a member, every two members of a band that are
+    not joined yet are compared, so the rounds do not change the result. Likenesses of ``near`` or more join components. A pair
+    whose bits agree at 97 % of the steps shares a band with a probability of 0.99999, one at 95 % (likeness 0.9) of
+    0.98. A row without an id has no component.
     """
     label = "edits-near"
     reps = prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
     # an id that is repeated with another text stands for the texts of all its rows
     reps = common.stored(reps, label)
-    left = common.stored(reps.mapInArrow(_banded, "rep long, band long").distinct(), label)
+    banded = common.stored(reps.mapInArrow(_banded, "rep long, band long").distinct(), label)
+    # bands with the same members, as a count and two hashes show, are one
+    same = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    bands = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("leader"), *same).where("n > 1")
+    bands = common.stored(bands.groupBy("n", "leader", "h1", "h2").agg(F.min("band").alias("band")).select("band"), label)
+    members = common.stored(banded.join(bands, "band"), label)
+    common.drop(banded, bands)
     own, other = reps.withColumnRenamed("fingerprint", "own"), reps.select(F.col("rep").alias("leader"), F.col("fingerprint").alias("other"))
-    links = None
+    left, links = members, None
     for _ in range(rounds):
         leaders = left.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
         met = common.stored(left.join(leaders, "band").where("rep <> leader"), label)
@@ -344,11 +452,19 @@ def near_copies(prints: DataFrame, rounds: int = ROUNDS, near: float = NEAR) ->
         found = common.stored(tried.where(F.col("near") >= near).select("rep", "leader").distinct(), label)
         links = found if links is None else links.unionByName(found)
         # strangers of their leader go on without it and those that it has won
-        common.drop(left)
-        left = common.stored(met.join(found, ["rep", "leader"], "left_anti").select("rep", "band"), label)
-        common.drop(met)
+        before, left = left, common.stored(met.join(found, ["rep", "leader"], "left_anti").select("rep", "band"), label)
+        common.drop(met, *[before] * (before is not members))
     common.drop(left)
     roots = common.components(links.select(F.col("rep").alias("a"), F.col("leader").alias("b")), label)
-    classes = reps.join(roots, F.col("rep") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "rep").alias("component_id"))
+    reps = common.stored(reps.join(roots, F.col("rep") == F.col("node"), "left").select("fingerprint", "rep", F.coalesce("root", "rep").alias("root")), label)
+    # what is left: members of a band that no leader has joined
+    placed = common.stored(members.join(reps.select("rep", "root"), "rep"), label)
+    common.drop(members)
+    cells = _cells(placed, label).join(reps.select("rep", "fingerprint"), "rep")
+    cells = cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "side").select("band", "i", "j", "side", "root", "fingerprint")
+    joined = common.components(cells.mapInArrow(_compared(near), "a long, b long"), label)
+    common.drop(placed)
+    joined = joined.withColumnRenamed("root", "joined")
+    classes = reps.join(joined, F.col("root") == F.col("node"), "left").select("fingerprint", F.coalesce("joined", "root").alias("component_id"))
     found = prints.join(classes, "fingerprint", "left")
     return found.select(*prints.columns, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -205,6 +205,58 @@ def test_near_copies(spark):
     assert sum(together) >= 62 and min(together) >= 3 and all(got[i] // 10 == i // 10 for i in got if i is not None and i < 1000)
 
 
+def test_near_copies_of_a_band_full_of_strangers(spark, monkeypatch):
+    """All fingerprints share every band, as their first halves are equal; each group is found, whoever leads."""
+    r = np.random.default_rng(4)
+    bits = r.integers(0, 2, 512).astype(np.uint8)
+
+    def turned(x, n, at=256):
+        y = x.copy()
+        y[r.choice(np.arange(at, 512), n, replace=False)] ^= 1
+        return y
+
+    strangers = [np.concatenate([bits[:256], r.integers(0, 2, 256).astype(np.uint8)]) for _ in range(40)]
+    made = list(enumerate(strangers))
+    made += [(100 + 10 * g + k, turned(strangers[20 + g], 8)) for g in range(5) for k in range(3)]
+    chain = [strangers[30]]  # each is like the next, none like the one after it
+    for k in range(4):
+        chain.append(chain[-1].copy())
+        chain[-1][256 + 20 * k : 276 + 20 * k] ^= 1
+    made += [(200 + k, x) for k, x in enumerate(chain[1:])]
+    made += [(300 + k, turned(strangers[0], 5)) for k in range(12)]
+    texts = [(i, edits.written((512, x))) for i, x in made] + [(None, edits.written((512, strangers[1])))]
+    prints = [(i, edits.read(t)) for i, t in texts if i is not None]
+    want = {i: i for i, _ in prints}
+    for _ in prints:
+        for i, x in prints:
+            for j, y in prints:
+                if edits.likeness(x, y) >= edits.NEAR:
+                    want[i] = want[j] = min(want[i], want[j])
+        if all(want[want[i]] == want[i] for i in want):
+            break
+    assert want[203] == 30 and want[142] == 24 and want[311] == 0 and len(set(want.values())) == 40
+    frame = spark.createDataFrame(texts, "doc_id long, fingerprint string")
+    for cell in (edits.CELL, 7):  # bands dealt to many cells give the same
+        monkeypatch.setattr(edits, "CELL", cell)
+        got = {x.doc_id: x.component_id for x in edits.near_copies(frame).collect()}
+        assert got.pop(None) is None and got == want
+
+
+def test_alike_is_likeness():
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2, 4000).astype(np.uint8)
+    prints = []
+    for steps in (0, 1, 3, 200, 500, 512, 520, 700, 1000, 1024, 1100, 1150, 2100):
+        size = int(np.searchsorted(edits.sampled(edits._level(steps)), steps))
+        for flips in (0, 3, 14, 40):
+            bits = base[edits.sampled(edits._level(steps))[:size]].copy()
+            bits[r.integers(0, max(1, size), flips if size else 0)] ^= 1
+            prints.append((steps, bits))
+    prints = [p for p in prints if p[0]]
+    want = [[edits.likeness(a, b) >= edits.NEAR for b in prints] for a in prints]
+    assert edits._alike(prints, prints, edits.NEAR).tolist() == want and 0.05 < np.mean(want) < 0.9
+
+
 # ---- 13: resampling -----------------------------------------------------------------------------------------
 
 
