@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -192,6 +193,24 @@ def test_long_text_in_steps(monkeypatch):
     assert list(suffix._marked(iter([batch])))[0].to_pydict() == whole
 
 
+def test_steps_on_texts_take_little_memory():
+    """Steps hold many times the text they work on, so that they take small blocks, whatever a batch holds."""
+    import pyarrow as pa
+
+    texts = [prose(k, 300) for k in range(40)] * 60
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    assert batch.nbytes > 3 << 20
+    places = [[{"mark": 1, "pos": 240 * k, "lo": 240 * k, "hi": 240 * k + 90} for k in range(3)] for _ in texts]
+    around = batch.append_column("places", pa.array(places))
+    size = suffix.Sizes(240)
+    for run in (lambda: suffix._marked(iter([batch]), size), lambda: quality._featured(iter([batch])), lambda: suffix._surroundings(iter([around]), size)):
+        tracemalloc.start()
+        rows = sum(x.num_rows for x in run())
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows >= len(texts) and peak < 30 << 20
+
+
 def test_cleaned_keeps_columns(docs):
     out = suffix.cleaned(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
