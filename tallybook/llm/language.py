@@ -107,22 +107,31 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, k: int = CENTROIDS) -> Mo
     shares = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in sizes.items()], "lang string, share double")
     chance = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30)) / float(1 << 30)
     # a row for each language; texts stay where they are unless there are very many
-    got = rows.join(common.small(shares), "lang").where(chance < F.col("share")).select("lang", "text", "doc_id").mapInArrow(_sparse, "lang string, at array<int>, n array<float>").toPandas()
+    got = rows.join(common.small(shares), "lang").where(chance < F.col("share")).select("lang", "text", "doc_id").mapInArrow(_sparse, "lang string, at array<int>, n array<float>").toArrow()
     if not len(got):
         return Model()
-    # the order in which tasks hand over their rows must not matter
-    got = got.assign(o=[(a, np.asarray(i, np.int32).tobytes(), np.asarray(n, np.float32).tobytes()) for a, i, n in zip(got["lang"], got["at"], got["n"])]).sort_values("o").drop(columns="o")
-    x = np.zeros((len(got), DIMENSIONS), dtype=np.float32)
-    for row, (at, n) in enumerate(zip(got["at"], got["n"])):
-        x[row, at] = np.log1p(n)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
-    x *= idf
-    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-12)
+    own = np.array(got.column("lang").to_pylist(), dtype=object)
+    at, n = (np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in got.column(x).chunks]) for x in ("at", "n"))
+    bounds = np.append(0, np.cumsum(np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in got.column("at").chunks])))
+    idf = np.log((1 + len(got)) / (1 + np.bincount(at, minlength=DIMENSIONS))) + 1
+    del got
+
+    def vectors(lang: str) -> np.ndarray:
+        """Unit vectors of one language's texts; the order in which tasks hand over their rows must not matter."""
+        parts = [slice(bounds[k], bounds[k + 1]) for k in np.flatnonzero(own == lang)]
+        parts.sort(key=lambda p: (at[p].tobytes(), n[p].tobytes()))
+        x = np.zeros((len(parts), DIMENSIONS), dtype=np.float32)
+        for row, p in enumerate(parts):
+            x[row, at[p]] = np.log1p(n[p].astype(np.float64))
+        x *= idf
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-12)
+        return x
+
     langs, centres, least = [], [], []
-    for lang in sorted(set(got["lang"])):
-        own = x[(got["lang"] == lang).to_numpy()]
-        found = _clusters(own, k)
-        near = own @ found.T
+    for lang in sorted(set(own)):
+        x = vectors(lang)
+        found = _clusters(x, k)
+        near = x @ found.T
         nearest = near.argmax(axis=1)
         for c in range(len(found)):
             langs.append(lang)

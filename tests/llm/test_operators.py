@@ -531,6 +531,17 @@ def test_language_of_very_many_values(spark):
     assert np.mean([got[k].lang_pred == rows[k][2] for k in range(120) if got[k].held_out]) > 0.9
 
 
+def test_language_is_learned_in_little_memory(spark):
+    """One language at a time becomes a matrix: 2,400 texts in 12 languages at once would be one of 39 MB."""
+    rows = [(k, " ".join(prose(k % 40, 12).split()[: 4 + k % 9]) + f" {k % 40}", f"l{k % 12}") for k in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    model = language.train(frame)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(model.langs)) == 12 and peak < 25 << 20
+
+
 def test_toxicity_learns_from_document_labels(spark):
     r = random.Random(2)
     rows, marks = [], []
