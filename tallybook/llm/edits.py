@@ -422,6 +422,12 @@ def _cells(members: DataFrame, label: str) -> DataFrame:
     return one.unionByName(placed.select("band", "i", "j", "side", "rep", "root"))
 
 
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the root of their rep; ``roots`` (node, root) holds joined ones only, others are roots themselves."""
+    found = rows.join(roots, F.col("rep") == F.col("node"), "left")
+    return found.select(*rows.columns, F.coalesce("root", "rep").alias("root"))
+
+
 def near_copies(prints: DataFrame, rounds: int = ROUNDS, near: float = NEAR) -> DataFrame:
     """``prints`` (doc_id, fingerprint, ...) with component_id, the smallest id that near copies lead to.
 
@@ -456,9 +462,10 @@ def near_copies(prints: DataFrame, rounds: int = ROUNDS, near: float = NEAR) ->
         common.drop(met, *[before] * (before is not members))
     common.drop(left)
     roots = common.components(links.select(F.col("rep").alias("a"), F.col("leader").alias("b")), label)
-    reps = common.stored(reps.join(roots, F.col("rep") == F.col("node"), "left").select("fingerprint", "rep", F.coalesce("root", "rep").alias("root")), label)
+    roots = common.small(common.stored(roots, label))
+    reps = common.stored(_rooted(reps, roots), label)
     # what is left: members of a band that no leader has joined
-    placed = common.stored(members.join(reps.select("rep", "root"), "rep"), label)
+    placed = common.stored(_rooted(members, roots), label)
     common.drop(members)
     cells = _cells(placed, label).join(reps.select("rep", "fingerprint"), "rep")
     cells = cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "side").select("band", "i", "j", "side", "root", "fingerprint")

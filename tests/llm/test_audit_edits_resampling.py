@@ -242,6 +242,16 @@ def test_near_copies_of_a_band_full_of_strangers(spark, monkeypatch):
         assert got.pop(None) is None and got == want
 
 
+def test_rooted(spark):
+    """Only joined fingerprints are looked up; those that no leader has joined keep their rows and are their own roots."""
+    members = spark.createDataFrame([(1, 7), (2, 7), (2, 8), (3, 8)], "rep long, band long")
+    roots = spark.createDataFrame([(1, 1), (2, 1)], "node long, root long")
+    got = edits._rooted(members, roots)
+    assert got.columns == ["rep", "band", "root"]
+    assert sorted(map(tuple, got.collect())) == [(1, 7, 1), (2, 7, 1), (2, 8, 1), (3, 8, 3)]
+    assert sorted(map(tuple, edits._rooted(members, roots.limit(0)).collect())) == [(1, 7, 1), (2, 7, 2), (2, 8, 2), (3, 8, 3)]
+
+
 def test_alike_is_likeness():
     r = np.random.default_rng(5)
     base = r.integers(0, 2, 4000).astype(np.uint8)
