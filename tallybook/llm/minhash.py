@@ -66,8 +66,8 @@ FOLD = common.seeds(ROWS, 303)
 def samples(values: np.ndarray) -> np.ndarray:
     """The MinHash samples of a set, worked on in slices so that a long text needs little memory."""
     low = np.full(SAMPLES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for k in range(0, len(values), 4096):
-        part = values[k : k + 4096]
+    for k in range(0, len(values), 1024):
+        part = values[k : k + 1024]
         np.minimum(low, (part[None, :] * MULTIPLY[:, None] + ADD[:, None]).min(axis=1), out=low)
     return low
 
@@ -103,7 +103,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n, k1, k2, bands, sketch) of every row; k1 and k2 are equal for equal shingle sets."""
-    return common.id_and_text(docs).mapInArrow(_signed, "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
+    return common.in_python(common.id_and_text(docs), _signed, "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +125,7 @@ def _promising(threshold: int) -> Column:
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, grams) of the documents in ``wanted``; texts are read again, and shuffled only if those are many."""
     texts = common.id_and_text(docs).join(common.small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-    return common.stored(texts.mapInArrow(_full_sets, "doc_id long, grams array<long>").dropDuplicates(["doc_id"]), "minhash-sets")
+    return common.stored(common.in_python(texts, _full_sets, "doc_id long, grams array<long>").dropDuplicates(["doc_id"]), "minhash-sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:

@@ -92,7 +92,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def feature_table(docs: DataFrame) -> DataFrame:
     """(doc_id, x) of every row."""
-    return common.id_and_text(docs).mapInArrow(_featured, "doc_id long, x array<double>")
+    return common.in_python(common.id_and_text(docs), _featured, "doc_id long, x array<double>")
 
 
 @dataclass
@@ -213,7 +213,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             found = [model.score(features(data, offsets)) for _, _, data, offsets in common.text_blocks(text)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *found]))], names=schema.names)
 
-    return docs.mapInArrow(score, schema)
+    return common.in_python(docs, score, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = 0.3) -> DataFrame:

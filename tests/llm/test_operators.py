@@ -11,6 +11,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +212,29 @@ def test_steps_on_texts_take_little_memory():
         assert rows >= len(texts) and peak < 30 << 20
 
 
+@pytest.mark.parametrize("name", "quality minhash suffix".split())
+def test_texts_reach_python_in_small_batches(name, spark, nothing):
+    """By default Spark hands over 10,000 rows at once, here 48 MB; a limit that the session names stays."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    call = {"quality": lambda: quality.feature_table(nothing), "minhash": lambda: minhash.signatures(nothing), "suffix": lambda: suffix.digest(nothing)}[name]
+    texts = spark.range(1200).selectExpr("id", "repeat('some words ', 4000) as text").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    spark.conf.unset(limit)
+    try:
+        call()
+        got = texts.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in got) == 1200 and max(r.size for r in got) < 2 * common.BATCH_BYTES
+        spark.conf.set(limit, "1000000")
+        call()
+        assert spark.conf.get(limit) == "1000000"
+    finally:
+        spark.conf.unset(limit)
+
+
 def test_cleaned_keeps_columns(docs):
     out = suffix.cleaned(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
