@@ -7,6 +7,9 @@ text is rejected.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ BOILERPLATE = """
 all rights reserved|privacy policy|terms of use|terms of service|cookie policy|use cookies|accept cookies
 |javascript is disabled|enable javascript|click here|read more|sign up|log in|subscribe to|skip to content
 |powered by|share this|lorem ipsum
-""".replace("\n", "")
+""".replace("\n", "").split("|")
 SPACE = r"[\x20\x09-\x0D]+"
 ENDS = r"[.!?:;,\"'”’)\]…]$"
 
@@ -47,23 +50,31 @@ def repeated_words(words: Column) -> Column:
         def places(s: Column) -> Column:
             same = lambda x, y: F.coalesce(x["hash"] == y["hash"], F.lit(False))
             twice = F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
-            starts = F.transform(twice, lambda x: x["at"])
-            return F.size(F.array_distinct(F.concat(starts, F.transform(starts, lambda p: p + 1), F.transform(starts, lambda p: p + 2))))
+            return bind(F.transform(twice, lambda x: x["at"]), covered)
 
         return bind(keyed, places)
 
+    def covered(starts: Column) -> Column:
+        return F.size(F.array_distinct(F.concat(starts, F.transform(starts, lambda p: p + 1), F.transform(starts, lambda p: p + 2))))
+
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(bind(words, count)).cast("long")
 
 
 def good_line(line: Column) -> Column:
-    """A line that ends like a sentence or is long enough to be prose, is no navigation and no boilerplate."""
-    n_words = F.regexp_count(line, F.lit(common.WORD))
-    bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
-    marked = F.regexp_count(line, F.lit(r"[#*$%&<>!]{2,}"))
-    ended = F.rtrim(line).rlike(ENDS) | (n_words >= 10)
-    navigation = (3 * bars >= n_words) & (bars >= 2)
-    boilerplate = F.lower(line).rlike(BOILERPLATE) & (n_words <= 12)
-    return ended & ~navigation & ~boilerplate & (3 * marked < n_words)
+    """A line that ends like a sentence or is long enough to be prose, is no navigation and no boilerplate.
+
+    Words are counted once a line, and tests that need the count only come before those that read the line again.
+    """
+
+    def judged(n_words: Column) -> Column:
+        bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
+        marked = F.regexp_count(line, F.lit(r"[#*$%&<>!]{2,}"))
+        ended = (n_words >= 10) | F.rtrim(line).rlike(ENDS)
+        navigation = (bars >= 2) & (3 * bars >= n_words)
+        boilerplate = (n_words <= 12) & bind(F.lower(line), lambda x: reduce(or_, [F.contains(x, F.lit(p)) for p in BOILERPLATE]))
+        return ended & ~navigation & ~boilerplate & (3 * marked < n_words)
+
+    return bind(F.regexp_count(line, F.lit(common.WORD)), judged)
 
 
 def clean(docs: DataFrame, least_kept: float = LEAST_KEPT) -> DataFrame:

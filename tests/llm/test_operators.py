@@ -523,6 +523,29 @@ def test_rules_remove_lines(spark):
     assert not kept[2].kept
 
 
+def test_rules_judge_lines_as_in_plain_python(spark):
+    r = random.Random(12)
+    parts = ["word", "|", "##", "!!", "Click Here", "privacy policy", "PRIVACY  policy", "read", "more", "<>&", "é…", "x|y", "a\tb", "c\u00a0d"]
+    ends = ["", ".", "!", " ", ".  ", ".\r", "”", "…", ")\t", "\x0b"]
+    lines = ["".join(x + r.choice([" ", "  ", "\t"]) for x in r.choices(parts, k=r.randint(1, 16))).strip() + r.choice(ends) for _ in range(600)]
+    phrases = [f"{before}{phrase}{after}" for phrase in rules.BOILERPLATE for before, after in (("", "."), ("See our ", " now."), ("word " * 10, "."), ("word " * 11, "."))]
+
+    def good(line):
+        n, bars, marked = len(WORD.findall(line)), line.count("|"), len(re.findall(r"[#*$%&<>!]{2,}", line))
+        ended = n >= 10 or re.search(r"[.!?:;,\"'”’)\]…]\r?$", line.rstrip(" "))
+        return ended and not (bars >= 2 and 3 * bars >= n) and not (n <= 12 and any(x in line.lower() for x in rules.BOILERPLATE)) and 3 * marked < n
+
+    rows = list(enumerate(lines + phrases))
+    got = {x.doc_id: x.kept_text for x in rules.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: x if good(x) else "" for k, x in rows} and 100 < sum(map(bool, got.values())) < len(rows) - 100
+
+
+def test_rules_work_once_per_line_and_window(docs):
+    """The words of a line are counted once and repeated windows are picked once, however often later steps use them."""
+    plan = rules.clean(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f"{common.WORD}, 0)") == 1 and plan.count("filter(lambda") == 1
+
+
 def test_rules_plan_is_native(docs):
     plan = rules.clean(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
